@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .winnow import ORACLE as _winnow_sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -100,4 +102,4 @@ QUERIES: dict[str, Query] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_decontamination": _winnow_sql}
