@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import in_key_order
-from .runtime import materialise, ship_package
+from .runtime import ship_package
 from .textscan import shingle_hashes, word_hashes
 
 _BITS = 40
@@ -90,51 +89,79 @@ def _row(doc: int | None, text: str, s: np.ndarray, following: str, s_next: np.n
     return (doc, len(text), hashlib.sha256(new).hexdigest(), to_text(s), to_text(e), resemblance(s, e, k), resemblance(s, s_next, k), distinct(s, k))
 
 
-def _batch(rows: list[tuple], fields=_FIELDS) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in _FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+
+
+def _ranges(docs: DataFrame) -> np.ndarray:
+    """Borders that cut the ids into even ranges, a few per shuffle partition."""
+    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(20 * n)).alias("q")).first()["q"]
+    return np.unique(np.array(found or [], dtype=np.int64))
+
+
+def _range_numbers(ids: pa.Array, borders: np.ndarray) -> np.ndarray:
+    """The range of each id; nulls are in the first one."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    part = np.zeros(len(ids), dtype=np.int64)
+    part[known] = np.searchsorted(borders, ids.drop_null().to_numpy(), side="right")
+    return part
+
+
+def with_followers(docs: DataFrame) -> DataFrame:
+    """doc_id, text, part, tail: rows in order of (doc_id, text) within ranges of ids, each range in one partition.
+
+    Behind the rows of each range (tail 0) stands its follower (tail 1), the first row of the next range
+    that has rows; the last range is followed by the first one.  Per range, one number reaches the driver.
+    """
+    borders = _ranges(docs)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_range_numbers(b.column(0), borders))], names=["doc_id", "part"])
+
+    least = docs.select("doc_id").mapInArrow(number, "doc_id long, part long").groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"))
+    firsts = sorted((r["part"], None if r["nulls"] else r["least"]) for r in least.collect())
+    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text", "part", "tail"]
+        for b in batches:
+            part = _range_numbers(b.column(0), borders)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part), pa.array(np.zeros(len(part), dtype=np.int32))], names=names)
+            heads = [i for i, d in enumerate(b.column(0).to_pylist()) if d in before]
+            if heads:
+                few = b.take(pa.array(heads))
+                to = [before[d] for d in few.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(to, pa.int64()), pa.array([1] * len(to), pa.int32())], names=names)
+
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, "doc_id long, text string, part long, tail int")
+    return dealt.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 256) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, which ends in the start of the next document.
 
-    The next document is the next row by ascending ``doc_id`` (nulls first, then the order within the
-    partition for equal ids); the last row is followed by the first.  Null text counts as empty: its
-    sketch is empty, and two empty sketches have likeness 1.  Texts move once, by range; the last row of
-    each partition is completed from the first row of the next one in a second, tiny pass.
+    The next document is the next row by ascending (doc_id, text), nulls first; the last row is followed
+    by the first.  Null text counts as empty: its sketch is empty, and two empty sketches have likeness
+    1.  Rows map one to one, repeated ones too; no rows give no rows.  Texts are shuffled once, by ranges
+    of ids, and a task holds two of them at a time.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    extra = (("part", pa.int32()), ("edge", pa.int32()), ("text", pa.string()))
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, held = TaskContext.get().partitionId(), None
+        held = None
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, tail in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "tail")), strict=True):
+                if tail and held is None:  # another row with the follower's id
+                    continue
                 text = text or ""
                 s = sketch(text.encode(), k)
-                if held is None:
-                    rows.append((doc, *[None] * 7, part, 1, text))
-                else:
-                    rows.append((*_row(*held, text, s, k), part, 0, None))
-                held = (doc, text, s)
-            yield _batch(rows, _FIELDS + extra)
-        if held is not None:
-            yield _batch([(held[0], *[None] * 7, part, 2, held[1])], _FIELDS + extra)
-
-    done = materialise(in_key_order(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, f"{_SQL}, part int, edge int, text string"), "bottomk")
-    names = [n for n, _ in _FIELDS]
-    # One first and one last row per partition: the last ones take their follower by partition number.
-    order = Window.orderBy("part")
-    firsts = done.where("edge = 1").select(F.col("part"), F.col("text").alias("following"))
-    nexts = done.where("edge = 1").select("part").select("part", F.lead("part").over(order).alias("next_part"), F.first("part").over(order).alias("first_part"))
-    lasts = done.where("edge = 2").select("doc_id", "text", "part").join(nexts, "part").withColumn("part", F.coalesce("next_part", "first_part")).join(firsts, "part")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _batch([_row(d, t, sketch(t.encode(), k), n, sketch(n.encode(), k), k) for d, t, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True)])
+                if held is not None:
+                    rows.append(_row(*held, text, s, k))
+                held = None if tail else (doc, text, s)
+            yield _batch(rows)
 
-    return done.where("edge = 0").select(*names).unionByName(lasts.select("doc_id", "text", "following").mapInArrow(finish, _SQL))
+    return with_followers(docs).mapInArrow(run, _SQL)
