@@ -25,7 +25,8 @@ _WORDS = re.compile(f"[^{_WS}]+")
 #: Anything but single blanks and line feeds between words; then the text is cut by a pattern.
 _UNEVEN = re.compile("[ \n][ \n]|[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _ODD = re.compile("[\x1c-\x1f]")
-_MAX_CHUNKS = 400_000
+#: Entries of one generation of a cache; two generations are kept.
+_MAX_CHUNKS = 350_000
 
 #: The patterns of the two vocabularies' pre-tokenizers (public, see the JSON files).
 _BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -64,6 +65,8 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_cache: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,33 +81,41 @@ class ChunkEncoder:
         found[0] = "\x00" + found[0]
         return found
 
+    def _piece_ids(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                spelt = piece.encode().decode("latin-1").translate(self.alphabet)
+                ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            self.pieces[piece] = ids
+        return ids
+
     def _chunk_ids(self, key: str) -> bytes:
         if self.layout == "word":
-            text = key
+            text = key.lower() if key.isascii() else key
         else:
             text = key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else " " + key
+        if key.isascii():  # the usual shapes, letters with or without one mark after them, need no pattern
+            if key.isalpha():
+                return self._piece_ids(text)
+            if key[:-1].isalpha() and key[-1] in ".,;:!?":
+                return self._piece_ids(text[:-1]) + self._piece_ids(key[-1])
         if not text:
             return b""
-        if max(text) >= "ɐ" or _ODD.search(text):
+        if max(text) >= "\u0250" or _ODD.search(text):
             return self._ids([text])[0]  # scripts for which two libraries' Unicode tables may differ
-        if self.layout == "word":
-            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
-        out = []
-        for piece in self.split(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                spelt = piece.encode().decode("latin-1").translate(self.alphabet)
-                ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if self.layout == "word" and not text.isascii():
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return b"".join(map(self._piece_ids, self.split(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         if len(self.cache) > _MAX_CHUNKS:
-            self.cache.clear()
+            self.old_cache, self.cache = self.cache, {}
         if len(self.pieces) > _MAX_CHUNKS:
-            self.pieces.clear()
-        cache, make = self.cache, self._chunk_ids
+            self.old_pieces, self.pieces = self.pieces, {}
+        cache, older, make = self.cache, self.old_cache, self._chunk_ids
         for i, t in enumerate(texts):
             if not self.layout or any(a in t for a in self.added):
                 out[i] = self._ids([t])[0]
@@ -115,7 +126,7 @@ class ChunkEncoder:
             except KeyError:
                 for c in chunks:
                     if c not in cache:
-                        cache[c] = make(c)
+                        cache[c] = older[c] if c in older else make(c)
                 out[i] = b"".join(map(cache.__getitem__, chunks))
         return out  # type: ignore[return-value]
 
