@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,13 +24,13 @@ def _vocabulary(name: str) -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .viterbi import count_tokens, load_unigrams
 
-    return count_tokens(table(spark, sf_dir, "documents"), load_unigrams(_vocabulary("piece_bpe_32k.model")))
+    return count_tokens(table(spark, sf_dir, "documents"), load_unigrams(vocabulary("piece_bpe_32k.model")))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dac import token_table
 
-    return token_table(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ _CHUNKS = re.compile(" *[^ ]+| +")
 
 @dataclass(frozen=True)
 class Unigrams:
-    """Pieces with scores.  ``add_prefix``: a blank mark is put before the text."""
+    """Pieces with scores.  ``add_prefix``: a blank mark is put before a text that does not begin with one."""
 
     pieces: tuple[tuple[str, float], ...]
     byte_fallback: bool = True
@@ -113,10 +113,11 @@ class Counter:
         if not text:
             return 0, 0.0
         if not self.by_chunk:
-            return self.segment((MARK if self.v.add_prefix else "") + text.replace(" ", MARK))
+            marked = text.replace(" ", MARK)
+            return self.segment(marked if marked[0] == MARK or not self.v.add_prefix else MARK + marked)
         chunks = text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text else None
         if chunks is None:
-            chunks = ["\0" + c for c in _CHUNKS.findall(" " + text.replace(MARK, " "))]
+            chunks = ["\0" + c for c in _CHUNKS.findall(text.replace(MARK, " ") if text[0] in (" ", MARK) else " " + text.replace(MARK, " "))]
         try:
             return sum(map(self.counts.__getitem__, chunks)), sum(map(self.scores.__getitem__, chunks))
         except KeyError:
