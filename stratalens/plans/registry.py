@@ -12,7 +12,7 @@ from .. import streaming
 from ..operators import findings as fnd
 from ..operators import scan, similarity
 from ..sources import text
-from . import catalog
+from . import catalog, more
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +42,7 @@ def _sql(name: str, sql: str) -> Query:
     return run
 
 
-for _name, _text in catalog.SQL.items():
+for _name, _text in (catalog.SQL | more.SQL).items():
     QUERIES[_name] = _sql(_name, _text)
     ORACLE[_name] = catalog.duck(_text)
 
