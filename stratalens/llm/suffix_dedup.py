@@ -89,12 +89,13 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return place >> 47, at, at - ((place >> 7) & 0xFF), at + (place & 0x7F)
 
 
-_ROW = "p long, kind int, gram long, context long, did long, place long"
-_NAMES = ["p", "kind", "gram", "context", "did", "place"]
+#: p is the gram for kinds 0 and 2; rows of kind 1 only pass through.
+_ROW = "p long, kind int, context long, did long, place long"
+_NAMES = ["p", "kind", "context", "did", "place"]
 
 
-def _rows(kind: int, p: np.ndarray, gram: np.ndarray, context: np.ndarray, did: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(p.view(np.int64)), pa.array(np.full(len(p), kind, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, did, place))]
+def _rows(kind: int, p: np.ndarray, context: np.ndarray, did: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(p.view(np.int64)), pa.array(np.full(len(p), kind, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in (context, did, place))]
     return pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
 
@@ -117,7 +118,7 @@ def _publish(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.Record
             for k in range(0, int(mask.sum()), 250_000):
                 i = np.flatnonzero(mask)[k : k + 250_000]
                 p = g[i] if kind == 0 else mix(d[i].view(np.uint64).copy())
-                yield _rows(kind, p, g[i], c[i], d[i], at[i])
+                yield _rows(kind, p, c[i] if kind == 0 else np.zeros(len(i), np.int64), d[i], at[i])
 
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -136,11 +137,11 @@ def _publish(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.Record
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (kind, gram, context, did, place).  Kind 1: repeats whole; kind 2: its bytes are asked for."""
+    """Rows come sorted by (kind, p, context, did, place).  Kind 1: repeats whole; kind 2: its bytes are asked for."""
     last: tuple[int, int] | None = None  # gram and context of the row before
     pending: tuple | None = None  # first row of a gram with one context so far
     for b in batches:
-        kind, g, c, d, at = (b.column(n).to_numpy() for n in _NAMES[1:])
+        g, kind, c, d, at = (b.column(n).to_numpy() for n in _NAMES)
         if (kind == 1).any():
             yield b.filter(pa.array(kind == 1))
         x = kind == 0
@@ -150,26 +151,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same_g = np.concatenate([[last is not None and last[0] == g[0]], g[1:] == g[:-1]])
         same = same_g & np.concatenate([[last is not None and last[1] == c[0]], c[1:] == c[:-1]])
         if same.any():
-            yield _rows(1, mix(d[same].view(np.uint64).copy()), g[same], c[same], d[same], at[same])
+            yield _rows(1, g[same], c[same], d[same], at[same])
         new = np.flatnonzero(~same)
         if len(new):
-            ng, cont = g[new], same_g[new]
+            cont = same_g[new]
             begins = np.flatnonzero(~cont)
             # Contexts that follow another one of their gram, and the first of each such gram.
             ask = cont.copy()
             firsts = begins[np.append(begins[1:], len(new)) - begins > 1]
             ask[firsts] = True
             if cont[0] and pending is not None:
-                yield _rows(2, *(np.array([v], dtype=np.int64) for v in (pending[0], *pending)))
+                yield _rows(2, *(np.array([v], dtype=np.int64) for v in pending))
             if cont[0] or len(begins):
                 pending = None
             i = new[ask]
             if len(i):
-                yield _rows(2, g[i], g[i], c[i], d[i], at[i])
+                yield _rows(2, g[i], c[i], d[i], at[i])
             if len(begins) and not ask[begins[-1]] and begins[-1] == len(new) - 1:
                 k = new[-1]
                 pending = (int(g[k]), int(c[k]), int(d[k]), int(at[k]))
-            del ng
         last = (int(g[-1]), int(c[-1]))
 
 
@@ -321,19 +321,56 @@ def _ranges(did: np.ndarray, tie: np.ndarray, start: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[i], t[i], s[i], s[last])], names=["did", "tie", "lo", "hi"])
 
 
+def _reach(sides: np.ndarray, lens: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the longest prefix that it shares with another row of its group, or more.
+
+    Rows are sorted, so the best partner is a neighbour.  Padding counts as shared, which can only
+    make the answer longer.
+    """
+    n, width = sides.shape
+    key = np.zeros((n, 4 + width), dtype=np.uint8)
+    key[:, :4] = group.astype(">u4").view(np.uint8).reshape(-1, 4)
+    key[:, 4:] = sides
+    order = np.argsort(key.view(f"S{4 + width}").ravel(), kind="stable")
+    s, g = sides[order], group[order]
+    differs = np.concatenate([s[1:] != s[:-1], np.ones((max(n - 1, 0), 1), dtype=bool)], axis=1)
+    shared = np.where(g[1:] == g[:-1], differs.argmax(axis=1), 0) if n > 1 else np.zeros(0, np.int64)
+    best = np.zeros(n, dtype=np.int64)
+    best[order] = np.maximum(np.append(shared, 0), np.concatenate([[0], shared]) if n else shared)
+    return np.minimum(best, lens)
+
+
+def _trimmed(slices: list[bytes], gram: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before and behind its gram each context can share with another one of the gram."""
+    n, lens = len(slices), np.array([len(x) for x in slices], dtype=np.int64)
+    flat = np.frombuffer(b"".join(slices) + bytes(SPAN), dtype=np.uint8)
+    base = np.concatenate([[0], np.cumsum(lens)[:-1]]) + before
+    steps = np.arange(_REACH)
+    left = flat[np.maximum(base[:, None] - 1 - steps, 0)]
+    left[steps[None] >= before[:, None]] = 0
+    behind = lens - before - GRAM
+    right = flat[np.minimum(base[:, None] + GRAM + steps, len(flat) - 1)]
+    right[steps[None] >= behind[:, None]] = 0
+    group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])) if n else np.zeros(0, np.int64)
+    return _reach(left, before, group), _reach(right, behind, group)
+
+
 def _sort_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (gram, did, place).  A shard holds whole grams; a larger gram is cut into several."""
-    slices: list[bytes] = []
-    did: list[int] = []
-    place: list[int] = []
-    size, current = 0, None
+    """Rows come sorted by (gram, did, place).
+
+    A shard of whole grams first cuts each context to what another context of its gram can share: most
+    are too short then, and equal rests repeat the first of them.  What is left is sorted.  A gram that
+    exceeds a shard is sorted as it is, in shards in corpus order, later ones looked up in earlier ones.
+    """
+    rows: list[tuple[int, int, int, bytes]] = []
+    size = begins = 0  # bytes held; where the current gram begins
+    current = None
     known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted new windows of the current gram's earlier shards
 
-    def flush(cut: bool) -> pa.RecordBatch:
-        """``cut``: the current gram goes on in the next shard, so its windows must be kept."""
-        nonlocal slices, did, place, size, known
-        tie, _, lo, _ = _unpack(np.array(place, dtype=np.int64))
-        s = Shard(slices, np.array(did, dtype=np.int64), lo, np.arange(len(slices)))
+    def sort(part: list[tuple[int, int, int, bytes]], lo: np.ndarray, cut: bool) -> pa.RecordBatch:
+        place = np.array([r[2] for r in part], dtype=np.int64)
+        tie = _unpack(place)[0]
+        s = Shard([r[3] for r in part], np.array([r[1] for r in part], dtype=np.int64), lo, np.arange(len(part)))
         bad = s.repeats()
         if known or cut:
             w = s.windows()
@@ -341,28 +378,69 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterato
                 bad |= _found_in(k, w, s.did, s.start)
             if cut:
                 known.append((w[~bad], s.did[~bad], s.start[~bad]))  # suffix order is byte order
-        out = _ranges(s.did[bad], tie[s.row[bad]], s.start[bad])
-        slices, did, place, size = [], [], [], 0
-        return out
+        return _ranges(s.did[bad], tie[s.row[bad]], s.start[bad])
+
+    def whole(part: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        tie, at, lo, _ = _unpack(np.array([r[2] for r in part], dtype=np.int64))
+        gram = np.array([r[0] for r in part], dtype=np.int64)
+        left, right = _trimmed([r[3] for r in part], gram, at - lo)
+        first: dict[tuple, int] = {}
+        repeat, count = [], {}
+        for i in np.flatnonzero(left + right >= _REACH).tolist():
+            g, _, _, data = part[i]
+            k = int(at[i] - lo[i] - left[i])
+            key = (g, int(left[i]), data[k : k + int(left[i] + right[i]) + GRAM])
+            j = first.setdefault(key, i)
+            if j != i:
+                repeat.append(i)
+            else:
+                count[g] = count.get(g, 0) + 1
+        if repeat:
+            r = np.array(repeat)
+            begin, end = at[r] - left[r], at[r] + right[r] - _REACH
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array([part[i][1] for i in repeat], dtype=np.int64), tie[r], begin, end)], names=["did", "tie", "lo", "hi"])
+        # A single rest of a gram has no partner here, but its windows may meet those of other rests.
+        left_over = [(k, i) for k, i in first.items() if count[k[0]] > 1]
+        n = 0
+        while n < len(left_over):
+            end = min(n + 10_000, len(left_over))
+            while end < len(left_over) and left_over[end][0][0] == left_over[end - 1][0][0]:
+                end += 1
+            block = left_over[n:end]
+            n = end
+            yield sort([(k[0], part[i][1], part[i][2], k[2]) for k, i in block], np.array([int(at[i]) - k[1] for k, i in block]), False)
+
+    def full() -> np.ndarray:
+        return _unpack(np.array([r[2] for r in rows], dtype=np.int64))[2]
 
     for b in batches:
         for g, d, at, data in zip(*(b.column(n).to_pylist() for n in ("gram", "did", "place", "data")), strict=True):
             if g != current:
-                # The rest of a cut gram closes with it, and a full shard closes at a gram's end.
-                if slices and (known or size >= shard_bytes // 2):
-                    yield flush(False)
-                known, current = [], g
+                if known:
+                    yield sort(rows, full(), False)
+                    rows, size, known = [], 0, []
+                elif size >= shard_bytes // 2:
+                    yield from whole(rows)
+                    rows, size = [], 0
+                current, begins = g, len(rows)
             elif size >= shard_bytes:
-                yield flush(True)
-            slices.append(data)
-            did.append(d)
-            place.append(at)
+                if begins:
+                    yield from whole(rows[:begins])
+                    rows = rows[begins:]
+                    size, begins = sum(len(r[3]) for r in rows), 0
+                if size >= shard_bytes:
+                    yield sort(rows, full(), True)
+                    rows, size = [], 0
+            rows.append((g, d, at, data))
             size += len(data)
-    if slices:
-        yield flush(False)
+    if rows:
+        if known:
+            yield sort(rows, full(), False)
+        else:
+            yield from whole(rows)
 
 
-def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 1_000_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 8_000_000) -> DataFrame:
     """(did, tie, lo, hi): windows that start at bytes lo to hi of a document also start earlier."""
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,8 +459,8 @@ def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 1
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sort_shards(batches, shard_bytes)
 
-    met = docs.select("doc_id", "text").mapInArrow(publish, _ROW).repartition("p").sortWithinPartitions("kind", "gram", "context", "did", "place").mapInArrow(_meet, _ROW)
-    met = materialise(met.select("kind", "gram", "did", "place"), "met")
+    met = docs.select("doc_id", "text").mapInArrow(publish, _ROW).repartition("p").sortWithinPartitions("kind", "p", "context", "did", "place").mapInArrow(_meet, _ROW)
+    met = materialise(met.select("kind", F.when(F.col("kind") == 2, F.col("p")).alias("gram"), "did", "place"), "met")
     wants = met.where("kind = 2").groupBy("did", F.shiftright("place", 47).alias("tie")).agg(F.collect_list(F.struct("gram", "place")).alias("wants"))
     bytes_of = with_keys(docs).join(wants, ["did", "tie"]).select("did", "text", "wants").mapInArrow(fetch, "gram long, did long, place long, data binary")
     sorted_out = bytes_of.repartition("gram").sortWithinPartitions("gram", "did", "place").mapInArrow(shards, _RANGES)
