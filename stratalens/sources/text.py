@@ -81,7 +81,7 @@ def requirements(files: DataFrame, content: str = "content") -> DataFrame:
 
 def lcov_records(files: DataFrame, content: str = "content") -> DataFrame:
     """Per SF record: file, lines, covered, percentage, functions hit, branches of LCOV texts."""
-    rows = files.select(F.monotonically_increasing_id().alias("_f"), F.posexplode(F.split(content, "\r?\n")).alias("pos", "l"))
+    rows = files.withColumn("_f", F.monotonically_increasing_id()).select("_f", F.posexplode(F.split(content, "\r?\n")).alias("pos", "l"))
     w = Window.partitionBy("_f").orderBy("pos")
     rows = rows.withColumn("rec", F.sum(F.col("l").startswith("SF:").cast("int")).over(w)).where("rec > 0")
     hits = F.split(F.substring("l", 4, 10_000), ",")

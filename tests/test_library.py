@@ -1,0 +1,165 @@
+"""Sources, functions and operators on small made-up rows."""
+
+import datetime as dt
+import json
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from stratalens import streaming
+from stratalens.functions import columns as C
+from stratalens.operators import export, findings, scan, similarity
+from stratalens.sources import text
+
+
+def one(spark, col, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(col.alias("x")).first().x
+
+
+def test_globs_and_code_patterns():
+    assert re.search(C.glob_regex("dist/*.js"), "dist/a.js") and not re.search(C.glob_regex("dist/*.js"), "dist/x/a.js")
+    assert re.search(C.glob_regex("src/**/x"), "src/a/b/x") and re.search(C.glob_regex("lib"), "a/lib/b.js") and not re.search(C.glob_regex("a?c"), "abc")
+    assert re.search(C.metavariable_regex("eval($X)"), "eval(user.input)")[1] == "user.input" and re.search(C.metavariable_regex("f(...)"), "f(a, b)")
+
+
+def test_scalar_functions(spark):
+    assert abs(one(spark, C.shannon_entropy("t"), t="aabb") - 1.0) < 1e-9 and one(spark, C.shannon_entropy("t"), t="") == 0.0
+    assert one(spark, C.round_half_up("v"), v=-2.5) == -2.0 and one(spark, C.round_half_up("v", 2), v=1.005) == pytest.approx(1.0, abs=0.011)
+    assert one(spark, C.by_severity("s", C.PRIORITY, 0), s="high") == 50 and one(spark, C.by_severity("s", C.PRIORITY, 0), s="odd") == 0
+    assert one(spark, C.grade("v"), v=80.0) == "B" and one(spark, C.language_of("p"), p="a/b.tsx") == "typescript"
+    assert one(spark, C.path_pattern("p"), p="src/a/b.js") == "src/a/*.js" and one(spark, C.dirname("p"), p="b.js") == "."
+    assert one(spark, C.millis_of_range("r"), r="12h") == 43_200_000 and one(spark, C.millis_of_range("r"), r="soon") == 7 * 86_400_000
+    assert one(spark, C.error_type("m"), m="TypeError: x") == "TypeError" and one(spark, C.error_type("m"), m="boom") == "UnknownError"
+    assert one(spark, C.clean_version("v"), v="^1.2") == "1.2"
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0])], ["a", "b", "z"])
+    assert df.select(C.cosine("a", "b")).first()[0] == pytest.approx(1 / math.sqrt(2)) and df.select(C.cosine("a", "z")).first()[0] == 0.0
+
+
+def test_lines_and_chunks(spark):
+    docs = spark.createDataFrame([(1, "a\r\nb\n"), (2, ""), (3, None), (4, "\n" * 5000)], "doc_id long, text string")
+    assert [(r.doc_id, r.line, r.txt) for r in text.lines(docs).orderBy("doc_id", "line").collect()] == [(1, 1, "a"), (1, 2, "b"), (1, 3, ""), (2, 1, "")]
+    d = spark.createDataFrame([(1, "\n".join(map(str, range(97))))], "doc_id long, text string")
+    assert [(r.start_line, r.end_line) for r in text.chunks(d).collect()] == [(1, 50), (46, 95), (91, 97)]
+
+
+def test_files_and_manifests(spark, tmp_path):
+    for p in ("src/a.js", "node_modules/b.js", "src/c.txt", "src/d.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    files = text.discover_files(spark, str(tmp_path))
+    assert {r.path.rpartition("/")[2] for r in files.collect()} == {"a.js", "d.py"}
+    assert text.without_ignored(files, ["*.py", "!x", "# c"]).count() == 1
+    d = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert sorted(r.path for r in text.changed_files(d("./a.js", "b\\c.ts", "d.md"), d("a.js")).collect()) == ["a.js", "b/c.ts"]
+    m = spark.createDataFrame([(json.dumps({"dependencies": {"a": "^1.0"}, "devDependencies": {"b": "~2"}}),)], "content string")
+    assert sorted((r.name, r.version, r.type) for r in text.package_dependencies(m).collect()) == [("a", "1.0", "runtime"), ("b", "2", "dev")]
+    lock = spark.createDataFrame([(json.dumps({"packages": {"": {}, "node_modules/a": {"version": "1"}, "node_modules/a/node_modules/b": {"version": "2", "dev": True}}}),)], "content string")
+    assert sorted((r.name, r.is_direct, r.chain) for r in text.lockfile_packages(lock).collect()) == [("a", True, "a"), ("b", False, "a > b")]
+    req = spark.createDataFrame([("# c\nflask==2.0 # x\n-r y\nreq>=1\nplain\n",)], "content string")
+    assert [(r.name, r.version) for r in text.requirements(req).collect()] == [("flask", "2.0"), ("req", "1"), ("plain", "")]
+
+
+def test_coverage_docker_commits_incidents(spark, tmp_path):
+    c = spark.createDataFrame([("SF:a.js\nDA:1,1\nDA:2,0\nFNDA:3,f\nBRDA:1,0,0,1\nBRDA:1,0,1,-\nend_of_record\nSF:b.js\nDA:1,0\nend_of_record",)], "content string")
+    assert [(r.file, r.lines, r.covered, r.percentage, r.branches, r.branches_hit) for r in text.lcov_records(c).orderBy("file").collect()] == [("a.js", 2, 1, 50.0, 2, 1), ("b.js", 1, 0, 0.0, 0, 0)]
+    f = spark.createDataFrame([("Dockerfile", "FROM x\n# c\nRUN a \\\n  b\nUSER root")], "file string, content string")
+    assert [(r.line, r.instruction, r.arguments) for r in text.dockerfile_instructions(f).orderBy("line").collect()] == [(1, "FROM", "x"), (3, "RUN", "a b"), (5, "USER", "root")]
+    log = spark.createDataFrame([("s1\x1f2024\x1fn\x1fe\x1fsubj\x1fbody\x1es2\x1f2024\x1fn\x1fe\x1fx",)], "content string")
+    assert [(r.sha, r.body) for r in text.commit_log(log).collect()] == [("s1", "body"), ("s2", "")]
+    p = spark.createDataFrame([("sentry", '{"data":{"event":{"level":"fatal","title":"T","culprit":"f.js"}}}'), ("generic", '{"message":"m","severity":"low"}'), ("x", "{}")], "source string, body string")
+    assert [(r.error_message, r.severity) for r in text.incidents(p).collect()] == [("T", "CRITICAL"), ("m", "LOW"), ("Unknown error", "MEDIUM")]
+    (tmp_path / "t.csv").write_text("name,x,category,real\nA,1,xss,true\nB,1,sqli,false\n")
+    assert [(r.test_name, r.expected) for r in text.ground_truth_csv(spark, str(tmp_path / "t.csv")).collect()] == [("A", True), ("B", False)]
+
+
+def test_scan_guards(spark):
+    docs = spark.createDataFrame([(1, "a.js", "js", "use eval(x)\nsafe eval(y) // ok"), (2, "t/a.test.js", "js", "eval(z)"), (3, "b.py", "py", "eval(q)")], "doc_id long, path string, lang string, text string")
+    r = scan.custom_rule("EVAL", "eval($X)", "HIGH", langs=("js",), file_guard=r"\.test\.", line_guard="// ok")
+    got = scan.scan(docs, (r,), path="path", lang="lang").collect()
+    assert [(x.doc_id, x.line, x.col, x.end_col) for x in got] == [(1, 1, 4, 11)]
+    assert scan.select_rules(scan.TEXT_RULES, min_severity="HIGH") and len(scan.select_rules((r,), "py")) == 0
+    rows = text.lines(docs)
+    assert scan.with_context(rows).where("doc_id = 1 and line = 1").first().context.count("\n") == 1
+    assert scan.with_suppressions(rows, marker="use").where("suppressed").count() == 1
+
+
+def test_stateful_scans(spark):
+    a, b = scan.Rule("A", "HIGH", 5, "aa"), scan.Rule("B", "LOW", 1, "a")
+    d = spark.createDataFrame([(1, "aa\naa\nb\na")], "doc_id long, text string")
+    assert [(r.line, r.rule_id) for r in scan.first_secret_per_rule(d, (a, b)).collect()] == [(1, "A"), (2, "B")]
+    code = "const q = req.query.id\nlet z = q\ndb.query(z)\n\n\n\n\n\nconst n = parseInt(z)\ndb.query(n)\nlog(z)"
+    t = scan.taint(spark.createDataFrame([(1, code)], "doc_id long, text string")).collect()
+    assert [(r.line, r.variable) for r in t] == [(3, "z")]
+
+
+def test_findings(spark):
+    f = spark.createDataFrame([(1, 1, "A", "CRITICAL", 0, "x", 5), (1, 1, "A", "CRITICAL", 0, "x", 9), (1, 4, "B", "LOW", 3, "y", 0), (2, 1, "C", None, None, "x", 0)], "doc_id long, line long, rule_id string, severity string, impact int, domain string, col int")
+    d = findings.deduplicate(f)
+    assert d.count() == 3 and [r.priority for r in findings.top(findings.prioritise(d), 2).collect()] == [100, 15]
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "c")], "doc_id long, text string")
+    s = findings.summary(d, docs, F.size(F.split("text", "\n"))).first()
+    assert (s.total, s.critical, s.n_lines, s.score, s.grade) == (3, 1, 3, 89.5, "B")
+    zero = findings.domain_summary(d, spark.createDataFrame([("x",), ("none",)], "domain string")).collect()
+    assert {(r.domain, r.n) for r in zero} == {("x", 2), ("none", 0)}
+    assert findings.new_since(d, d.where("doc_id = 2"), ("line", "rule_id", "severity")).count() == 2
+    assert {(r.gate, r.passed) for r in findings.quality_gates(d, {"CRITICAL": 0, "HIGH": 2}).collect()} == {("CRITICAL", False), ("HIGH", True)}
+    assert {r.minutes for r in findings.debt(d, "domain").collect()} == {145, 130, 15}
+    diff = findings.run_diff(d.where("doc_id = 1"), d.where("rule_id <> 'A'"), "rule_id").collect()
+    assert {(r.rule_id, r.status) for r in diff} == {("A", "fixed"), ("B", "unchanged"), ("C", "added")}
+
+
+def test_order_dependent_operators(spark):
+    items = spark.createDataFrame([(1, 60, 9.0), (2, 50, 8.0), (3, 40, 7.0), (4, 500, 99.0)], "id long, cost int, value double")
+    assert [r.id for r in findings.knapsack(items, 100, 5, "cost", "value", "id").collect()] == [1, 3]
+    e = spark.createDataFrame([("k", 2, 1.0), ("k", 1, 0.0), ("k", 3, 1.0)], "k string, seq int, v double")
+    assert findings.ewma(e, "k", "seq", "v").first().risk == 0.51
+    v = spark.createDataFrame([("F", "c", 1, "p", 1.0), ("f", "c", 3, "q", 1.0), ("f", "c", 9, "p", 1.0)], "file string, category string, line long, provider string, weight double")
+    assert {(r.anchor, r.providers, r.accepted) for r in findings.consensus(v).collect()} == {(1, 2, True), (9, 1, False)}
+    a = spark.createDataFrame([(1, 10)], "k int, at int")
+    b = spark.createDataFrame([(1, 13), (1, 14), (2, 10), (1, 7)], "k int, at int")
+    assert sorted((r.k, r["at"]) for r in findings.merge_with_tolerance(a, b, ("k",), "at", 3).collect()) == [(1, 10), (1, 14), (2, 10)]
+
+
+def test_similarity_and_graphs(spark):
+    v = spark.createDataFrame([(i, [float(i % 3 == k) + 0.01 * i for k in range(3)]) for i in range(30)], "vec_id long, embedding array<double>")
+    got = similarity.vector_top_k(v.where("vec_id = 0"), v, 3, 0.5).orderBy(F.desc("similarity")).collect()
+    assert [r.vec_id for r in got] == [3, 6, 9]
+    p = spark.createDataFrame([(i, [x]) for i, x in enumerate([0.0, 0.1, 0.2, 5.0, 9.0, 9.1])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.cluster for r in similarity.density_clusters(p, 0.25).collect()} == {0: 0, 1: 0, 2: 0, 3: -1, 4: -1, 5: -1}
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c")], "src string, dst string")
+    n = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "node string")
+    assert [tuple(r) for r in similarity.two_cycles(e).collect()] == [("a", "b")] and [r.node for r in similarity.orphans(n, e, "node").collect()] == ["d"]
+    assert {(r.node, r.degree) for r in similarity.hubs(e, 2).collect()} == {("b", 2), ("c", 2)}
+    imports = spark.createDataFrame([("src/x",), ("src/y",), ("gone",)], "specifier string")
+    files = spark.createDataFrame([("src/x.ts",), ("src/x.js",), ("SRC/Y/index.js",)], "path string")
+    assert {r.specifier: r.resolved for r in similarity.resolve_imports(imports, files).collect()} == {"src/x": "src/x.js", "src/y": "SRC/Y/index.js", "gone": None}
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta delta"), (3, "other words here")], "doc_id long, text string")
+    assert [r.doc_id for r in similarity.tfidf_search(docs, [1], threshold=0.05).collect()] == [2]
+    assert sum(x * x for x in similarity.hashed_bags(docs).first().vector) == pytest.approx(1.0)
+
+
+def test_exports(spark, tmp_path):
+    f = spark.createDataFrame([(1, 2, "R", "HIGH", "m", 0, 4)], "doc_id long, line long, rule_id string, severity string, message string, col long, end_col long")
+    r = json.loads(export.sarif_results(f).first().result)
+    assert r["level"] == "error" and r["locations"][0]["physicalLocation"]["region"] == {"startLine": 2, "startColumn": 1, "endColumn": 5}
+    p = spark.createDataFrame([("@s/a", "^1.0"), ("@s/a", "^1.0")], "name string, version string")
+    assert [x.purl for x in export.sbom_components(p).collect()] == ["pkg:npm/%40s/a@1.0"]
+    assert export.markdown_table(p.limit(1)).count("\n") == 2
+    u = export.upserted(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), "k")
+    assert sorted(map(tuple, u.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    export.write_json(p, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=(i * 7) % 300), i % 4, ("error", "view")[i % 2]) for i in range(60)]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    e.repartition(3).write.parquet(str(tmp_path / "e"))
+    for build in (streaming.error_rate, streaming.sessions):
+        assert sorted(map(tuple, streaming.drained(spark, str(tmp_path / "e"), e.schema, build).collect())) == sorted(map(tuple, build(e).collect()))
+    once = streaming.drained(spark, str(tmp_path / "e"), e.schema, lambda s: streaming.without_replays(s, ("user_id",), "10 hours"), "append")
+    assert once.count() == streaming.without_replays(e, ("user_id",)).count() == 4
+    assert {r.n for r in streaming.running_cost(e, "event_type", "user_id").collect()} == {30}
