@@ -42,14 +42,14 @@ SQL["tool_quality_full_outer"] = """WITH s AS (SELECT s_nationkey AS k, count(*)
  SELECT coalesce(s.k, c.k) AS tool, coalesce(s.n, 0) AS commits, coalesce(c.n, 0) AS findings, n_name FROM s FULL OUTER JOIN c ON s.k = c.k JOIN {nation} ON n_nationkey = coalesce(s.k, c.k)"""
 SQL["pr_risk_components"] = """SELECT score, level, count(*) AS n FROM (SELECT score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS level FROM
  (SELECT least(count(*) * 4, 40) + least(count(DISTINCT o_orderpriority) * 8, 40) + CASE WHEN max(o_totalprice) > 400000 THEN 20 ELSE 0 END AS score FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_custkey) x) y GROUP BY score, level"""
-SQL["ml_confidence"] = """SELECT round(conf, 1) AS band, count(*) AS n, sum(quality) AS accepted FROM (SELECT least(greatest(0.4 * least(n_chars / 5000.0, 1.0) + 0.3 * (1 - toxic) + 0.3 * coalesce(nullif(CASE WHEN lang = 'en' THEN 0.9 ELSE 0.0 END, 0.0), 0.5), 0.0), 1.0) AS conf, quality
+SQL["ml_confidence"] = """SELECT round(conf, 1) AS band, count(*) AS n, CAST(sum(quality) AS BIGINT) AS accepted FROM (SELECT least(greatest(0.4 * least(n_chars / 5000.0, 1.0) + 0.3 * (1 - toxic) + 0.3 * coalesce(nullif(CASE WHEN lang = 'en' THEN 0.9 ELSE 0.0 END, 0.0), 0.5), 0.0), 1.0) AS conf, quality
  FROM {documents} JOIN {labels} USING (doc_id)) x GROUP BY round(conf, 1)"""
 SQL["cooccurrence_pairs"] = """WITH e AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM {events})
  SELECT a.event_type AS first, b.event_type AS second, count(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND a.day = b.day AND a.event_type < b.event_type GROUP BY a.event_type, b.event_type ORDER BY n DESC, first, second LIMIT 5"""
 SQL["cascade_transitions"] = """WITH s AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM {events})
  SELECT src, dst, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY src), 4) AS p FROM s WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst"""
 SQL["beta_posterior"] = """SELECT lang, a + 2 AS alpha, b + 2 AS beta, round((a + 2) * 1.0 / (a + b + 4), 4) AS mean, round((a + 2) * 1.0 * (b + 2) / ((a + b + 4) * 1.0 * (a + b + 4) * (a + b + 5)), 6) AS variance
- FROM (SELECT lang, sum(quality) AS a, sum(1 - quality) AS b FROM {documents} JOIN {labels} USING (doc_id) GROUP BY lang) x"""
+ FROM (SELECT lang, CAST(sum(quality) AS BIGINT) AS a, CAST(sum(1 - quality) AS BIGINT) AS b FROM {documents} JOIN {labels} USING (doc_id) GROUP BY lang) x"""
 SQL["incident_rule_candidates"] = """SELECT user_id, count(*) AS n, round(least(0.5 + 0.1 * (count(*) - 3), 0.95), 4) AS confidence FROM {events}
  WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM {events}) - INTERVAL '7' DAY GROUP BY user_id HAVING count(*) >= 3"""
 SQL["stream_error_rate_1h"] = """SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM {events} GROUP BY date_trunc('hour', ts)"""
@@ -85,7 +85,7 @@ SQL["graph_cycles"] = """WITH t AS (SELECT conv_id, role AS src, lead(role) OVER
  SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst"""
 SQL["graph_orphans"] = "SELECT n_nationkey FROM {nation} WHERE NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_nationkey = n_nationkey AND s_acctbal > 8000)"
 SQL["graph_hubs"] = "SELECT c_nationkey AS node, count(DISTINCT c_mktsegment) AS degree, count(*) AS n FROM {customer} GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) >= 5"
-SQL["debt_rollup"] = """SELECT l_returnflag, l_linestatus, sum(m) AS minutes, count(*) AS n, round(sum(m) / 60.0, 2) AS hours FROM (SELECT l_returnflag, l_linestatus,
+SQL["debt_rollup"] = """SELECT l_returnflag, l_linestatus, CAST(sum(m) AS BIGINT) AS minutes, count(*) AS n, round(sum(m) / 60.0, 2) AS hours FROM (SELECT l_returnflag, l_linestatus,
  CASE WHEN l_quantity > 45 THEN 120 WHEN l_quantity > 30 THEN 60 WHEN l_quantity > 15 THEN 30 ELSE 15 END AS m FROM {lineitem}) x GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
 SQL["coverage_low_files"] = "SELECT o_orderkey, n, covered, round(100.0 * covered / n, 2) AS pct FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS covered FROM {lineitem} GROUP BY l_orderkey) x WHERE covered * 2 < n AND n >= 6"
 SQL["share_of_total"] = "SELECT o_orderpriority, o_orderstatus, n, round(n * 100.0 / sum(n) OVER (PARTITION BY o_orderpriority), 4) AS pct FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_orderpriority, o_orderstatus) x"
@@ -96,7 +96,7 @@ SQL["health_score"] = "SELECT user_id, greatest(0, 100 - 15 * sum(CASE WHEN valu
 # ---- over lines and findings
 SQL["doc_metrics"] = "SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN trim(txt) = '' THEN 1 ELSE 0 END) AS blank, max(length(txt)) AS longest, sum(CASE WHEN length(txt) > 140 THEN 1 ELSE 0 END) AS long_lines FROM {lines} GROUP BY doc_id"
 SQL["long_line_top3"] = "SELECT doc_id, line, length(txt) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM {lines} WHERE length(txt) > 140) x WHERE r <= 3"
-SQL["finding_context"] = """SELECT f.doc_id, f.line, f.rule_id, count(*) AS context_lines, sum(length(l.txt)) AS context_chars FROM {findings} f JOIN {lines} l ON l.doc_id = f.doc_id AND l.line BETWEEN f.line - 2 AND f.line + 2 WHERE f.severity = 'CRITICAL' GROUP BY f.doc_id, f.line, f.rule_id"""
+SQL["finding_context"] = """SELECT f.doc_id, f.line, f.rule_id, count(*) AS context_lines, CAST(sum(length(l.txt)) AS BIGINT) AS context_chars FROM {findings} f JOIN {lines} l ON l.doc_id = f.doc_id AND l.line BETWEEN f.line - 2 AND f.line + 2 WHERE f.severity = 'CRITICAL' GROUP BY f.doc_id, f.line, f.rule_id"""
 SQL["suppressed_findings"] = """SELECT doc_id, line, lower(prev) LIKE '%licensed under%' AS suppressed FROM (SELECT doc_id, line, txt, lag(txt) OVER (PARTITION BY doc_id ORDER BY line) AS prev FROM {lines}) x WHERE length(txt) > 140"""
 SQL["scan_text_rules"] = "SELECT doc_id, line, rule_id, severity, impact, domain, col FROM {findings}"
 SQL["severity_summary"] = "SELECT severity, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(CASE severity WHEN 'CRITICAL' THEN 10.0 WHEN 'HIGH' THEN 5.0 WHEN 'MEDIUM' THEN 2.0 ELSE 0.5 END) AS penalty FROM {findings} GROUP BY severity"
@@ -118,6 +118,35 @@ SQL["incremental_diff"] = """WITH o AS (SELECT doc_id, length(text) AS h FROM {d
 del SQL["decay_rank"]
 
 
+def _closing(sql: str, at: int) -> int:
+    """The place behind the bracket that closes the one before ``at``."""
+    depth = 1
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[at], 0)
+        at += 1
+    return at
+
+
+def plain_numbers(sql: str) -> str:
+    """Literals with a point as doubles, and sums of whole-number cases as BIGINT, so that both engines give the same types."""
+    import re
+
+    sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
+    at = 0
+    while (at := sql.find("sum(CASE", at)) >= 0:
+        end = _closing(sql, at + 4)
+        inner = sql[at + 4 : end - 1]
+        if over := re.match(r" OVER (\(|\w+)", sql[end:]):
+            end = _closing(sql, end + over.end()) if over[1] == "(" else end + over.end()
+        if re.fullmatch(r".* THEN \d+( ELSE \d+)? END", inner) and "e0" not in inner:
+            call = f"CAST({sql[at:end]} AS BIGINT)"
+            sql = sql[:at] + call + sql[end:]
+            at += len("CAST(sum(")
+        else:
+            at += 4
+    return sql
+
+
 def duck(sql: str) -> str:
     """The query for DuckDB, with the operators' tables as common table expressions."""
     ctes = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
-SQL["fixes_map_merge"] = "SELECT category, sum(n) AS fixes, round(100.0 * sum(n) / sum(sum(n)) OVER (), 4) AS rate FROM (SELECT o_orderpriority AS category, count(*) AS n FROM {orders} GROUP BY o_orderpriority UNION ALL SELECT l_shipmode, n FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n FROM {lineitem} GROUP BY l_returnflag) x) y GROUP BY category"
+SQL["fixes_map_merge"] = "SELECT category, CAST(sum(n) AS BIGINT) AS fixes, round(100.0 * sum(n) / sum(sum(n)) OVER (), 4) AS rate FROM (SELECT o_orderpriority AS category, count(*) AS n FROM {orders} GROUP BY o_orderpriority UNION ALL SELECT l_shipmode, n FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n FROM {lineitem} GROUP BY l_returnflag) x) y GROUP BY category"
 SQL["maintainability_index"] = "SELECT doc_id, round(greatest(0, 100 - least(n * 0.05, 30) - least(long_n * 5.0, 40) - CASE WHEN widest > 200 THEN 10 ELSE 0 END), 4) AS idx FROM (SELECT doc_id, count(*) AS n, sum(CASE WHEN length(txt) > 140 THEN 1 ELSE 0 END) AS long_n, max(length(txt)) AS widest FROM {lines} GROUP BY doc_id) x"
 SQL["pr_score_by_tool"] = "SELECT doc_id, least(70, 4 * sum(CASE severity WHEN 'CRITICAL' THEN 8 WHEN 'HIGH' THEN 5 WHEN 'MEDIUM' THEN 3 ELSE 1 END)) + CASE WHEN count(*) > 5 THEN 5 WHEN count(*) > 2 THEN 3 ELSE 0 END AS score FROM {findings} GROUP BY doc_id"
 SQL["fix_verification_consensus"] = "SELECT user_id, n, round(agree, 4) AS agree, CASE WHEN n < 2 THEN 'review' WHEN agree >= 0.9 THEN 'apply' WHEN agree >= 0.7 THEN 'suggest' WHEN agree >= 0.5 THEN 'review' ELSE 'reject' END AS action FROM (SELECT user_id, count(*) AS n, avg(CASE WHEN value < 60 THEN 1.0 ELSE 0.0 END) AS agree FROM {events} GROUP BY user_id) x"
@@ -15,7 +15,7 @@ SQL["memory_preference"] = "SELECT event_type, round(sum(CASE WHEN user_id % 2 =
 SQL["visual_risk"] = "SELECT doc_id, least(100, sum(CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 ELSE 2 END)) AS risk FROM {findings} GROUP BY doc_id"
 SQL["dx_score"] = "SELECT user_id, round(0.4 * a + 0.3 * b + 0.3 * c, 4) AS dx FROM (SELECT user_id, avg(value) AS a, avg(CASE WHEN event_type = 'view' THEN 100.0 ELSE 0.0 END) AS b, 100.0 - avg(CASE WHEN event_type = 'error' THEN 100.0 ELSE 0.0 END) AS c FROM {events} GROUP BY user_id) x"
 SQL["accuracy_gate"] = "SELECT lang, n, round(acc, 4) AS accuracy, CASE WHEN n < 10 THEN 'warn' WHEN acc >= 0.85 THEN 'pass' WHEN acc >= 0.80 THEN 'warn' ELSE 'fail' END AS verdict FROM (SELECT lang, count(*) AS n, avg(CASE WHEN (n_chars >= 400) = (quality = 1) THEN 1.0 ELSE 0.0 END) AS acc FROM {documents} JOIN {labels} USING (doc_id) GROUP BY lang) x"
-SQL["brace_depth"] = "SELECT doc_id, max(depth) AS deepest, min(depth) AS lowest FROM (SELECT doc_id, sum(length(txt) - length(replace(txt, '(', '')) - length(txt) + length(replace(txt, ')', ''))) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM {lines}) x GROUP BY doc_id"
+SQL["brace_depth"] = "SELECT doc_id, CAST(max(depth) AS BIGINT) AS deepest, CAST(min(depth) AS BIGINT) AS lowest FROM (SELECT doc_id, sum(length(txt) - length(replace(txt, '(', '')) - length(txt) + length(replace(txt, ')', ''))) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM {lines}) x GROUP BY doc_id"
 SQL["tool_ranking"] = "SELECT s_nationkey AS tool, n, rank() OVER (ORDER BY n DESC) AS place, dense_rank() OVER (ORDER BY n DESC) AS dense FROM (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey) x"
 SQL["sliding_blocks"] = "SELECT doc_id, line, filled FROM (SELECT doc_id, line, sum(CASE WHEN trim(txt) <> '' THEN 1 ELSE 0 END) OVER w AS filled, count(*) OVER w AS n FROM {lines} WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) x WHERE n = 5 AND filled >= 3"
 SQL["debt_contributors"] = "SELECT l_suppkey, minutes, round(100.0 * minutes / sum(minutes) OVER (), 4) AS pct FROM (SELECT l_suppkey, sum(CASE WHEN l_quantity > 45 THEN 120 ELSE 15 END) AS minutes FROM {lineitem} GROUP BY l_suppkey) x ORDER BY minutes DESC, l_suppkey LIMIT 10"
@@ -33,7 +33,7 @@ SQL["score_to_test_match"] = "SELECT e.event_id, c.conv_id, count(*) OVER (PARTI
 SQL["chunk_refresh"] = "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {documents} c WHERE c.doc_id = d.doc_id AND c.n_chars = length(d.text) AND c.doc_id % 3 = 0)"
 SQL["late_events_rejected"] = "SELECT event_id, lag_s > 3600 AS late FROM (SELECT event_id, CASE WHEN max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - INTERVAL '1' HOUR > ts THEN 3601 ELSE 0 END AS lag_s FROM {events}) x"
 SQL["ttl_cache_validity"] = "SELECT user_id, max(ts) >= (SELECT max(ts) FROM {events}) - INTERVAL '24' HOUR AS valid, count(*) AS n FROM {events} GROUP BY user_id"
-SQL["halting_limits"] = "SELECT doc_id, running FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM {documents}) x WHERE running <= 750000"
+SQL["halting_limits"] = "SELECT doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM {documents}) x WHERE running <= 750000"
 SQL["pub_sub_fan_out"] = "SELECT s.role AS subscriber, count(*) AS delivered FROM {conversations} m JOIN (SELECT DISTINCT role FROM {conversations}) s ON s.role <> m.role GROUP BY s.role"
 SQL["unresolved_critical"] = "SELECT user_id, count(*) AS n FROM {events} e WHERE event_type = 'error' AND value > 80 AND NOT EXISTS (SELECT 1 FROM {events} r WHERE r.user_id = e.user_id AND r.event_type = 'purchase' AND r.ts > e.ts) GROUP BY user_id"
 SQL["count_flush_batches"] = "SELECT batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 10.0) AS BIGINT) AS batch FROM {events}) x GROUP BY batch"

@@ -43,6 +43,7 @@ def _sql(name: str, sql: str) -> Query:
 
 
 for _name, _text in (catalog.SQL | more.SQL).items():
+    _text = catalog.plain_numbers(_text)
     QUERIES[_name] = _sql(_name, _text)
     ORACLE[_name] = catalog.duck(_text)
 
@@ -141,7 +142,7 @@ def _events_schema(spark, sf_dir):
     return table(spark, sf_dir, "events").schema
 
 
-@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS n, count_if(event_type = 'error') AS errors, round(count_if(event_type = 'error') / count(*), 4) AS rate, count_if(event_type = 'error') / count(*) > 0.05 AS alert FROM events GROUP BY 1")
+@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS errors, round(count_if(event_type = 'error') / count(*), 4) AS rate, count_if(event_type = 'error') / count(*) > 0.05 AS alert FROM events GROUP BY 1")
 def stream_error_rate_5m(spark, sf_dir):
     return _drained(spark, sf_dir, streaming.error_rate)
 
