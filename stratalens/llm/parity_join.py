@@ -107,7 +107,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, s: JoinSettings) -> np.
             if level == 1 and len(rare) == n:
                 continue
             number, content = _blocks(part, band, level)
-            name = np.uint64(4 * band + level + 1) * _C1
+            name = np.uint64((4 * band + level + 1) * int(_C1) % 2**64)
             out.append(mix(mix(content[: d + 1] * _C2 + number[: d + 1]) + name))
             if len(number) > d:
                 break
@@ -222,7 +222,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, s: JoinSettings, hold: int
             # kind 0: the bucket's first class here, and how many classes it has here
             for k in range(0, len(at), 200_000):
                 x = at[k : k + 200_000]
-                yield batch(0, sig[x], cid[x], size[x], sig[x], count[k : k + 200_000])
+                yield batch(0, sig[x], cid[x], size[x], np.zeros(len(x)), count[k : k + 200_000])
             rest = np.flatnonzero(~first)
             if len(rest):
                 lead = np.repeat(at, count)[rest]
@@ -288,8 +288,6 @@ def candidates(docs: DataFrame, frequent: np.ndarray, s: JoinSettings, hold: int
 
 def verified(pairs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
     """The pairs (a, b) whose token sets are similar enough."""
-    left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,7 +298,10 @@ def verified(pairs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    # Both joins read ``sets`` as it is, so that Spark shuffles it once and reuses the exchange.
+    first = pairs.select("a", "b").join(sets, F.col("a") == F.col("cid")).select("a", "b", F.col("tokens").alias("ta"))
+    both = first.join(sets, F.col("b") == F.col("cid")).select("a", "b", "ta", F.col("tokens").alias("tb"))
+    return both.mapInArrow(run, "a long, b long")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, s: JoinSettings) -> DataFrame:
@@ -323,6 +324,8 @@ def class_links(docs: DataFrame, classes: DataFrame, s: JoinSettings = JoinSetti
     found = materialise(candidates(docs, frequent, s), "candidates")
     edges = materialise(found.where("kind = 1").select("a", "b").distinct(), "pairs")
     members = found.where("kind = 2").select(F.col("a").alias("cid"), F.col("na").alias("n"), F.col("b").alias("bucket")).distinct()
+    wide = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 2").select("bucket")  # the star of two is their only pair
+    members = materialise(members.join(wide, "bucket"), "wide-buckets")
     wanted = edges.select(F.col("a").alias("cid")).unionByName(edges.select(F.col("b").alias("cid"))).unionByName(members.select("cid"))
     sets = materialise(token_sets(docs, wanted, classes, s), "sets")
     links = materialise(verified(edges, sets, s), "links")
