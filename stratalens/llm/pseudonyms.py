@@ -203,6 +203,11 @@ def _compile() -> re.Pattern:
 
 _FIND = _compile()
 _MAKE = {kind: f for kind, _, f in KINDS}
+_EACH = {kind: re.compile(pattern.replace(r"\GROUP", r"\1")) for kind, pattern, _ in KINDS}
+#: Kinds whose pattern runs over blanks or hyphens into what stands next to the value.
+_LOOSE = ("iban", "card")
+#: How cards are written: in one run, or in the groups of 13 to 19 digit numbers.
+_CARD_SHAPE = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{1,4}|[0-9]{4}\1[0-9]{1,3})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
 
 
 @lru_cache(maxsize=65536)
@@ -210,11 +215,47 @@ def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _email(value, key) if kind == "email" else _MAKE[kind](value, key)
 
 
+def _ends(kind: str, text: str, m: re.Match, stop: int) -> list[int]:
+    """Where a value of ``kind`` that starts with ``m`` can end, at ``stop`` at most; longest first, usual card shapes before others."""
+    ends = [m.end()]
+    if kind in _LOOSE:
+        ends += [e for e in range(m.end() - 1, m.start(), -1) if text[e] in " -" and _EACH[kind].fullmatch(text, m.start(), e)]
+    ends = [e for e in ends if e <= stop]
+    return sorted(ends, key=lambda e: not _CARD_SHAPE.fullmatch(text, m.start(), e)) if kind == "card" else ends
+
+
+def _value(text: str, start: int, stop: int, key: bytes, usual: bool = False) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the value at ``start``: every kind, and every end of it, until one is valid.
+
+    A card in an unusual shape (digits of two neighbours can pass Luhn by chance) gives way to any other
+    value that starts in it, and is left out if ``usual``.
+    """
+    odd = None
+    for kind, _, _ in KINDS:
+        if not (m := _EACH[kind].match(text, start)):
+            continue
+        for end in _ends(kind, text, m, stop):
+            if (new := _pseudonym(kind, text[start:end], key)) is None:
+                continue
+            if kind != "card" or _CARD_SHAPE.fullmatch(text, start, end):
+                return kind, end, new
+            odd = odd or (kind, end, new)
+    if odd is None or usual:
+        return None
+    at = start + 1
+    while (m := _FIND.search(text, at)) and m.start() < odd[1]:
+        if _value(text, m.start(), stop, key, usual=True):
+            return None
+        at = m.start() + 1
+    return odd
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with every validated value replaced, and how many of each kind.
 
-    A match that fails its validation is searched again from its second character on, so that a value
-    inside it (say a date in a longer run) is still found.
+    Where a match fails its validation, the other kinds and the shorter ends at group borders are tried
+    at the same place; then the search goes on from the next character, so that a value inside it (say a
+    date in a longer run) is still found.  A value ends before an e-mail address that follows it.
     """
     counts: dict[str, int] = {}
     out: list[str] = []
@@ -231,17 +272,19 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         while m := _FIND.search(text, pos):
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            if at < len(taken) and taken[at][0] < m.end():
+            stop = taken[at][0] if at < len(taken) else len(text)
+            if stop <= m.start():
                 pos = taken[at][1]
                 continue
-            new = _pseudonym(m.lastgroup, m[0], key)
-            if new is None:
+            value = _value(text, m.start(), stop, key)
+            if value is None:
                 pos = m.start() + 1
                 continue
-            found.append((m.start(), m.end(), new))
-            kind = m.lastgroup.partition("_")[0]
+            kind, end, new = value
+            found.append((m.start(), end, new))
+            kind = kind.partition("_")[0]
             counts[kind] = counts.get(kind, 0) + 1
-            pos = m.end()
+            pos = end
         spans = sorted(taken + found)
     for start, end, new in spans:
         out += (text[last:start], new)

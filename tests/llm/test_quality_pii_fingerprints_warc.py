@@ -82,6 +82,27 @@ def test_clean_text_and_failed_validation_stay():
         assert pseudonyms.pseudonymise(s, KEY) == (s, {})
 
 
+def test_values_beside_each_other_are_all_found():
+    card, phone, iban = "4111 1111 1111 1111", "415-555-2671", "BE68 5390 0754 7034"
+    alone = {s: pseudonyms.pseudonymise(s, KEY)[0] for s in (card, card.replace(" ", ""), phone, iban, "97.51.17.173", "2024-01-05", "123-45-6789", "7@x.org")}
+    assert all(new != s for s, new in alone.items())
+    for a, new in alone.items():
+        for b in ("12/27", "123", "1", "AB"):
+            assert pseudonyms.pseudonymise(f"{a} {b}", KEY)[0] == f"{new} {b}", (a, b)
+        for b, other in alone.items():
+            assert pseudonyms.pseudonymise(f"{a} {b}", KEY)[0] == f"{new} {other}", (a, b)
+            assert pseudonyms.pseudonymise(f"{a} {b} {a}", KEY)[0] == f"{new} {other} {new}", (a, b)
+
+
+def test_neighbours_that_pass_luhn_together_stay_apart():
+    for serial in range(200):  # a tenth of these are valid as one number of 16 digits
+        a, b = f"415-555-{serial:04d}", "415-555-2671"
+        want = " ".join(pseudonyms.pseudonymise(s, KEY)[0] for s in (a, b))
+        assert pseudonyms.pseudonymise(f"{a} {b}", KEY) == (want, {"phone": 2})
+        card = f"{serial:03d} 4111 1111 1111 1111"
+        assert pseudonyms.pseudonymise(card, KEY)[0] == f"{serial:03d} " + pseudonyms.pseudonymise(card[4:], KEY)[0]
+
+
 def test_op4(spark):
     docs = {r[0]: r[1] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     out = rows(queries.op4_pseudonyms(spark, DATA), "doc_id")
