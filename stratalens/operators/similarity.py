@@ -86,6 +86,33 @@ def cloned_lines(docs: DataFrame, least_chars: int = 40, text: str = "text") ->
     return rows.groupBy(F.sha2("body", 256).alias("block_hash")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), place.alias("p")).where("n > 1").select("block_hash", "n", "n_docs", F.col("p.doc_id").alias("first_doc"), F.col("p.line").alias("first_line"))
 
 
+def contained_items(docs: DataFrame, items: DataFrame, window: int = 8, text: str = "text") -> DataFrame:
+    """item_id, n, first_doc: the items whose words stand one after another at any place of a document.
+
+    Words are runs of letters and digits, case folded; items without words are in no document.  The first
+    ``window`` words of an item (all, if it has fewer) are joined by hash with the windows of the documents,
+    and the pairs that meet are compared word by word.  ``n`` counts pairs of a document row and an item text.
+    """
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    joined = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    it = items.select("item_id", words.alias("w")).where(F.size("w") > 0).select("item_id", "w", F.least(F.size("w"), F.lit(window)).alias("len")).distinct()
+    it = it.select("item_id", "len", F.xxhash64(F.slice("w", 1, F.col("len"))).alias("mark"), joined(F.col("w")).alias("passage"))
+    lengths = sorted(r[0] for r in it.select("len").distinct().collect())  # at most ``window``
+    d = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0)
+
+    def marks(n: int) -> DataFrame:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return d.select("doc_id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, n)))).alias("mark")).withColumn("len", F.lit(n))
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, len int"
+    met = docs.sparkSession.createDataFrame([], schema)
+    for n in lengths:
+        met = met.unionByName(marks(n))
+    met = met.join(it, ["len", "mark"]).select(F.col("doc_id").alias("_doc"), "item_id", "passage").distinct()
+    pairs = docs.select("doc_id", text).join(met, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(F.contains(joined(words), F.col("passage")))
+    return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 def density_clusters(points: DataFrame, eps: float, min_points: int = 2, vid: str = "vec_id", vec: str = "embedding", group: str | None = None) -> DataFrame:
     """vec_id, cluster (-1: noise) by density; a point does not count as its own neighbour.
 

@@ -138,6 +138,12 @@ def clone_pairs(spark, sf_dir):
     return similarity.cloned_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def benchmark_passages(spark, sf_dir):
+    """Benchmark items at any place of a document; benchmark_contamination compares whole lines only."""
+    return similarity.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _events_schema(spark, sf_dir):
     return table(spark, sf_dir, "events").schema
 

@@ -163,3 +163,26 @@ def test_stream_equals_batch(spark, tmp_path):
     once = streaming.drained(spark, str(tmp_path / "e"), e.schema, lambda s: streaming.without_replays(s, ("user_id",), "10 hours"), "append")
     assert once.count() == streaming.without_replays(e, ("user_id",)).count() == 4
     assert {r.n for r in streaming.running_cost(e, "event_type", "user_id").collect()} == {30}
+
+
+def test_benchmark_passages_equal_brute_force(spark):
+    import re
+
+    from stratalens.plans import registry
+
+    words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").collect()
+    docs = [(r.doc_id, words(r.text)) for r in read("documents")]
+    want = {}
+    for b in read("benchmark"):
+        if hits := [d for d, t in docs if words(b.text) in t]:
+            want[b.item_id] = (len(hits), min(hits))
+    got = {r.item_id: (r.n, r.first_doc) for r in registry.QUERIES["benchmark_passages"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and sum(n for n, _ in got.values()) >= 3
+
+
+def test_contained_items_short_null_and_in_part(spark):
+    docs = spark.createDataFrame([(1, "so One two, three."), (None, "x one\nTWO y"), (None, "x one\nTWO y"), (3, "one twofold"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("b", "..."), ("c", "one two three four"), ("d", None), ("e", "y")], "item_id string, text string")
+    got = {r.item_id: (r.n, r.first_doc) for r in similarity.contained_items(docs, items, window=2).collect()}
+    assert got == {"a": (3, 1), "e": (2, None)}
