@@ -64,11 +64,12 @@ def custom_rule(rule_id: str, pattern: str, severity: str = "MEDIUM", **more) ->
     return Rule(rule_id, severity, more.pop("impact", 5), metavariable_regex(pattern), **more)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", path: str | None = None, lang: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", path: str | None = None, lang: str | None = None, guard: bool = False) -> DataFrame:
     """Findings of all rules: the columns of ``docs`` but the text, line, rule_id, severity, impact, domain, message, col, end_col, match, snippet.
 
     One projection holds all rules of a line; document guards are computed on the document row before
-    lines are made, so the text is read once.  Columns are 0-based starts of the first match.
+    lines are made, so the text is read once.  Columns are 0-based starts of the first match.  With
+    ``guard`` oversize documents give none.
     """
     rules = tuple(r for r in rules if r.enabled)
     flags = []
@@ -94,7 +95,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", path: str
         if i in flags:
             hit = F.col(f"_g{i}") & hit
         conditions.append(F.when(hit, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.impact).cast("long").alias("impact"), F.lit(r.domain).alias("domain"), F.lit(r.message).alias("message"), F.regexp_extract(txt, r.pattern, 0).alias("match"))))
-    rows = lines(docs, text)
+    rows = lines(docs, text, guard)
     keep = [c for c in docs.columns if c != text and not c.startswith("_g")]
     each = rows.select(*keep, "line", "txt", F.explode(F.filter(F.array(*conditions), lambda x: x.isNotNull())).alias("f"))
     start = F.position(F.col("f.match"), txt) - 1

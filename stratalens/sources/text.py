@@ -36,8 +36,8 @@ def changed_files(diff: DataFrame, untracked: DataFrame, path: str = "path") ->
     return diff.select(path).unionByName(untracked.select(path)).select(norm.alias(path)).where(F.col(path).rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)$")).distinct()
 
 
-def lines(docs: DataFrame, text: str = "text", guard: bool = True) -> DataFrame:
-    """One row per line: the other columns of ``docs``, ``line`` from 1 and ``txt``.  Oversize documents give none."""
+def lines(docs: DataFrame, text: str = "text", guard: bool = False) -> DataFrame:
+    """One row per line: the other columns of ``docs``, ``line`` from 1 and ``txt``.  With ``guard`` oversize documents give none."""
     if guard:
         docs = docs.where(F.length(text) <= MAX_CHARS).where(F.regexp_count(text, F.lit("\n")) < MAX_LINES)
     keep = [c for c in docs.columns if c != text]

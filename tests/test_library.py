@@ -186,3 +186,26 @@ def test_contained_items_short_null_and_in_part(spark):
     items = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("b", "..."), ("c", "one two three four"), ("d", None), ("e", "y")], "item_id string, text string")
     got = {r.item_id: (r.n, r.first_doc) for r in similarity.contained_items(docs, items, window=2).collect()}
     assert got == {"a": (3, 1), "e": (2, None)}
+
+
+def test_queries_read_documents_of_any_size(spark, tmp_path):
+    import duckdb
+
+    from stratalens.plans import registry
+
+    from .oracle import same
+
+    line = 'token = "abc" and forty more characters of a line that repeats'
+    many, wide = "\n".join([line] * 5001), line + "\n" + "x" * 500_001 + "\n" + line
+    spark.createDataFrame([(1, "en", many), (2, "en", wide)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<iframe>\n" * 5001)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("clone_pairs", "custom_rule_match", "scan_html_rules"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        assert got.count() and same(got, c.sql(registry.ORACLE[name])) == "", name
+    assert {r.doc_id: r.n_lines for r in registry.QUERIES["doc_metrics"](spark, str(tmp_path)).collect()} == {1: 5001, 2: 3}
+    got = registry.QUERIES["scan_text_rules"](spark, str(tmp_path))  # the rule scan has a guard, in its SQL too
+    assert same(got, c.sql(registry.ORACLE["scan_text_rules"])) == ""
+    assert text.lines(spark.read.parquet(f"{tmp_path}/documents.parquet"), guard=True).count() == 0
