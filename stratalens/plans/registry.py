@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..operators import findings as fnd
-from ..operators import scan, similarity
+from ..operators import scan, secrets, similarity
 from ..sources import text
 from . import catalog, more
 
@@ -60,7 +60,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 @query()
 def secret_scan(spark, sf_dir):
-    return scan.first_secret_per_rule(table(spark, sf_dir, "documents"), scan.TEXT_RULES)
+    return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '"([^"\\s]{20,})"', 1))) AS token FROM documents),
