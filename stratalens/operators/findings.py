@@ -138,3 +138,12 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column, by: str | None
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), 4)
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     return c.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str, state: str) -> DataFrame:
+    """key, status of all keys of two snapshots: new, deleted, changed (another ``state``) or cached.  One row per key and side."""
+    o = old.select(F.col(key).alias("_o"), F.col(state).alias("_os"), F.lit(True).alias("_in_old"))
+    n = new.select(F.col(key).alias("_n"), F.col(state).alias("_ns"), F.lit(True).alias("_in_new"))
+    same = F.col("_os").eqNullSafe(F.col("_ns"))
+    status = F.when(F.col("_in_old").isNull(), "new").when(F.col("_in_new").isNull(), "deleted").when(same, "cached").otherwise("changed")
+    return o.join(n, F.col("_o") == F.col("_n"), "full").select(F.coalesce("_o", "_n").alias(key), status.alias("status"))

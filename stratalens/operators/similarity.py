@@ -167,6 +167,18 @@ def orphans(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return nodes.select(node).distinct().join(edges.select(F.col("dst").alias(node)).distinct(), node, "left_anti")
 
 
+def two_hop_reach(edges: DataFrame) -> DataFrame:
+    """src, reached: how many distinct ``src`` share a ``dst`` with each, itself among them.
+
+    Each ``dst`` is a row of bitmaps of its sources, and a source unites those of its own, so that pairs
+    of sources are never rows.  ``src`` are whole numbers; edges with a null are left out.
+    """
+    e = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    maps = e.groupBy("dst", F.bitmap_bucket_number("src").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("src")).alias("m"))
+    united = e.repartition("src").join(maps, "dst").groupBy("src", "k").agg(F.bitmap_count(F.bitmap_or_agg("m")).alias("c"))
+    return united.groupBy("src").agg(F.sum("c").alias("reached"))
+
+
 def hubs(edges: DataFrame, least: int = 5) -> DataFrame:
     """node, degree of nodes with ``least`` distinct neighbours or more."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()

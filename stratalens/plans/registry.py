@@ -144,6 +144,13 @@ def benchmark_passages(spark, sf_dir):
     return similarity.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def multi_hop_reach_all(spark, sf_dir):
+    """multi_hop_reach over the customers of all orders."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return similarity.two_hop_reach(lines.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
 def _events_schema(spark, sf_dir):
     return table(spark, sf_dir, "events").schema
 

@@ -245,3 +245,36 @@ def test_secret_scan_reports_the_secrets_of_the_documents(spark):
     quoted = re.compile(r"""(?i)token *= *['"`][0-9a-f]{40}['"`]""")
     want = {(r.doc_id, "GENERIC_SECRET") for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if quoted.search(r.text or "")}
     assert want and want <= found and {rule for _, rule in found} <= {r.rule_id for r in secrets.SECRET_RULES}
+
+
+def test_reach_over_all_orders_equals_brute_force(spark):
+    from stratalens.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    customer = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    edges = {(customer[r.l_orderkey], r.l_suppkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect() if r.l_orderkey in customer}
+    of = {}
+    for c, s in edges:
+        of.setdefault(s, set()).add(c)
+    want = {}
+    for c, s in edges:
+        want.setdefault(c, set()).update(of[s])
+    got = {r.src: r.reached for r in registry.QUERIES["multi_hop_reach_all"](spark, sf).collect()}
+    assert got == {c: len(x) for c, x in want.items()} and max(got) >= 50
+
+
+def test_two_hop_reach_over_many_bitmaps(spark):
+    e = [(1, 1), (1, 1), (40_000, 1), (10**9, 2), (40_000, 2), (7, 3), (None, 1), (8, None), (0, 4), (-5, 4)]
+    got = {r.src: r.reached for r in similarity.two_hop_reach(spark.createDataFrame(e, "src long, dst long")).collect()}
+    assert got == {1: 2, 40_000: 3, 10**9: 2, 7: 1, 0: 2, -5: 2}
+
+
+def test_snapshots_of_two_sizes_differ_as_counted(spark):
+    side = lambda sf: spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("h"))
+    a, b = side("sf0.001"), side("sf0.01").where("doc_id >= 35")
+    x, y = (({r.doc_id: r.h for r in d.collect()}) for d in (a, b))
+    want = {k: "new" if k not in x else "deleted" if k not in y else "cached" if x[k] == y[k] else "changed" for k in x | y}
+    got = findings.snapshot_diff(a, b, "doc_id", "h").collect()
+    assert {r.doc_id: r.status for r in got} == want and len(got) == len(want)
+    made = findings.snapshot_diff(*(spark.createDataFrame(r, "k long, h string") for r in ([(1, "a"), (2, "b"), (3, None), (35, "x")], [(2, "c"), (3, None), (4, "d"), (35, "x")])), "k", "h")
+    assert {r.k: r.status for r in made.collect()} == {1: "deleted", 2: "changed", 3: "cached", 4: "new", 35: "cached"}
