@@ -113,11 +113,16 @@ def contained_items(docs: DataFrame, items: DataFrame, window: int = 8, text: st
     return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-def density_clusters(points: DataFrame, eps: float, min_points: int = 2, vid: str = "vec_id", vec: str = "embedding", group: str | None = None) -> DataFrame:
+def density_clusters(points: DataFrame, eps: float, min_points: int = 2, vid: str = "vec_id", vec: str = "embedding", group: str | None = None, block: int = 8192) -> DataFrame:
     """vec_id, cluster (-1: noise) by density; a point does not count as its own neighbour.
 
-    Groups are clustered apart (by ``group``), each as one matrix, for groups of bounded size.
+    Clusters are numbered by their least core point; a point that is none is in the first cluster next to
+    it.  Points (ids are unique) are compared in pairs of blocks: once to count neighbours, once to join
+    core points, where a pair of blocks gives a spanning forest and not its pairs.  The forests meet in one
+    task.  With ``group``, groups are clustered apart, each as one matrix, for groups of bounded size.
     """
+    if group is None:
+        return _clusters_of_all(points, eps, min_points, vid, vec, block)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(vid)
@@ -150,9 +155,84 @@ def density_clusters(points: DataFrame, eps: float, min_points: int = 2, vid: st
             nxt += 1
         return pd.DataFrame({vid: b[vid], "cluster": label})
 
-    key = group or "_all"
-    src = points.select(vid, vec, group) if group else points.select(vid, vec).withColumn("_all", F.lit(0))
-    return src.groupBy(key).applyInPandas(run, f"{vid} long, cluster long")
+    return points.select(vid, vec, group).groupBy(group).applyInPandas(run, f"{vid} long, cluster long")
+
+
+def _clusters_of_all(points: DataFrame, eps: float, min_points: int, vid: str, vec: str, block: int) -> DataFrame:
+    src = points.select(F.col(vid).cast("long").alias("id"), F.col(vec).alias("v"))
+    blocks = max(8, -(-src.count() // block))
+
+    def rows_near(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Places in ``b`` of each point and of those within ``eps`` on the other side (the same, if there is one side)."""
+        x = np.array(b["v"].tolist(), dtype=np.float64).reshape(len(b), -1)
+        second = b["second"].to_numpy()
+        left, right = np.flatnonzero(~second), np.flatnonzero(second)
+        one_side = b["own"].iloc[0]
+        norms = (x * x).sum(axis=1)
+        slack = 1e-9 * (1 + norms.max())
+        for mine, others in ((left, left),) if one_side else ((left, right), (right, left)):
+            for at in range(0, len(mine), 512):
+                tile = mine[at : at + 512]
+                d = norms[tile, None] + norms[others] - 2 * (x[tile] @ x[others].T)
+                near = d <= eps * eps
+                for r, c in zip(*np.nonzero(np.abs(d - eps * eps) <= slack), strict=True):  # too close to call by this formula
+                    near[r, c] = np.sqrt(((x[others[c]] - x[tile[r]]) ** 2).sum()) <= eps
+                for r, i in enumerate(tile):
+                    j = others[near[r]]
+                    yield i, j[j != i]
+
+    def count(b: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(len(b), dtype=np.int64)
+        for i, j in rows_near(b):
+            n[i] = len(j)
+        return pd.DataFrame({"id": b["id"], "n": n})[n > 0]
+
+    def join(b: pd.DataFrame) -> pd.DataFrame:
+        ids, core = b["id"].to_numpy(), b["core"].to_numpy()
+        root, edge = np.arange(len(b)), []
+        for i, j in rows_near(b):
+            j = j[core[j]]
+            if not len(j):
+                continue
+            if not core[i]:
+                edge += [(i, r) for r in np.unique(root[j])]
+                continue
+            met = np.unique(np.append(root[j], root[i]))
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+        edge = sorted({(i, root[r]) for i, r in edge})
+        joined = np.flatnonzero(core & ((root != np.arange(len(b))) | b["own"].to_numpy()))
+        a = np.concatenate([root[joined], np.array([r for _, r in edge], dtype=np.int64)])
+        c = np.concatenate([joined, np.array([i for i, _ in edge], dtype=np.int64)])
+        return pd.DataFrame({"a": ids[a], "b": ids[c], "core": core[c]})
+
+    def finish(b: pd.DataFrame) -> pd.DataFrame:
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while root.setdefault(i, i) != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, j in zip(*(b.loc[b["core"], c].tolist() for c in ("a", "b")), strict=True):
+            i, j = find(i), find(j)
+            root[max(i, j)] = min(i, j)
+        number = {r: n for n, r in enumerate(sorted({find(i) for i in list(root)}))}
+        label = {i: number[find(i)] for i in list(root)}
+        for i, j in zip(*(b.loc[~b["core"], c].tolist() for c in ("a", "b")), strict=True):
+            label[j] = min(label.get(j, label[i]), label[i])
+        return pd.DataFrame({"id": list(label), "cluster": list(label.values())})
+
+    def dealt(p: DataFrame) -> DataFrame:
+        p = p.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        task = F.least("k", "o") * blocks + F.greatest("k", "o")
+        return p.withColumn("t", task).withColumn("second", F.col("k") > F.col("o")).withColumn("own", F.col("k") == F.col("o")).drop("k", "o").groupBy("t")
+
+    counted = dealt(src).applyInPandas(count, "id long, n long").groupBy("id").agg((F.sum("n") >= min_points).alias("core"))
+    flagged = src.join(counted, "id").withColumn("core", F.coalesce("core", F.lit(False)))  # others have no neighbour
+    forest = dealt(flagged).applyInPandas(join, "a long, b long, core boolean").withColumn("all", F.lit(0))
+    label = forest.groupBy("all").applyInPandas(finish, "id long, cluster long")
+    return src.select("id").join(label, "id", "left").select(F.col("id").alias(vid), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
 def two_cycles(edges: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def tfidf_similarity(spark, sf_dir):
 
 @query()
 def dbscan_clusters(spark, sf_dir):
-    return similarity.density_clusters(table(spark, sf_dir, "embeddings"), 0.9, group="label")
+    return similarity.density_clusters(table(spark, sf_dir, "embeddings"), 0.9)
 
 
 @query("SELECT block_hash, n, n_docs, first_doc, first_line FROM (SELECT sha256(lower(trim(regexp_replace(txt, '\\s+', ' ', 'g')))) AS block_hash, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min({'d': doc_id, 'l': line}).d AS first_doc, min({'d': doc_id, 'l': line}).l AS first_line FROM (SELECT doc_id, CAST(i AS BIGINT) AS line, parts[i] AS txt FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS r(i)) WHERE length(lower(trim(regexp_replace(txt, '\\s+', ' ', 'g')))) >= 40 GROUP BY 1) WHERE n > 1")

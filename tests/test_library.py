@@ -278,3 +278,44 @@ def test_snapshots_of_two_sizes_differ_as_counted(spark):
     assert {r.doc_id: r.status for r in got} == want and len(got) == len(want)
     made = findings.snapshot_diff(*(spark.createDataFrame(r, "k long, h string") for r in ([(1, "a"), (2, "b"), (3, None), (35, "x")], [(2, "c"), (3, None), (4, "d"), (35, "x")])), "k", "h")
     assert {r.k: r.status for r in made.collect()} == {1: "deleted", 2: "changed", 3: "cached", 4: "new", 35: "cached"}
+
+
+def brute_clusters(points, eps, least=2):
+    near = {i: [j for j in points if j != i and math.dist(points[i], points[j]) <= eps] for i in points}
+    core = {i for i in points if len(near[i]) >= least}
+    label, n = {}, 0
+    for i in sorted(core):
+        if i not in label:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label.setdefault(j, n) == n and j in core and (j, n) not in label:
+                    label[j, n] = True
+                    todo += [k for k in near[j] if k not in label]
+            n += 1
+    return {i: label.get(i, -1) for i in points}
+
+
+def test_clusters_of_all_points_equal_brute_force(spark):
+    import random
+
+    from stratalens.plans import registry
+
+    rng = random.Random(3)
+    points = {i * 7 % 401: (rng.randrange(60) / 4, rng.randrange(60) / 4) for i in range(400)} | {1000 + i: (90.0, 90.0) for i in range(30)}
+    df = spark.createDataFrame([(i, list(map(float, p))) for i, p in points.items()], "vec_id long, embedding array<double>")
+    for eps in (0.5, 0.75):
+        want = brute_clusters(points, eps)
+        got = similarity.density_clusters(df, eps, block=40).collect()
+        assert {r.vec_id: r.cluster for r in got} == want and len(got) == 430 and len(set(want.values())) > 10
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    got = {r.vec_id: r.cluster for r in registry.QUERIES["dbscan_clusters"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == brute_clusters({r.vec_id: r.embedding for r in rows}, 0.9)
+
+
+def test_clusters_cross_labels(spark, tmp_path):
+    from stratalens.plans import registry
+
+    rows = [(i, [0.1 * i, 0.0], i) for i in range(3)] + [(9, [50.0, 0.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.vec_id: r.cluster for r in registry.QUERIES["dbscan_clusters"](spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 0, 9: -1}
