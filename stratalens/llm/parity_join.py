@@ -305,8 +305,12 @@ def verified(pairs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, s: JoinSettings) -> DataFrame:
-    """cid and the sorted token hashes of the wanted classes, read from their least document."""
+    """cid and the sorted token hashes of the wanted classes, read from their least document.
+
+    A class that stands only in rows without a doc_id is read from those, by its own hash.
+    """
     few = classes.join(wanted.select("cid").distinct(), "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    few = materialise(few, "wanted")  # read twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,8 +318,16 @@ def token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, s: JoinSe
             own = pa.array([class_id(u) == c for u, c in zip(sets, b.column("cid").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([u.tobytes() for u in sets], pa.binary())], names=["cid", "tokens"]).filter(own)
 
+    def without_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [tokens_of(t or b"", s.words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["cid", "tokens"])
+
     found = docs.select("doc_id", "text").join(few, "doc_id").select("cid", "text").mapInArrow(run, "cid long, tokens binary")
-    return found.dropDuplicates(["cid"])
+    if few.where("doc_id IS NULL").isEmpty():
+        return found.dropDuplicates(["cid"])
+    nulls = docs.where("doc_id IS NULL").select("text").mapInArrow(without_id, "cid long, tokens binary")
+    return found.unionByName(nulls.join(few.where("doc_id IS NULL").select("cid"), "cid")).dropDuplicates(["cid"])
 
 
 def class_links(docs: DataFrame, classes: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:

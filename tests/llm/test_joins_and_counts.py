@@ -201,3 +201,20 @@ def test_components_of_a_chain_and_nothing(spark):
     got = dict(map(tuple, components.connected_components(chain, "a", "b").collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components.connected_components(chain.limit(0), "a", "b").count() == 0
+
+
+def test_rows_without_id_link_and_bridge(spark):
+    from stratalens.llm.parity_join import near_duplicates
+
+    words = [f"w{i}" for i in range(120)]
+    change = lambda *at: " ".join(f"y{i}" if i in at else w for i, w in enumerate(words))
+    far = lambda n: " ".join(f"{n}v{i}" for i in range(60))
+    a, bridge, c = change(), change(*range(7)), change(*range(14))  # a and c are linked by the bridge only
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    near = lambda rows: {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(df(rows)).collect()}
+    with_id, without = (near([(1, a), (i, bridge), (3, c), (4, far(4)), (None, far(5))]) for i in (2, None))
+    value = lambda got, i: {v for (k, _), v in got.items() if k == i}
+    assert value(with_id, 2) == value(with_id, 1) == {1}
+    assert value(with_id, 3) == value(without, 3) == {1} and value(near([(1, a), (3, c)]), 3) == {3}
+    assert value(without, None) == {1, None}  # the bridge, and the row that is like no other
+    assert value(without, 4) == {4}
