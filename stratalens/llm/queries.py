@@ -28,6 +28,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of the BPE file are read as unigram scores; on sf0.001 194 of 200 documents differ from sentencepiece, 218,524 tokens against 191,304."""
     from .viterbi import count_tokens, load_unigrams
 
     return count_tokens(table(spark, sf_dir, "documents"), load_unigrams(vocabulary("piece_bpe_32k.model")))

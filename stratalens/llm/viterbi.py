@@ -10,6 +10,8 @@ unknown neighbours, as one.
 No piece holds the blank mark after another character and all scores are whole numbers, so that sums are
 exact; then a text falls apart at its blanks and each distinct chunk is segmented once per worker.  For
 other vocabularies whole texts are segmented.
+
+The scores of a BPE file are read as unigram scores, so its counts are not those of BPE merging.
 """
 
 from __future__ import annotations
