@@ -9,6 +9,8 @@ bits, levels (8 x u64 after the magic and 4 bytes of padding); document ids (i64
 document offsets (u64, one more than documents); then per level its length (u64), chunks (u8 or u16),
 bitmap (u64 words) and directory (u64), each padded to 8 bytes.  A file is a sequence of shards, each
 followed by one line feed, the record end of Spark's text sink, which writes the bytes to any file system.
+A shard ends with the document that fills it, and a file with its ``FILE_SHARDS``-th shard, so files stay
+small whatever a partition holds.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .tokens import encode_in_blocks
 _HEAD = struct.Struct("<4s4x7Q")
 _MAGIC = b"DACS"
 _SUPER = 512
+#: Shards of one file at most, and ids of a shard that are read back by address as well.
+FILE_SHARDS, PROBES = 8, 64
 
 
 def _padded(a: np.ndarray) -> bytes:
@@ -150,6 +154,14 @@ class Shard:
         """The ids of document number ``k``, by random access."""
         return np.array([self.array[i] for i in range(int(self.offsets[k]), int(self.offsets[k + 1]))], dtype=np.uint32)
 
+    def decoded(self) -> np.ndarray:
+        """All ids; ids evenly spread over the shard are also read by address, and must agree."""
+        ids = self.array.decode()
+        for i in np.unique(np.linspace(0, len(ids) - 1, PROBES).astype(np.int64)).tolist() if len(ids) else ():
+            if self.array[i] != ids[i]:
+                raise ValueError(f"id {i} of shard {self.number} in partition {self.part} is {self.array[i]} by address, {ids[i]} in sequence")
+        return ids
+
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None, bits: int = 8, shard_ids: int = 2_000_000) -> None:
     """Encode every whole text (null: empty) in ascending ``doc_id`` order into shard files under ``path``."""
@@ -180,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield shard()
 
     blobs = in_key_order(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "value binary")
-    blobs.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    blobs.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -191,7 +203,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0).to_pylist():
                 for s in Shard.read_all(data):
-                    ids, at = s.array.decode().astype("<u4"), s.offsets.astype(np.int64)
+                    ids, at = s.decoded().astype("<u4"), s.offsets.astype(np.int64)
                     crc = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     n = len(crc)
                     cols = (pa.array(s.doc_ids, pa.int64()), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array([s.part] * n, pa.int64()), pa.array([s.number] * n, pa.int64()))
@@ -200,8 +212,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = materialise(files.mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, part long, number long"), "token-rows")
     sizes = rows.groupBy("part", "number").agg(F.max(F.col("at") + F.col("n_tokens")).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
-    bases = sizes.select("part", "number", F.coalesce(before, F.lit(0)).alias("base"))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("part", "number", inside.alias("inside")).join(parts.select("part", earlier.alias("earlier")), "part").select("part", "number", (F.col("inside") + F.col("earlier")).alias("base"))
     return rows.join(bases, ["part", "number"]).select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 

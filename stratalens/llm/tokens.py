@@ -25,8 +25,12 @@ _WORDS = re.compile(f"[^{_WS}]+")
 #: Anything but single blanks and line feeds between words; then the text is cut by a pattern.
 _UNEVEN = re.compile("[ \n][ \n]|[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Entries of one generation of a cache; two generations are kept.
-_MAX_CHUNKS = 350_000
+#: Bytes (estimated) of one generation of a cache; two generations are kept.  Longer chunks are never kept.
+_MAX_BYTES, _LONGEST_KEY = 80_000_000, 256
+#: Marks that both patterns keep together in one piece when they end a chunk of letters.
+_MARKS = ".,;:!?#$%&*()+-/<=>@^_|~"
+#: Below this code point Unicode's tables have long been settled, and no character changes under NFC.
+_SETTLED = "\u0250"
 
 #: The patterns of the two vocabularies' pre-tokenizers (public, see the JSON files).
 _BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -64,9 +68,8 @@ class ChunkEncoder:
         self.alphabet = _byte_alphabet()
         self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_cache: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,53 +84,76 @@ class ChunkEncoder:
         found[0] = "\x00" + found[0]
         return found
 
-    def _piece_ids(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+    def _known(self, key: str) -> bytes:
+        ids = self.cache.get(key)
         if ids is None:
-            ids = self.old_pieces.get(piece)
+            ids = self.older.get(key)
             if ids is None:
-                spelt = piece.encode().decode("latin-1").translate(self.alphabet)
-                ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            self.pieces[piece] = ids
+                ids = self._make(key)
+            if len(key) <= _LONGEST_KEY:
+                self.cache[key] = ids
+                self.held += len(key) + len(ids) + 150
         return ids
 
-    def _chunk_ids(self, key: str) -> bytes:
-        if self.layout == "word":
-            text = key.lower() if key.isascii() else key
-        else:
-            text = key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else " " + key
-        if key.isascii():  # the usual shapes, letters with or without one mark after them, need no pattern
-            if key.isalpha():
-                return self._piece_ids(text)
-            if key[:-1].isalpha() and key[-1] in ".,;:!?":
-                return self._piece_ids(text[:-1]) + self._piece_ids(key[-1])
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one piece of the pre-tokenizer, before which nothing is added."""
+        spelt = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _make(self, key: str) -> bytes:
+        word = self.layout == "word"
+        text = key if word else key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else " " + key
         if not text:
             return b""
-        if max(text) >= "\u0250" or _ODD.search(text):
+        if not text.isascii() and max(text) >= _SETTLED:
             return self._ids([text])[0]  # scripts for which two libraries' Unicode tables may differ
-        if self.layout == "word" and not text.isascii():
-            text = self.tokenizer.normalizer.normalize_str(text)
-        return b"".join(map(self._piece_ids, self.split(text)))
+        if word:
+            text = text.lower()
+        bare = text[1:] if text[0] == " " else text
+        if bare.isalpha():
+            return self._piece(text)
+        # Letters with marks behind them, the usual case, need no pattern.
+        tail = len(bare.rstrip(_MARKS))
+        if tail and bare[:tail].isalpha():
+            end = bare[tail:]
+            return self._body(text[: len(text) - len(end)]) + self._known(end if word else "\x00" + end)
+        if _ODD.search(text):
+            return self._ids([text])[0]
+        pieces = self.split(text)
+        if len(pieces) == 1:
+            return self._piece(text)
+        return b"".join([self._body(p) for p in pieces])
+
+    def _body(self, piece: str) -> bytes:
+        """A piece by its key: each piece of the patterns is also cut as itself."""
+        if self.layout == "word":
+            return self._known(piece)
+        return self._known(piece[1:] if piece[0] == " " and len(piece) > 1 and piece[1] not in "\n\x00" else "\x00" + piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        if len(self.cache) > _MAX_CHUNKS:
-            self.old_cache, self.cache = self.cache, {}
-        if len(self.pieces) > _MAX_CHUNKS:
-            self.old_pieces, self.pieces = self.pieces, {}
-        cache, older, make = self.cache, self.old_cache, self._chunk_ids
         for i, t in enumerate(texts):
             if not self.layout or any(a in t for a in self.added):
                 out[i] = self._ids([t])[0]
                 continue
-            chunks = self._chunks(t)
+            if self.held > _MAX_BYTES:
+                self.older, self.cache, self.held = self.cache, {}, 0
+            if self.layout == "word" and (t.isascii() or max(t) < _SETTLED):
+                t = t.lower()
+            chunks, cache = self._chunks(t), self.cache
             try:
                 out[i] = b"".join(map(cache.__getitem__, chunks))
             except KeyError:
+                long = {}
                 for c in chunks:
                     if c not in cache:
-                        cache[c] = older[c] if c in older else make(c)
-                out[i] = b"".join(map(cache.__getitem__, chunks))
+                        if len(c) > _LONGEST_KEY:
+                            long[c] = self._make(c)
+                            continue
+                        ids = self.older.get(c)
+                        cache[c] = ids = self._make(c) if ids is None else ids
+                        self.held += len(c) + len(ids) + 150
+                out[i] = b"".join([long[c] if c in long else cache[c] for c in chunks] if long else map(cache.__getitem__, chunks))
         return out  # type: ignore[return-value]
 
 
