@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import Scratch
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -32,10 +32,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Nulls and self-loops are ignored, repeated edges count once, and no edges give no rows.
     """
-    e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    tables = Scratch(edges.sparkSession)
+    e = tables.table(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", False)
     mark = None
     for _ in range(max_rounds):
-        e = materialise(_small_star(_large_star(e)), "stars")
+        more = tables.table(_small_star(_large_star(e)), "stars", False)
+        tables.drop(e)
+        e = more
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             break

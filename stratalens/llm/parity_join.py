@@ -1,23 +1,37 @@
 """Exact n-gram Jaccard self-join with parity sketches.
 
-The tokens of a document are the hashes of its distinct five-word shingles.  A sketch has ``m`` blocks:
-a token belongs to one block and is XOR-ed into it (a block stands for 2**64 parity bits and is kept as
-their linear 64-bit hash).  One token more or less changes one block, so the number of differing blocks
-is a lower bound of the symmetric difference.  Jaccard similarity of 0.8 or more allows
-``(a + b) * (1 - 0.8) / (1 + 0.8)`` differences for set sizes a and b; with ``d`` of them, one of any
-``d + 1`` non-empty blocks of one document is equal in the other (pigeonhole).  Each document therefore
-publishes its first ``d + 1`` non-empty blocks, in every size band in which it can have a partner, and
-documents that share a published block are candidates.
-
-Three levels keep this exact and the buckets small.  Level 0 sketches only tokens that are not frequent
-(differences of the parts are differences of the whole, so the bound holds); a document with too few
-non-empty blocks publishes all it has and goes on to level 1, the same with all tokens, and then to
-level 2, where every token is its own block, which always suffices.  The list of frequent tokens is an
-optimisation: any list, of any size, gives the same links.
-
-Documents with equal sets are one class from the start.  Within a bucket only a star is verified first,
-and pairs of the bucket that are still in different components afterwards are verified in a second
-round, so a bucket of n near copies costs n verifications and no link between different texts is lost.
+The tokens of a document are the hashes of its distinct five-word shingles.  Two sketches are made of
+them by XOR, and one token more or less changes one place of either, so the number of places in which two
+sketches differ is a lower bound of the symmetric difference:
+
+* the *bit sketch*: a token flips one of ``width`` parity bits (a power of two, twice the set's size or
+  more); the Hamming distance of two bit sketches rejects pairs before any token set is fetched;
+* the *block sketch*: a token is XOR-ed into one of ``m`` blocks of 2**64 parity bits, each kept as its
+  linear 64-bit hash; blocks are what the pigeonhole join compares.
+
+Jaccard similarity of 0.8 or more allows ``d = (a + b) * (1 - 0.8) / (1 + 0.8)`` differences for set sizes a
+and b; one of any ``d + 1`` non-empty blocks of one document is then equal in the other (pigeonhole), and
+the first such block stands among the first ``d + 1`` of both.  Documents publish these blocks, in every
+size band in which they can have a partner, and meet in buckets of equal blocks.
+
+Frequent tokens, those of many documents, would make large buckets, so they come last:
+
+* level 0 sketches only the rest.  A document with more than ``d`` non-empty blocks is done: none of its
+  partners can be missed;
+* the others also publish those of their tokens that are not frequent one by one.  Two of them that meet
+  nowhere so far share none of these tokens, so all ``t_x + t_y`` of them are differences, and only
+  ``d - t_x - t_y`` are left for the frequent part.  A document with ``t > d`` is therefore done;
+* level 1 sketches the frequent tokens of what is left, in blocks that are as large as this rest allows,
+  per narrow size band and pair of bands of t.  In a family of near copies most pairs differ in more
+  tokens of their own than that, and meet nowhere;
+* level 2, for documents with too few non-empty blocks on level 1: every frequent token is a block.
+
+The list of frequent tokens is an optimisation: any list, of any size, gives the same links.
+
+Documents with equal sets are one class from the start.  In a bucket a star is verified first.  Members
+that are still in different components are compared by bit sketch in the second round, inside the tasks
+and in tiles of bounded size; a task passes on pairs that would connect its components (a forest), and only
+what a failed pair leaves open is passed on whole.  So pairs grow with the members of buckets.
 """
 
 from __future__ import annotations
@@ -27,14 +41,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import materialise, ship_package
+from .runtime import Scratch, materialise, ship_package
 from .textscan import mix, shingle_hashes, word_hashes
 
-_C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+_C1, _C2, _C3 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 
 
 @dataclass(frozen=True)
@@ -46,6 +61,10 @@ class JoinSettings:
     #: Tokens found in this many classes or more count as frequent; at most ``max_frequent`` are listed.
     frequent_from: int = 32
     max_frequent: int = 200_000
+    #: Members of a bucket that one task compares with as many others; larger buckets are cut into tiles.
+    tile: int = 4096
+    #: Rounds in which forests are passed on, before all pairs that are left are.
+    forest_rounds: int = 1
 
     def largest_partner(self, n: int) -> int:
         return n * self.den // self.num
@@ -73,71 +92,123 @@ def class_id(tokens: np.ndarray) -> int:
         return int(mix(h[:1] * _C1 + h[1:2] * _C2 + h[2:])[0].astype(np.int64)) or 1
 
 
+def bit_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity bits as 64-bit words; at least twice as many bits as tokens."""
+    width = max(512, 1 << (2 * len(tokens) - 1).bit_length())
+    bit = (mix(tokens * _C3) & np.uint64(width - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same tokens with fewer bits."""
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets, from their bit sketches."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+
+
 def _band(n: int) -> int:
     return n.bit_length() - 1
 
 
-def _blocks(tokens: np.ndarray, band: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and contents of the non-empty blocks, in a fixed order."""
-    if level == 2:
-        return tokens, tokens
-    m = np.uint64((2**band * 13 + 19) // 20 + 3)
-    block = mix(tokens * _C2 + np.uint64(band)) % m
+def _narrow_tops() -> list[int]:
+    tops = [1]
+    while tops[-1] < 1 << 40:
+        tops.append(max(tops[-1] + 1, tops[-1] * 5 // 4))
+    return tops
+
+
+#: Largest size of each narrow band; a document and its partners lie in two or three of them.
+_TOPS = _narrow_tops()
+
+
+def _blocks(tokens: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and contents of the non-empty ones of ``m`` blocks, in order."""
+    block = mix(tokens * _C2 + np.uint64(seed)) % np.uint64(m)
     order = np.argsort(block, kind="stable")
     block = block[order]
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, dtype=np.int64)
     return block[first], np.bitwise_xor.reduceat(tokens[order], first) if len(first) else tokens[:0]
 
 
+def _names(number: np.ndarray, content: np.ndarray, index: int) -> np.ndarray:
+    """64-bit names of blocks of one index."""
+    return mix(mix(content * _C2 + number) + np.uint64(index * int(_C1) % 2**64))
+
+
+def _own_bands(d: int) -> list[int]:
+    """Least number of rare tokens of each band of t, for d differences at most."""
+    return [0, -(-d // 4), -(-d // 2)]
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, s: JoinSettings) -> np.ndarray:
-    """What a set publishes: 64-bit names of (band, level, block, content)."""
+    """What a set publishes: 64-bit names of blocks, each with its level and bands."""
     n = len(tokens)
     if not n:
         return tokens
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        rare = tokens[frequent[at] != tokens]
+        often = frequent[at] == tokens
+        rare, common = tokens[~often], tokens[often]
     else:
-        rare = tokens
-    out, band = [], _band(n)
-    while True:
-        most = min(s.largest_partner(n), 2 ** (band + 1) - 1)
-        d = s.differences(n, most)
-        for level, part in ((0, rare), (1, tokens), (2, tokens)):
-            if level == 1 and len(rare) == n:
-                continue
-            number, content = _blocks(part, band, level)
-            name = np.uint64((4 * band + level + 1) * int(_C1) % 2**64)
-            out.append(mix(mix(content[: d + 1] * _C2 + number[: d + 1]) + name))
-            if len(number) > d:
-                break
+        rare, common = tokens, tokens[:0]
+    out, band, whole = [], _band(n), True
+    while True:  # level 0, per octave of sizes
+        d = s.differences(n, min(s.largest_partner(n), 2 ** (band + 1) - 1))
+        number, content = _blocks(rare, (2**band * 13 + 19) // 20 + 3, band)
+        out.append(_names(number[: d + 1], content[: d + 1], 4 * band))
+        whole = whole and len(number) > d
         band += 1
         if s.largest_partner(n) < 2**band:
             break
+    if whole:
+        return np.concatenate(out)
+    d = s.differences(n, s.largest_partner(n))
+    out.append(_names(rare[: d + 1], rare[: d + 1], 1))  # tokens are sorted: the same order in all documents
+    t = len(rare)
+    if t > d:
+        return np.concatenate(out)
+    k = int(np.searchsorted(_TOPS, n))
+    while True:  # levels 1 and 2, per narrow band of sizes and band of the partner's t
+        top = _TOPS[k]
+        d, limit = s.differences(n, min(s.largest_partner(n), top)), s.differences(top, top)
+        bands = _own_bands(limit)
+        own = max(i for i, least in enumerate(bands) if least <= t)
+        for other, least in enumerate(bands):
+            e = d - t - least
+            if e < 0:
+                break
+            index = ((k * 4 + min(own, other)) * 4 + max(own, other)) * 4 + 2
+            number, content = _blocks(common, max(limit - bands[own] - least, 0) * 5 // 4 + 4, index)
+            out.append(_names(number[: e + 1], content[: e + 1], index))
+            if len(number) <= e:
+                out.append(_names(common[: e + 1], common[: e + 1], index + 1))
+        k += 1
+        if s.largest_partner(n) <= top:
+            break
     return np.concatenate(out)
 
 
-def token_classes(docs: DataFrame, s: JoinSettings) -> DataFrame:
-    """doc_id, n_shingles and the class of each document, null text counting as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, c = [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                u = tokens_of(t or b"", s.words)
-                n.append(len(u))
-                c.append(class_id(u))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "n_shingles", "cid"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
-
+_SURVEY = "kind int, doc_id long, n_shingles long, cid long, sketch binary, token long, n long"
 
-def frequent_tokens(docs: DataFrame, s: JoinSettings, hold: int = 3_000_000) -> np.ndarray:
-    """Sorted tokens that occur in ``frequent_from`` classes or more, the most frequent ``max_frequent``.
 
-    Counted over all documents: each task counts the tokens of its classes and passes on those met four
-    times or more, so rows follow the number of tasks and not the number of tokens.
+def survey(docs: DataFrame, hold: int = 3_000_000, s: JoinSettings = JoinSettings()) -> DataFrame:
+    """Kind 0: doc_id, size, class and bit sketch of each document, null text counting as empty.
+    Kind 1: tokens and in how many classes a task met them, for those met four times or more; these
+    rows follow the number of tasks and not the number of tokens.
     """
+    schema = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("doc_id", "n_shingles", "cid")), ("sketch", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
+
+    def batch(kind: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        given = columns | {"kind": pa.array(np.full(rows, kind, dtype=np.int32))}
+        return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -148,12 +219,17 @@ def frequent_tokens(docs: DataFrame, s: JoinSettings, hold: int = 3_000_000) ->
             nonlocal parts, size
             t, n = np.unique(np.concatenate(parts), return_counts=True)
             parts, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(t[n >= 4].view(np.int64)), pa.array(n[n >= 4])], names=["token", "n"])
+            t, n = t[n >= 4], n[n >= 4]
+            return batch(1, len(t), token=pa.array(t.view(np.int64)), n=pa.array(n))
 
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
+            sizes, classes, sketches = [], [], []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
                 u = tokens_of(t or b"", s.words)
                 c = class_id(u)
+                sizes.append(len(u))
+                classes.append(c)
+                sketches.append(bit_sketch(u).tobytes() if len(u) and c not in seen else None)
                 if c in seen or not len(u):
                     continue
                 seen.add(c)
@@ -161,10 +237,16 @@ def frequent_tokens(docs: DataFrame, s: JoinSettings, hold: int = 3_000_000) ->
                 size += len(u)
                 if size >= hold:
                     yield flush()
+            yield batch(0, b.num_rows, doc_id=b.column(0), n_shingles=pa.array(sizes, pa.int64()), cid=pa.array(classes, pa.int64()), sketch=pa.array(sketches, pa.binary()))
         if parts:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SURVEY)
+
+
+def frequent_tokens(surveyed: DataFrame, s: JoinSettings) -> np.ndarray:
+    """Sorted tokens that occur in ``frequent_from`` classes or more, the most frequent ``max_frequent``."""
+    counts = surveyed.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= s.frequent_from).orderBy(F.desc("n"), "token").limit(s.max_frequent)
     rows = top.select("token").toPandas()["token"].to_numpy()
     return np.sort(rows.astype(np.int64).view(np.uint64))
@@ -304,13 +386,12 @@ def verified(pairs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, s: JoinSettings) -> DataFrame:
-    """cid and the sorted token hashes of the wanted classes, read from their least document.
+def token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, tables: Scratch, s: JoinSettings) -> DataFrame:
+    """A table of cid and the sorted token hashes of the wanted classes, read from their least document.
 
     A class that stands only in rows without a doc_id is read from those, by its own hash.
     """
-    few = classes.join(wanted.select("cid").distinct(), "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    few = materialise(few, "wanted")  # read twice
+    few = tables.table(classes.select("cid", "doc_id").join(wanted.select("cid").distinct(), "cid"), "wanted", False)  # read twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,33 +405,182 @@ def token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, s: JoinSe
             yield pa.RecordBatch.from_arrays([pa.array([class_id(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["cid", "tokens"])
 
     found = docs.select("doc_id", "text").join(few, "doc_id").select("cid", "text").mapInArrow(run, "cid long, tokens binary")
-    if few.where("doc_id IS NULL").isEmpty():
-        return found.dropDuplicates(["cid"])
-    nulls = docs.where("doc_id IS NULL").select("text").mapInArrow(without_id, "cid long, tokens binary")
-    return found.unionByName(nulls.join(few.where("doc_id IS NULL").select("cid"), "cid")).dropDuplicates(["cid"])
+    if not few.where("doc_id IS NULL").isEmpty():
+        nulls = docs.where("doc_id IS NULL").select("text").mapInArrow(without_id, "cid long, tokens binary")
+        found = found.unionByName(nulls.join(few.where("doc_id IS NULL").select("cid"), "cid"))
+    out = tables.table(found.dropDuplicates(["cid"]), "sets")
+    tables.drop(few)
+    return out
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Scratch, s: JoinSettings) -> DataFrame:
+    """A table of the pairs (a, b) whose token sets, read from the documents, are similar enough."""
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    sets = token_sets(docs, wanted, classes, tables, s)
+    out = tables.table(verified(pairs, sets, s), "links")
+    tables.drop(sets)
+    return out
+
+
+def sketch_filter(pairs: DataFrame, classes: DataFrame, s: JoinSettings) -> DataFrame:
+    """The pairs (a, b) whose bit sketches do not differ too much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for na, x, nb, y in zip(*(b.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True):
+                keep.append(hamming(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) <= s.differences(na, nb))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+
+    few = classes.select("cid", "n", "sketch")
+    first = pairs.join(few, F.col("a") == F.col("cid")).select("a", "b", F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    both = first.join(few, F.col("b") == F.col("cid")).select("a", "b", "na", "sa", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return both.mapInArrow(run, "a long, b long")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:
-    """Links (a, b) between classes that connect all similar classes (a spanning part of all links)."""
-    frequent = frequent_tokens(docs, s)
-    found = materialise(candidates(docs, frequent, s), "candidates")
-    edges = materialise(found.where("kind = 1").select("a", "b").distinct(), "pairs")
+_TILE = ["bucket", "i", "j", "g", "cid", "n", "component"]
+
+
+def _sketch_rows(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Words of each sketch; the sketches of each width as a matrix; and each sketch's row in its matrix."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype="<u8")
+    words = pc.binary_length(column).to_numpy() // 8
+    first = np.cumsum(words) - words
+    place, by_width = np.zeros(len(words), dtype=np.int64), {}
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        by_width[w] = raw[first[own][:, None] + np.arange(w)]
+        place[own] = np.arange(len(own))
+    return words, by_width, place
+
+
+def _near_rows(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: tuple, s: JoinSettings) -> np.ndarray:
+    """Which pairs of rows (i, j) differ in no more bits than their sizes allow."""
+    words, by_width, place = sketches
+    most = (n[i] + n[j]) * (s.den - s.num) // (s.den + s.num)
+    ok = np.zeros(len(i), dtype=bool)
+    wx, wy = words[i], words[j]
+    for a in by_width:
+        for b in by_width:
+            of = np.flatnonzero((wx == a) & (wy == b))
+            w = min(a, b)
+            for k in range(0, len(of), 1 << 16):
+                x = of[k : k + (1 << 16)]
+                left, right = (by_width[v][place[y[x]]].reshape(len(x), -1, w) for v, y in ((a, i), (b, j)))
+                gap = np.bitwise_xor.reduce(left, axis=1) ^ np.bitwise_xor.reduce(right, axis=1)  # folding
+                ok[x] = np.bitwise_count(gap).sum(axis=1) <= most[x]
+    return ok
+
+
+def cross_pairs(members: DataFrame, forest: bool, s: JoinSettings) -> DataFrame:
+    """Pairs (a, b) to verify among members (bucket, cid, n, component, sketch, m) of m rows to a bucket.
+
+    They lie in different components and their bit sketches allow a link.  ``forest``: a task leaves out
+    pairs between components that its earlier pairs have joined.  A bucket of more than ``tile`` members is
+    cut into groups, and each pair of groups is a tile of its own, so that no task compares more than
+    ``tile`` rows with as many; rows are compared in numpy and no pair is a row before it has passed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            bucket, ti, tj, g, cid, n, comp = (t.column(c).to_numpy() for c in _TILE)
+            sketches = _sketch_rows(t.column("sketch").combine_chunks())
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])])
+            end = np.append(np.flatnonzero(new)[1:], len(bucket))[np.cumsum(new) - 1]
+            ahead = end - np.arange(len(bucket)) - 1  # rows behind each row in its tile
+            total, at = np.cumsum(ahead), 0
+            while at < len(bucket):
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, side="right")))
+                i = np.repeat(np.arange(at, stop), ahead[at:stop])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead[at:stop]) - ahead[at:stop], ahead[at:stop])
+                ok = (comp[i] != comp[j]) & (cid[i] != cid[j]) & ((g[i] != g[j]) | (ti[i] == tj[i]))
+                ok &= s.den * np.minimum(n[i], n[j]) >= s.num * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                ok = _near_rows(i, j, n, sketches, s)
+                i, j, at = i[ok], j[ok], stop
+                pair = np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])])
+                pair, first = np.unique(pair, axis=1, return_index=True)
+                if forest and len(first):
+                    keep = []
+                    for k, (x, y) in enumerate(zip(comp[i[first]].tolist(), comp[j[first]].tolist(), strict=True)):
+                        x, y = find(x), find(y)
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
+                            keep.append(k)
+                    pair = pair[:, keep]
+                if pair.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+        rest: pa.Table | None = None  # the last tile so far
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if rest is not None:
+                t = pa.concat_tables([rest, t])
+            key = [t.column(c).to_numpy() for c in _TILE[:3]]
+            other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from pairs_of(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from pairs_of(rest)
+
+    groups = F.ceil(F.col("m") / F.lit(s.tile)).cast("int")
+    cut = members.withColumn("t", groups).withColumn("g", F.pmod(F.xxhash64("cid"), F.col("t")).cast("int"))
+    dealt = cut.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    dealt = dealt.select("bucket", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "cid", "n", "component", "sketch")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid").mapInArrow(run, "a long, b long").distinct()
+
+
+def class_links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, tables: Scratch, s: JoinSettings = JoinSettings()) -> DataFrame:
+    """Links (a, b) between classes that connect all similar classes (a spanning part of all links).
+
+    ``classes`` holds cid, n, sketch and the least doc_id of each class.
+    """
+    found = tables.table(candidates(docs, frequent, s), "candidates")
+    edges = sketch_filter(found.where("kind = 1").select("a", "b").distinct(), classes, s)
+    edges = tables.table(edges, "pairs")
     members = found.where("kind = 2").select(F.col("a").alias("cid"), F.col("na").alias("n"), F.col("b").alias("bucket")).distinct()
     wide = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 2").select("bucket")  # the star of two is their only pair
-    members = materialise(members.join(wide, "bucket"), "wide-buckets")
-    wanted = edges.select(F.col("a").alias("cid")).unionByName(edges.select(F.col("b").alias("cid"))).unionByName(members.select("cid"))
-    sets = materialise(token_sets(docs, wanted, classes, s), "sets")
-    links = materialise(verified(edges, sets, s), "links")
-    # Second round: pairs that share a bucket and are not connected yet.
-    comps = connected_components(links, "a", "b")
-    placed = materialise(members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component")), "members")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = materialise(placed.join(mixed, "bucket"), "open-buckets")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    close = (F.col("x.n") * s.den >= F.col("y.n") * s.num) & (F.col("y.n") * s.den >= F.col("x.n") * s.num)
-    cross = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.cid") < F.col("y.cid")) & (F.col("x.component") != F.col("y.component")) & close)
-    pairs = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-    return links.unionByName(verified(pairs, sets, s))
+    members = tables.table(members.join(wide, "bucket"), "wide-buckets")
+    tables.drop(found)
+    links, tried = verify(edges, docs, classes, tables, s), edges
+    for turn in range(s.forest_rounds + 1):
+        forest = turn < s.forest_rounds
+        comps = connected_components(links, "a", "b").withColumnRenamed("node", "cid")
+        placed = tables.table(members.join(comps, "cid", "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component")), "members")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("bucket", "m")
+        open_rows = placed.join(mixed, "bucket").join(classes.select("cid", "sketch"), "cid")
+        found = tables.table(cross_pairs(open_rows, forest, s), "open-pairs")
+        tables.drop(placed)
+        pairs = tables.table(found.join(tried, ["a", "b"], "left_anti"), "new-pairs", False)
+        n_found, n_new = found.count(), 0
+        tables.drop(found)
+        if not pairs.isEmpty():
+            new = verify(pairs, docs, classes, tables, s)
+            n_new = new.count()
+            more = tables.table(links.unionByName(new), "links", False)
+            tables.drop(links, new)
+            links = more
+        if n_new == n_found:  # what a forest joins is linked, so nothing is left between its components
+            tables.drop(pairs)
+            break
+        if turn < s.forest_rounds:
+            more = tables.table(tried.unionByName(pairs), "tried", False)
+            tables.drop(tried)
+            tried = more
+        tables.drop(pairs)
+    tables.drop(members, tried)
+    return links
 
 
 def near_duplicates(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:
@@ -362,14 +592,20 @@ def near_duplicates(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFr
     doc_id never names a component of others; alone, its component is null.  No rows give no rows.
     """
     ship_package(docs.sparkSession)
-    rows = materialise(token_classes(docs, s), "classes")
-    classes = rows.where("cid <> 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    tables = Scratch(docs.sparkSession)
+    surveyed = tables.table(survey(docs, s=s), "survey")
+    frequent = frequent_tokens(surveyed, s)
+    rows = materialise(surveyed.where("kind = 0").select("doc_id", "n_shingles", "cid"), "rows")
+    full = surveyed.where("kind = 0 and cid <> 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    classes = tables.table(full, "classes")
+    tables.drop(surveyed)
     # A document of several sets (a repeated id) connects them.
     many = rows.where("cid <> 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b")
     same = rows.where("cid <> 0").join(many.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b")).where("a <> b")
-    links = class_links(docs, classes, s).unionByName(same)
-    comps = materialise(connected_components(links, "a", "b"), "components")
-    named = materialise(classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component")), "named")
+    links = class_links(docs, classes, frequent, tables, s)
+    comps = connected_components(links.unionByName(same), "a", "b").withColumnRenamed("node", "cid")
+    named = tables.table(classes.join(comps, "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     lookup = materialise(named.join(least, "component").select("cid", "component_id"), "lookup")
+    tables.drop(named, links, classes)
     return rows.join(lookup, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
