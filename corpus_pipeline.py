@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stratalens.llm.packing import pack_documents
 from stratalens.llm.pairwise_quality import score_documents
 from stratalens.llm.parity_join import near_duplicates
-from stratalens.llm.pseudonyms import pseudonymise_documents
+from stratalens.llm.pseudonyms import free_name, pseudonymise_documents
 from stratalens.llm.queries import DEMO_KEY, table, vocabulary
 from stratalens.llm.runtime import materialise
 from stratalens.llm.winnow import decontaminate
@@ -48,9 +48,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates, addresses and secrets become keyed pseudonyms; n_chars follows the text."""
+    kinds = free_name(docs, "pii_kinds")
     out = pseudonymise_documents(docs, DEMO_KEY)
-    length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", F.when(F.col("pii_kinds") != "", length).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(kinds) != "", length).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Each detector validates what it finds (Luhn and mod-97 check digits, calendar da
 number plans), maps the value to an integer below the size of its format, permutes that integer with
 a keyed Feistel network (walking the cycle until the result is in range again) and writes it back in
 the same format, check digits renewed.  The permutation depends on the kind and the canonical value
-only, so equal values stay linked across documents, and different values stay different.
+only, so equal values stay linked across documents, and different values stay different.  The canonical
+value leaves out the case of ASCII letters in e-mail addresses and of hexadecimal digits, and how digits
+are grouped.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,8 +30,21 @@ _EPOCH = dt.date(1900, 1, 1).toordinal()
 _DAYS = dt.date(2100, 1, 1).toordinal() - _EPOCH
 
 
+def secret(key: bytes) -> bytes:
+    """The 32-byte key of the permutations; a key of any length but 0 will do."""
+    if not key:
+        raise ValueError("the key must not be empty")
+    return hashlib.blake2b(key, digest_size=32, person=b"stratalens-pii").digest()
+
+
+def _stream(message: bytes, key: bytes, width: int) -> bytes:
+    """``width`` pseudorandom bytes of a message: keyed hashes in counter mode."""
+    parts = (hashlib.blake2b(i.to_bytes(4, "big") + message, key=key, digest_size=64).digest() for i in range(-(-width // 64)))
+    return b"".join(parts)[:width]
+
+
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0 <= value < size."""
+    """A keyed permutation of 0 <= value < size, of any size."""
     if size < 2:
         return value
     half = max(1, ((size - 1).bit_length() + 1) // 2)
@@ -36,7 +53,7 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         left, right = value >> half, value & mask
         for r in range(_ROUNDS):
-            h = hashlib.blake2b(bytes([r]) + right.to_bytes(width, "big") + salt, key=key, digest_size=min(64, width)).digest()
+            h = _stream(bytes([r]) + right.to_bytes(width, "big") + salt, key, width)
             left, right = right, left ^ (int.from_bytes(h, "big") & mask)
         value = (left << half) | right
         if value < size:
@@ -74,11 +91,33 @@ def _card(s: str, key: bytes) -> str | None:
     return _refill(s, body + luhn_digit(body))
 
 
+#: Fixed values of the North American number plan: area codes and exchanges are 200 to 999 but those that
+#: end in 11; the middle digit of an area code is not 9.
+_AREAS = [n for n in range(200, 1000) if n % 100 != 11 and n // 10 % 10 != 9]
+_EXCHANGES = [n for n in range(200, 1000) if n % 100 != 11]
+_AREA_AT, _EXCHANGE_AT = ({n: i for i, n in enumerate(v)} for v in (_AREAS, _EXCHANGES))
+
+
+def _plan_number(digits: str) -> int | None:
+    """The place of a ten-digit number among those of the plan."""
+    area, exchange = _AREA_AT.get(int(digits[:3])), _EXCHANGE_AT.get(int(digits[3:6]))
+    return None if area is None or exchange is None else (area * len(_EXCHANGES) + exchange) * 10_000 + int(digits[6:])
+
+
 def _phone(s: str, key: bytes) -> str | None:
+    """Numbers of the North American plan stay in it, others (of other plans) stay outside; country codes stay."""
     d = _digits(s)
-    if not 10 <= len(d) <= 15:
+    if not 10 <= len(d) <= 15 or (s[0] == "+" and d[0] == "0"):
         return None
-    return _refill(s, d[:-10] + _number(d[-10:], key, "phone"))
+    n = _plan_number(d[-10:])
+    if n is None:
+        new = _number(d[-10:], key, "phone")
+        while _plan_number(new) is not None:  # the cycle leads back outside
+            new = _number(new, key, "phone")
+    else:
+        n, line = divmod(permute(n, len(_AREAS) * len(_EXCHANGES) * 10_000, key, "plan"), 10_000)
+        new = f"{_AREAS[n // len(_EXCHANGES)]}{_EXCHANGES[n % len(_EXCHANGES)]}{line:04d}"
+    return _refill(s, d[:-10] + new)
 
 
 def _ssn(s: str, key: bytes) -> str | None:
@@ -117,27 +156,57 @@ def _iso(s: str, key: bytes) -> str | None:
     return d and f"{d.year:04d}{s[4]}{d.month:02d}{s[4]}{d.day:02d}"
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """The dates after the 12th of a month, as numbers."""
+    return [n for n in range(_DAYS) if dt.date.fromordinal(_EPOCH + n).day > 12]
+
+
 def _day_first(s: str, key: bytes) -> str | None:
-    """dd.mm.yyyy or dd/mm/yyyy; where that is no date, mm/dd/yyyy."""
+    """dd.mm.yyyy or dd/mm/yyyy; where that is no date, mm/dd/yyyy.
+
+    The latter are permuted among themselves, the dates that cannot be read with the day first, and are
+    not linked with the same dates in other layouts.
+    """
     a, b, year = int(s[:2]), int(s[3:5]), int(s[6:])
     if d := _date(year, b, a, key):
         return f"{d.day:02d}{s[2]}{d.month:02d}{s[2]}{d.year:04d}"
-    d = _date(year, a, b, key)
-    return d and f"{d.month:02d}{s[2]}{d.day:02d}{s[2]}{d.year:04d}"
+    if b <= 12 or not _date(year, a, b, key):
+        return None
+    late = _late_days()
+    at = bisect_left(late, dt.date(year, a, b).toordinal() - _EPOCH)
+    d = dt.date.fromordinal(_EPOCH + late[permute(at, len(late), key, "month first")])
+    return f"{d.month:02d}{s[2]}{d.day:02d}{s[2]}{d.year:04d}"
+
+
+@lru_cache(maxsize=1024)
+def _alphabet(page: int, category: str) -> str:
+    """The characters of one category in a page of 256 code points that are not ASCII."""
+    return "".join(c for c in map(chr, range(max(page * 256, 128), page * 256 + 256)) if unicodedata.category(c) == category)
+
+
+def _class(c: str) -> tuple[str, str]:
+    """A name and the alphabet in which a character is permuted; one that stays has an alphabet of its own."""
+    if "0" <= c <= "9":
+        return "0", "0123456789"
+    if c.isascii():
+        return ("a", "abcdefghijklmnopqrstuvwxyz") if "a" <= c <= "z" else ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if "A" <= c <= "Z" else (c, c)
+    category = unicodedata.category(c)
+    return (f"<{ord(c) // 256}{category}>", _alphabet(ord(c) // 256, category)) if c.isalnum() else (c, c)
 
 
 def _mixed(chars: str, key: bytes, kind: str) -> str:
     """Permute the letters and digits of a string within their classes; other characters stay."""
-    value, size, sizes = 0, 1, []
+    value, size, shape, alphabets = 0, 1, [], []
     for c in chars:
-        base, n = ("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else ("", 1)
-        sizes.append((base, n))
-        value, size = value * n + (ord(c) - ord(base) if base else 0), size * n
-    shape = "".join(base or c for c, (base, _) in zip(chars, sizes, strict=True))
-    value, out = permute(value, size, key, kind + shape), []
-    for c, (base, n) in zip(reversed(chars), reversed(sizes), strict=True):
-        value, digit = divmod(value, n)
-        out.append(chr(ord(base) + digit) if base else c)
+        name, alphabet = _class(c)
+        shape.append(name)
+        alphabets.append(alphabet)
+        value, size = value * len(alphabet) + alphabet.index(c), size * len(alphabet)
+    value, out = permute(value, size, key, kind + "".join(shape)), []
+    for alphabet in reversed(alphabets):
+        value, at = divmod(value, len(alphabet))
+        out.append(alphabet[at])
     return "".join(reversed(out))
 
 
@@ -166,12 +235,9 @@ def _hex(s: str, key: bytes) -> str | None:
 
 def _email(s: str, key: bytes) -> str | None:
     local, _, domain = s.rpartition("@")
-    if local.isascii():
-        low, tweak = local.lower(), domain.lower()
-    else:  # other scripts are written with a-z; the original in the tweak keeps equal ones linked
-        low, tweak = "".join(c.lower() if c.isascii() else chr(97 + ord(c) % 26) for c in local), f"{domain.lower()} {local}"
-    out = _mixed(low, key, "email" + tweak)
-    return "".join(o.upper() if c.isupper() else o for o, c in zip(out, local, strict=True)) + "@" + domain
+    low = "".join(c.lower() if c.isascii() else c for c in local)
+    out = _mixed(low, key, "email" + domain.lower())
+    return "".join(o.upper() if c.isascii() and c.isupper() else o for o, c in zip(out, local, strict=True)) + "@" + domain
 
 
 #: kind, pattern (verbose groups are tried from left to right at each place), how its value is permuted.
@@ -257,12 +323,16 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     at the same place; then the search goes on from the next character, so that a value inside it (say a
     date in a longer run) is still found.  A value ends before an e-mail address that follows it.
     """
+    return _pseudonymise(text, secret(key))
+
+
+def _pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     counts: dict[str, int] = {}
     out: list[str] = []
     last = 0
     spans: list[tuple[int, int, str]] = []
     if "@" in text:
-        for m in _EMAIL.finditer(text) if text.count("@") * 200 > len(text) else _emails(text):
+        for m in _emails(text):
             new = _pseudonym("email", m[0], key)
             spans.append((m.start(), m.end(), new))
             counts["email"] = counts.get("email", 0) + 1
@@ -307,22 +377,29 @@ def _emails(text: str) -> Iterator[re.Match]:
         at = text.find("@", done)
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``text`` pseudonymised, plus ``pii_kinds`` (such as "card:2,email:1"; empty if none).
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it if ``docs`` has such a column already."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def pseudonymise_documents(docs: DataFrame, key: bytes, text: str = "text", kinds: str = "pii_kinds") -> DataFrame:
+    """All columns of ``docs``, ``text`` pseudonymised, plus ``kinds`` (such as "card:2,email:1"; empty if none).
 
-    A null text stays null with empty kinds.  Rows and their order in a partition do not change.  A
-    column that is already named ``pii_kinds`` is replaced.
+    A null text stays null with empty kinds.  Rows and their order in a partition do not change; no rows
+    give no rows.  Where ``docs`` has a column named like ``kinds``, the new one gets underscores behind its name.
     """
     ship_package(docs.sparkSession)
-    docs = docs.drop("pii_kinds")
-    schema = T.StructType([*docs.schema.fields, T.StructField("pii_kinds", T.StringType())])
+    name, own_key = free_name(docs, kinds), secret(key)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.schema.get_field_index(text)
-            done = [(None, {}) if t is None else pseudonymise(t, key) for t in b.column(k).to_pylist()]
-            kinds = [",".join(f"{x}:{n}" for x, n in sorted(c.items())) for _, c in done]
+            done = [(None, {}) if t is None else _pseudonymise(t, own_key) for t in b.column(k).to_pylist()]
+            told = [",".join(f"{x}:{n}" for x, n in sorted(c.items())) for _, c in done]
             cols = [pa.array([t for t, _ in done], pa.string()) if i == k else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kinds, pa.string())], names=[*b.schema.names, "pii_kinds"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(told, pa.string())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
