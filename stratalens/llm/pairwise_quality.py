@@ -129,12 +129,13 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, cut: float = 0.3, max_pairs: int = 6
 def labelled_features(feats: DataFrame, labels: DataFrame, max_train: int, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
     """The training rows: crc32 of the identifier's text not divisible by 5, at most ``max_train``, least hash first.
 
-    Rows without a label or identifier are left out; of several labels of a document the mean decides.
+    Rows without a label or identifier are left out; of several labels of a document the mean decides, and
+    of several rows of an identifier one (of least features) is read, so at most ``max_train`` rows are collected.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != 0)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     few = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(max_train)
-    rows = feats.join(few, "doc_id").select("x", "y").toPandas()
+    rows = feats.join(few, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas()
     if not len(rows):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     return np.array(rows["x"].tolist()), rows["y"].to_numpy()
