@@ -1,8 +1,7 @@
 """Bottom-k sketches of shingle hashes.
 
 A sketch is the ascending array of the ``k`` least distinct hashes (40 bits each) of a document's
-five-word shingles, with a flag that tells whether it is the whole set.  The least k of the union of
-two sketches is the sketch of the union, so sketches of parts merge exactly; resemblance, containment
+five-word shingles; with fewer than k it is the whole set.  The least k of the union of two sketches is the sketch of the union, so sketches of parts merge exactly; resemblance, containment
 and the distinct count follow from the merged one.
 """
 
@@ -10,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,13 +94,28 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
 
+#: Ranges of ids for each shuffle partition; they are dealt out by their bytes.
+_RANGES_EACH = 8
+
+
 def _ranges(docs: DataFrame) -> np.ndarray:
-    """Borders that cut the ids into even ranges, a few per shuffle partition."""
-    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(20 * n)).alias("q")).first()["q"]
+    """Borders that cut the ids into even ranges, some for each shuffle partition."""
+    n = _RANGES_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(10 * n)).alias("q")).first()["q"]
     return np.unique(np.array(found or [], dtype=np.int64))
 
 
+def _deal(sizes: dict[int, int], n: int) -> dict[int, int]:
+    """A task for each range, largest range first to the task with the least bytes so far."""
+    tasks = [(0, t) for t in range(n)]
+    out = {}
+    for part in sorted(sizes, key=lambda p: (-sizes[p], p)):
+        load, t = heapq.heappop(tasks)
+        out[part] = t
+        heapq.heappush(tasks, (load + sizes[part], t))
+    return out
+
+
 def _range_numbers(ids: pa.Array, borders: np.ndarray) -> np.ndarray:
     """The range of each id; nulls are in the first one."""
     known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -119,25 +134,34 @@ def with_followers(docs: DataFrame) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_range_numbers(b.column(0), borders))], names=["doc_id", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_range_numbers(b.column(0), borders))], names=["doc_id", "bytes", "part"])
 
-    least = docs.select("doc_id").mapInArrow(number, "doc_id long, part long").groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"))
-    firsts = sorted((r["part"], None if r["nulls"] else r["least"]) for r in least.collect())
+    numbered = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).mapInArrow(number, "doc_id long, bytes long, part long")
+    found = numbered.groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()
+    firsts = sorted((r["part"], None if r["nulls"] else r["least"]) for r in found)
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    n_tasks = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(found)))
+    task_of = _deal({r["part"]: r["bytes"] + 100 * r["n"] for r in found}, n_tasks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text", "part", "tail"]
+        names = ["doc_id", "text", "part", "tail", "task"]
+
+        def dealt(few: pa.RecordBatch, part: list[int], tail: int) -> pa.RecordBatch:
+            task = pa.array([task_of[p] for p in part], pa.int32())
+            return pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(part, pa.int64()), pa.array([tail] * len(part), pa.int32()), task], names=names)
+
         for b in batches:
-            part = _range_numbers(b.column(0), borders)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part), pa.array(np.zeros(len(part), dtype=np.int32))], names=names)
-            heads = [i for i, d in enumerate(b.column(0).to_pylist()) if d in before]
+            yield dealt(b, _range_numbers(b.column(0), borders).tolist(), 0)
+            ids = b.column(0).to_pylist()
+            heads: dict[int | None, int] = {}  # the least text of each follower's id in this batch
+            for i, d in enumerate(ids):
+                if d in before and (d not in heads or (b.column(1)[i].as_py() or "") < (b.column(1)[heads[d]].as_py() or "")):
+                    heads[d] = i
             if heads:
-                few = b.take(pa.array(heads))
-                to = [before[d] for d in few.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(to, pa.int64()), pa.array([1] * len(to), pa.int32())], names=names)
+                yield dealt(b.take(pa.array(list(heads.values()))), [before[d] for d in heads], 1)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "doc_id long, text string, part long, tail int")
-    return dealt.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    out = docs.select("doc_id", "text").mapInArrow(deal, "doc_id long, text string, part long, tail int, task int")
+    return out.repartitionById(n_tasks, F.col("task")).sortWithinPartitions("part", "tail", "doc_id", "text").drop("task")
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 256) -> DataFrame:

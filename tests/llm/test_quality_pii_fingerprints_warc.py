@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.llm import bottomk, pairwise_quality, pseudonyms, queries, warc
 
@@ -114,7 +115,68 @@ def test_op4(spark):
             assert found not in r["text"]
     df = spark.createDataFrame([*ODD, ODD[0]], SCHEMA).withColumnRenamed("lang", "pii_kinds")
     odd = pseudonyms.pseudonymise_documents(df, KEY)
-    assert odd.count() == len(ODD) + 1 and odd.where("text is null").count() == 2 and odd.where("pii_kinds <> ''").count() == 0
+    assert odd.columns == [*df.columns, "pii_kinds_"] and odd.count() == len(ODD) + 1
+    assert odd.where("text is null").count() == 2 and odd.where("pii_kinds_ <> ''").count() == 0
+    assert sorted(r[0] or "" for r in odd.select("pii_kinds").collect()) == sorted(r[0] or "" for r in df.select("pii_kinds").collect())
+    assert pseudonyms.pseudonymise_documents(df.limit(0), KEY).count() == 0
+
+
+def one(value):
+    """The pseudonym of a text that is one value."""
+    new, n = pseudonyms.pseudonymise(value, KEY)
+    assert sum(n.values()) == 1, (value, n)
+    return new
+
+
+def test_each_kind_is_a_bijection_in_its_format():
+    """Brute force over many values of each kind: different ones stay different, and the format holds."""
+    day = [dt.date(1990, 1, 1) + dt.timedelta(i) for i in range(2500)]
+    layouts = {f"{d:%d/%m/%Y}" for d in day} | {f"{d:%m/%d/%Y}" for d in day}
+    new = {x: one(x) for x in layouts}
+    assert len(set(new.values())) == len(new)
+    first = lambda x: int(x[3:5]) <= 12  # noqa: E731  readable with the day first
+    assert all(first(x) == first(y) for x, y in new.items())
+    assert all(one(f"{d:%Y-%m-%d}").split("-")[::-1] == one(f"{d:%d.%m.%Y}").split(".") for d in day[:200])  # linked across layouts
+    plan = [f"{a}-{e}-{n:04d}" for a in (212, 989, 305, 191, 911, 290) for e in (200, 555, 999, 911, 155) for n in range(0, 9999, 77)]
+    new = {x: one(x) for x in plan}
+    valid = re.compile(r"[2-9](?!11)[0-8][0-9]-[2-9](?!11)[0-9][0-9]-[0-9]{4}")
+    assert len(set(new.values())) == len(new) and all(bool(valid.fullmatch(x)) == bool(valid.fullmatch(y)) for x, y in new.items())
+    ips = [f"10.{a}.{b}.7" for a in range(0, 256, 5) for b in range(0, 256, 5)]
+    assert len({one(x) for x in ips}) == len(ips)
+    names = [a + b for a in "abzéñßçüö漢字й" for b in "abzéñßçüö漢字й"]
+    new = {x: one(f"{x}@example.org") for x in names}
+    assert len(set(new.values())) == len(new) and all(len(y) == len(x) + 12 and y.endswith("@example.org") for x, y in new.items())
+    ssn = [f"{a:03d}-{g:02d}-{n:04d}" for a in (1, 665, 667, 899) for g in (1, 50, 99) for n in range(1, 9999, 111)]
+    assert len({one(x) for x in ssn}) == len(ssn)
+
+
+def test_long_values_are_permuted_whole_and_keys_of_any_length_serve():
+    local = "".join(random.Random(2).choice("abcdefghij") for _ in range(600))
+    a, b = one(f"{local}@example.org"), one(f"{local[:-1]}z@example.org")
+    for new in (a, b):
+        assert max(len(run) for run in re.findall("=+", "".join("=" if x == y else "." for x, y in zip(new, local)))) < 12
+    assert sum(x == y for x, y in zip(a, b)) < 60 + 12  # the last letter changes all others
+    assert pseudonyms.pseudonymise("10.1.2.3", b"k" * 200)[0] != pseudonyms.pseudonymise("10.1.2.3", b"k" * 201)[0]
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise("10.1.2.3", b"")
+
+
+def test_one_at_sign_in_many_letters_costs_linear_time():
+    import time
+
+    text = ("a" * 149 + "@") * 8000  # 1.2 million characters
+    start = time.process_time()
+    assert pseudonyms.pseudonymise(text, KEY) == (text, {})
+    assert time.process_time() - start < 20
+
+
+def test_op3_collects_one_row_for_each_labelled_document(spark):
+    docs = spark.createDataFrame([(1, f"text {i} of many, all with one id") for i in range(300)] + [(2, "zz##"), (3, None)], "doc_id long, text string").withColumn("label", F.lit(1))
+    feats = pairwise_quality.document_features(docs)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    x, y = pairwise_quality.labelled_features(feats, labels, 10)
+    assert len(x) == len(y) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3))
+    assert pairwise_quality.score_documents(docs, labels).count() == 302
 
 
 def shingles(text):
@@ -145,6 +207,47 @@ def test_op5(spark):
     check_fingerprints(docs, rows(queries.op5_fingerprints(spark, DATA), "doc_id"))
 
 
+def test_sketches_keep_the_least_hashes_of_the_set_of_shingles():
+    """An independent bottom-k: one hash for each distinct shingle, computed by itself, sorted, cut."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    for n in (0, 1, 4, 5, 6, 50, 400, 3000):
+        text = " ".join(rng.choice(vocabulary) for _ in range(n))
+        by_shingle = {}
+        for s in shingles(text):
+            (h,) = bottomk.sketch(" ".join(s).encode(), 10).tolist()
+            by_shingle[s] = h
+        assert len(set(by_shingle.values())) == len(by_shingle)
+        assert bottomk.sketch(text.encode(), 64).tolist() == sorted(by_shingle.values())[:64]
+        half = text.split()
+        a, b = " ".join(half[: n // 2 + 4]), " ".join(half[n // 2 :])
+        if n >= 50:
+            assert bottomk.merge(bottomk.sketch(a.encode(), 64), bottomk.sketch(b.encode(), 64), 64).tolist() == bottomk.sketch(text.encode(), 64).tolist()
+            assert abs(bottomk.distinct(bottomk.sketch(text.encode())) / len(by_shingle) - 1) < 0.25
+
+
+def test_ranges_are_dealt_by_bytes():
+    sizes = {i: 1000 if i % 50 else 30_000 for i in range(400)}
+    load = [0] * 8
+    for part, task in bottomk._deal(sizes, 8).items():
+        load[task] += sizes[part]
+    assert max(load) < 1.2 * min(load)
+
+
+def test_op5_followers_of_repeated_ids(spark):
+    docs = [(i // 3, f"{i % 3} words of row {i} and some more of them here {i * i}") for i in range(60)] + [(None, "no id"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("part", F.lit(9)).withColumn("tail", F.lit(1)).repartition(5)
+    order = sorted(docs, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1]))
+    want = []
+    for i, (d, t) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        want.append((d, hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()))
+    key = lambda r: (r[0] is not None, r[0], r[1])
+    assert sorted(((r.doc_id, r.edited_sha256) for r in bottomk.fingerprint_documents(df).collect()), key=key) == sorted(want, key=key)
+    assert bottomk.fingerprint_documents(df.limit(0)).count() == 0
+
+
 def test_op5_odd(spark):
     df = spark.createDataFrame(ODD, SCHEMA).repartition(4)
     check_fingerprints([(r[0], r[1]) for r in ODD], rows(bottomk.fingerprint_documents(df), "doc_id"))
