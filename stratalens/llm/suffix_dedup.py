@@ -5,21 +5,22 @@ A byte goes if a string of ``SPAN`` bytes that covers it also starts earlier in
 1. *Anchors.*  Winnowing marks, in every window of ``SPAN`` bytes, a ``GRAM``-byte gram of least hash, so
    equal windows have an equal gram at the same place in them.  A gram with its context (all windows that
    hold it) is one row; rows of equal gram and context repeat each other whole, and each task settles its
-   own before anything is shuffled.
+   own before anything is shuffled.  Contexts count as equal if two independent 64-bit hashes are.
 2. *Meeting.*  Rows meet by gram.  Equal contexts are settled; grams with several contexts ask for their
    bytes, which are few: they stand where copies begin, end or differ.
 3. *Suffix arrays.*  The contexts of a gram come to one shard.  A shard is sorted by Larsson-Sadakane
    refinement (ranks of 7 symbols, doubled, only unsettled groups sorted again), common prefixes come from
    Kasai's algorithm in lanes, and runs with a common prefix of ``SPAN`` or more are equal windows.  A gram
-   with more contexts than a shard holds is cut into shards in corpus order, and the windows of a later
-   one are looked up in the earlier ones by binary search.
+   with more than ``HOT`` contexts is not left to one task: its windows are cut into classes by where the
+   gram stands in them, ``STEP`` places to a class, and the contexts of a class go to shards by the bytes
+   that all windows of the class share.  A key that still exceeds a shard is cut into shards in corpus
+   order, and the windows of a later one are looked up in the earlier ones by binary search.
 4. *Cutting.*  The ranges of repeated windows of a document are united and cut from its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +36,18 @@ _REACH = SPAN - GRAM
 _PIECE = 1 << 20
 _NULL_ID = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_TIE = 1 << 15
+#: Contexts of a gram from which they are dealt out by more of their bytes, and how many windows then stay together.
+HOT, STEP = 2048, 4
+#: A random value for each byte, the second hash of contexts.
+_BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def _anchors_in(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, gram hashes and context hashes of the anchors of one byte array."""
+def _anchors_in(a: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Positions, gram hashes and the two context hashes of the anchors of one byte array."""
     n = len(a)
     if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    c, q = prefix_sums(a), powers(n + 1)[1]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    c, (p, q) = prefix_sums(a), powers(n + 1)
     g = c[GRAM:] - c[: n - GRAM + 1]
     g *= q[: n - GRAM + 1]
     g = mix(g)
@@ -56,10 +60,14 @@ def _anchors_in(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     context = c[hi] - c[lo]
     context *= q[lo]
     context += (hi - at).astype(np.uint64) * _STEP + (at - lo).astype(np.uint64)
-    return at, g[at], mix(context)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[a] * p[:n], out=sums[1:])
+    second = sums[hi] - sums[lo]
+    second *= q[lo]
+    return at, g[at], mix(context), mix(second)
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes) -> tuple[np.ndarray, ...]:
     """The same for any length: long texts are read in overlapping pieces."""
     a = np.frombuffer(data, dtype=np.uint8)
     if len(a) <= _PIECE:
@@ -67,68 +75,64 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts, lap = [], 2 * SPAN
     for start in range(0, len(a), _PIECE):
         lo, hi = max(0, start - lap), min(len(a), start + _PIECE + lap)
-        at, g, c = _anchors_in(a[lo:hi])
+        at, *hashes = _anchors_in(a[lo:hi])
         at = at + lo
         own = (at >= start) & (at < start + _PIECE)
-        parts.append((at[own], g[own], c[own]))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+        parts.append((at[own], *(h[own] for h in hashes)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-# A place in the corpus is (did, place): did is doc_id, or the least long for null; place packs the tie of
-# rows that share an id, the position, and how many bytes of context stand before and behind it.
+# A place in the corpus is (did, tie, place): did is doc_id, or the least long for null; tie orders rows that
+# share an id; place packs the position and how many bytes of context stand before and behind it.
 
 
-def _pack(tie: int, at: np.ndarray, n: int) -> np.ndarray:
-    left, right = np.minimum(at, _REACH), np.minimum(SPAN, n - at)
-    return (np.int64(tie) << 47) | (at << 15) | (left << 7) | right
+def _pack(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (at << 15) | (left << 7) | right
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """tie, position, first byte and end of the context."""
-    at = (place >> 15) & 0xFFFFFFFF
-    return place >> 47, at, at - ((place >> 7) & 0xFF), at + (place & 0x7F)
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, first byte and end of the context."""
+    at = place >> 15
+    return at, at - ((place >> 7) & 0xFF), at + (place & 0x7F)
 
 
 #: p is the gram for kinds 0 and 2; rows of kind 1 only pass through.
-_ROW = "p long, kind int, context long, did long, place long"
-_NAMES = ["p", "kind", "context", "did", "place"]
+_ROW = "p long, kind int, context long, second long, did long, tie long, place long"
+_NAMES = ["p", "kind", "context", "second", "did", "tie", "place"]
 
 
-def _rows(kind: int, p: np.ndarray, context: np.ndarray, did: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(p.view(np.int64)), pa.array(np.full(len(p), kind, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in (context, did, place))]
+def _rows(kind: int, p: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(p.view(np.int64)), pa.array(np.full(len(p), kind, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in columns)]
     return pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
 
 def _publish(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: the first row of each (gram, context) here; kind 1: a place whose windows all repeat."""
-    grams: list[np.ndarray] = []
-    contexts: list[np.ndarray] = []
-    places: list[np.ndarray] = []
-    dids: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, ...]] = []
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal grams, contexts, places, dids, held
-        g, c, d, at = (np.concatenate(x) for x in (grams, contexts, dids, places))
-        grams, contexts, places, dids, held = [], [], [], [], 0
-        order = np.lexsort((at, d, c, g))
-        g, c, d, at = g[order], c[order], d[order], at[order]
-        first = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+        nonlocal parts, held
+        g, c, s, d, t, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts, held = [], 0
+        order = np.lexsort((at, t, d, s, c, g) if t.any() else (at, d, s, c, g))
+        g, c, s, d, t, at = (x[order] for x in (g, c, s, d, t, at))
+        first = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
         for mask, kind in ((first, 0), (~first, 1)):
-            for k in range(0, int(mask.sum()), 250_000):
-                i = np.flatnonzero(mask)[k : k + 250_000]
+            places = np.flatnonzero(mask)
+            for k in range(0, len(places), 250_000):
+                i = places[k : k + 250_000]
                 p = g[i] if kind == 0 else mix(d[i].view(np.uint64).copy())
-                yield _rows(kind, p, c[i] if kind == 0 else np.zeros(len(i), np.int64), d[i], at[i])
+                none = np.zeros(len(i), np.int64)
+                yield _rows(kind, p, *((c[i], s[i]) if kind == 0 else (none, none)), d[i], t[i], at[i])
 
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        for doc, text, tie in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
             if not text or len(text) < SPAN:
                 continue
-            at, g, c = anchors(text)
-            grams.append(g)
-            contexts.append(c)
-            places.append(_pack(zlib.crc32(text) % _TIE, at, len(text)))
-            dids.append(np.full(len(at), _NULL_ID if doc is None else doc, dtype=np.int64))
+            at, g, c, second = anchors(text)
+            place = _pack(at, np.minimum(at, _REACH), np.minimum(SPAN, len(text) - at))
+            parts.append((g, c, second, np.full(len(at), doc, dtype=np.int64), np.full(len(at), tie, dtype=np.int64), place))
             held += len(at)
             if held >= hold:
                 yield from flush()
@@ -137,21 +141,22 @@ def _publish(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.Record
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (kind, p, context, did, place).  Kind 1: repeats whole; kind 2: its bytes are asked for."""
-    last: tuple[int, int] | None = None  # gram and context of the row before
+    """Rows come sorted by kind, then gram, context and place.  Kind 1: repeats whole; kind 2: its bytes are asked for."""
+    last: tuple[int, int, int] | None = None  # gram and context of the row before
     pending: tuple | None = None  # first row of a gram with one context so far
     for b in batches:
-        g, kind, c, d, at = (b.column(n).to_numpy() for n in _NAMES)
+        g, kind, *rest = (b.column(n).to_numpy() for n in _NAMES)
         if (kind == 1).any():
             yield b.filter(pa.array(kind == 1))
         x = kind == 0
         if not x.any():
             continue
-        g, c, d, at = g[x], c[x], d[x], at[x]
+        g, *rest = (v[x] for v in (g, *rest))
+        c, s = rest[:2]
         same_g = np.concatenate([[last is not None and last[0] == g[0]], g[1:] == g[:-1]])
-        same = same_g & np.concatenate([[last is not None and last[1] == c[0]], c[1:] == c[:-1]])
+        same = same_g & np.concatenate([[last is not None and last[1:] == (c[0], s[0])], (c[1:] == c[:-1]) & (s[1:] == s[:-1])])
         if same.any():
-            yield _rows(1, g[same], c[same], d[same], at[same])
+            yield _rows(1, g[same], *(v[same] for v in rest))
         new = np.flatnonzero(~same)
         if len(new):
             cont = same_g[new]
@@ -166,11 +171,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pending = None
             i = new[ask]
             if len(i):
-                yield _rows(2, g[i], c[i], d[i], at[i])
+                yield _rows(2, g[i], *(v[i] for v in rest))
             if len(begins) and not ask[begins[-1]] and begins[-1] == len(new) - 1:
                 k = new[-1]
-                pending = (int(g[k]), int(c[k]), int(d[k]), int(at[k]))
-        last = (int(g[-1]), int(c[-1]))
+                pending = tuple(int(v[k]) for v in (g, *rest))
+        last = (int(g[-1]), int(c[-1]), int(s[-1]))
 
 
 # ---- suffix arrays of one shard
@@ -262,7 +267,7 @@ class Shard:
     """Contexts of some grams with their equal windows, and the sorted distinct windows for look-ups."""
 
     def __init__(self, slices: list[bytes], did: np.ndarray, start: np.ndarray, rows: np.ndarray) -> None:
-        """Slice k is bytes ``start[k]`` on of document ``did[k]``, row ``rows[k]`` of the caller."""
+        """Slice k is bytes ``start[k]`` on of document ``did[k]`` (any numbers in corpus order), row ``rows[k]`` of the caller."""
         lens = np.array([len(s) for s in slices], dtype=np.int64)
         base = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
         text = np.full(int((lens + 1).sum()), 256, dtype=np.int16)
@@ -298,14 +303,14 @@ class Shard:
         return np.ascontiguousarray(view).view(f"S{SPAN}").ravel()
 
 
-def _found_in(known: tuple[np.ndarray, np.ndarray, np.ndarray], windows: np.ndarray, did: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows equal one of the sorted ``known`` (windows, did, start) that starts earlier; binary search."""
-    known_windows, known_did, known_start = known
-    if not len(known_windows) or not len(windows):
+def _found_in(known: tuple[np.ndarray, ...], windows: np.ndarray, did: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows equal one of the sorted ``known`` (windows, did, tie, start) that starts earlier; binary search."""
+    if not len(known[0]) or not len(windows):
         return np.zeros(len(windows), dtype=bool)
-    at = np.minimum(np.searchsorted(known_windows, windows), len(known_windows) - 1)
-    earlier = (known_did[at] < did) | ((known_did[at] == did) & (known_start[at] < start))
-    return (known_windows[at] == windows) & earlier
+    at = np.minimum(np.searchsorted(known[0], windows), len(known[0]) - 1)
+    found, d, t, s = (v[at] for v in known)
+    earlier = (d < did) | ((d == did) & ((t < tie) | ((t == tie) & (s < start))))
+    return (found == windows) & earlier
 
 
 _RANGES = "did long, tie long, lo long, hi long"
@@ -356,38 +361,43 @@ def _trimmed(slices: list[bytes], gram: np.ndarray, before: np.ndarray) -> tuple
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (gram, did, place).
+    """Rows come sorted by (key, did, tie, place); a key is a gram, or a part of one.
 
-    A shard of whole grams first cuts each context to what another context of its gram can share: most
-    are too short then, and equal rests repeat the first of them.  What is left is sorted.  A gram that
+    A shard of whole keys first cuts each context to what another context of its key can share: most
+    are too short then, and equal rests repeat the first of them.  What is left is sorted.  A key that
     exceeds a shard is sorted as it is, in shards in corpus order, later ones looked up in earlier ones.
     """
-    rows: list[tuple[int, int, int, bytes]] = []
-    size = begins = 0  # bytes held; where the current gram begins
+    rows: list[tuple[int, int, int, int, bytes]] = []  # key, did, tie, place, bytes
+    size = begins = 0  # bytes held; where the current key begins
     current = None
-    known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted new windows of the current gram's earlier shards
-
-    def sort(part: list[tuple[int, int, int, bytes]], lo: np.ndarray, cut: bool) -> pa.RecordBatch:
-        place = np.array([r[2] for r in part], dtype=np.int64)
-        tie = _unpack(place)[0]
-        s = Shard([r[3] for r in part], np.array([r[1] for r in part], dtype=np.int64), lo, np.arange(len(part)))
-        bad = s.repeats()
+    known: list[tuple[np.ndarray, ...]] = []  # sorted new windows of the current key's earlier shards
+
+    def column(part: list[tuple], k: int) -> np.ndarray:
+        return np.array([r[k] for r in part], dtype=np.int64)
+
+    def sort(part: list[tuple], lo: np.ndarray, cut: bool) -> pa.RecordBatch:
+        did, tie = column(part, 1), column(part, 2)
+        order = np.lexsort((tie, did))
+        new = np.concatenate([[False], (did[order][1:] != did[order][:-1]) | (tie[order][1:] != tie[order][:-1])])
+        rank = np.empty(len(part), dtype=np.int64)
+        rank[order] = np.cumsum(new)
+        s = Shard([r[4] for r in part], rank, lo, np.arange(len(part)))
+        bad, d, t = s.repeats(), did[s.row], tie[s.row]
         if known or cut:
             w = s.windows()
             for k in known:
-                bad |= _found_in(k, w, s.did, s.start)
+                bad |= _found_in(k, w, d, t, s.start)
             if cut:
-                known.append((w[~bad], s.did[~bad], s.start[~bad]))  # suffix order is byte order
-        return _ranges(s.did[bad], tie[s.row[bad]], s.start[bad])
+                known.append((w[~bad], d[~bad], t[~bad], s.start[~bad]))  # suffix order is byte order
+        return _ranges(d[bad], t[bad], s.start[bad])
 
-    def whole(part: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        tie, at, lo, _ = _unpack(np.array([r[2] for r in part], dtype=np.int64))
-        gram = np.array([r[0] for r in part], dtype=np.int64)
-        left, right = _trimmed([r[3] for r in part], gram, at - lo)
+    def whole(part: list[tuple]) -> Iterator[pa.RecordBatch]:
+        at, lo, _ = _unpack(column(part, 3))
+        left, right = _trimmed([r[4] for r in part], column(part, 0), at - lo)
         first: dict[tuple, int] = {}
         repeat, count = [], {}
         for i in np.flatnonzero(left + right >= _REACH).tolist():
-            g, _, _, data = part[i]
+            g, data = part[i][0], part[i][4]
             k = int(at[i] - lo[i] - left[i])
             key = (g, int(left[i]), data[k : k + int(left[i] + right[i]) + GRAM])
             j = first.setdefault(key, i)
@@ -397,9 +407,9 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterato
                 count[g] = count.get(g, 0) + 1
         if repeat:
             r = np.array(repeat)
-            begin, end = at[r] - left[r], at[r] + right[r] - _REACH
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array([part[i][1] for i in repeat], dtype=np.int64), tie[r], begin, end)], names=["did", "tie", "lo", "hi"])
-        # A single rest of a gram has no partner here, but its windows may meet those of other rests.
+            bad = [part[i] for i in repeat]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (column(bad, 1), column(bad, 2), at[r] - left[r], at[r] + right[r] - _REACH)], names=["did", "tie", "lo", "hi"])
+        # A single rest of a key has no partner here, but its windows may meet those of other rests.
         left_over = [(k, i) for k, i in first.items() if count[k[0]] > 1]
         n = 0
         while n < len(left_over):
@@ -408,31 +418,31 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterato
                 end += 1
             block = left_over[n:end]
             n = end
-            yield sort([(k[0], part[i][1], part[i][2], k[2]) for k, i in block], np.array([int(at[i]) - k[1] for k, i in block]), False)
+            yield sort([(k[0], *part[i][1:4], k[2]) for k, i in block], np.array([int(at[i]) - k[1] for k, i in block]), False)
 
     def full() -> np.ndarray:
-        return _unpack(np.array([r[2] for r in rows], dtype=np.int64))[2]
+        return _unpack(column(rows, 3))[1]
 
     for b in batches:
-        for g, d, at, data in zip(*(b.column(n).to_pylist() for n in ("gram", "did", "place", "data")), strict=True):
-            if g != current:
+        for row in zip(*(b.column(n).to_pylist() for n in ("gram", "did", "tie", "place", "data")), strict=True):
+            if row[0] != current:
                 if known:
                     yield sort(rows, full(), False)
                     rows, size, known = [], 0, []
                 elif size >= shard_bytes // 2:
                     yield from whole(rows)
                     rows, size = [], 0
-                current, begins = g, len(rows)
+                current, begins = row[0], len(rows)
             elif size >= shard_bytes:
                 if begins:
                     yield from whole(rows[:begins])
                     rows = rows[begins:]
-                    size, begins = sum(len(r[3]) for r in rows), 0
+                    size, begins = sum(len(r[4]) for r in rows), 0
                 if size >= shard_bytes:
                     yield sort(rows, full(), True)
                     rows, size = [], 0
-            rows.append((g, d, at, data))
-            size += len(data)
+            rows.append(row)
+            size += len(row[4])
     if rows:
         if known:
             yield sort(rows, full(), False)
@@ -440,50 +450,75 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterato
             yield from whole(rows)
 
 
-def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 8_000_000) -> DataFrame:
-    """(did, tie, lo, hi): windows that start at bytes lo to hi of a document also start earlier."""
+def _contexts(data: bytes, wants: list[dict]) -> Iterator[tuple[int, int, bytes]]:
+    """Key, place and bytes of the contexts that are asked for, those of hot grams by class of windows."""
+    at, lo, hi = _unpack(np.array([w["place"] for w in wants], dtype=np.int64))
+    for w, i, a, b in zip(wants, at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        if not w["hot"]:
+            yield w["gram"], w["place"], data[a:b]
+            continue
+        for k in range(0, _REACH + 1, STEP):  # windows that start k to k + STEP - 1 bytes before the gram
+            core = i - k
+            begin, end = max(a, core - min(STEP - 1, _REACH - k)), min(b, core + SPAN)
+            if core >= a and end - begin >= SPAN:
+                shared = data[core : core + SPAN - min(STEP - 1, _REACH - k)]
+                name = hashlib.blake2b(shared, digest_size=8, salt=k.to_bytes(2, "big")).digest()
+                yield int.from_bytes(name, "big", signed=True), (core << 15) | ((core - begin) << 7) | (end - core), data[begin:end]
+
+
+def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 8_000_000, hot: int = HOT) -> DataFrame:
+    """(did, tie, lo, hi): windows that start at bytes lo to hi of a document also start earlier.  ``docs`` is of ``with_keys``."""
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _publish(batches, hold)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for b in batches:
             out: list[tuple] = []
-            for d, data, wants in zip(b.column("did").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("wants").to_pylist(), strict=True):
-                at = np.array([w["place"] for w in wants], dtype=np.int64)
-                _, _, lo, hi = _unpack(at)
-                out += [(w["gram"], d, w["place"], data[i:j]) for w, i, j in zip(wants, lo.tolist(), hi.tolist(), strict=True)]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["gram", "did", "place", "data"])
+            for d, t, data, wants in zip(b.column("did").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("wants").to_pylist(), strict=True):
+                for key, place, part in _contexts(data, wants):
+                    out.append((key, d, t, place, part))
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "did", "tie", "place", "data"])
+                    out = []
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["gram", "did", "tie", "place", "data"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sort_shards(batches, shard_bytes)
 
-    met = docs.select("doc_id", "text").mapInArrow(publish, _ROW).repartition("p").sortWithinPartitions("kind", "p", "context", "did", "place").mapInArrow(_meet, _ROW)
-    met = materialise(met.select("kind", F.when(F.col("kind") == 2, F.col("p")).alias("gram"), "did", "place"), "met")
-    wants = met.where("kind = 2").groupBy("did", F.shiftright("place", 47).alias("tie")).agg(F.collect_list(F.struct("gram", "place")).alias("wants"))
-    bytes_of = with_keys(docs).join(wants, ["did", "tie"]).select("did", "text", "wants").mapInArrow(fetch, "gram long, did long, place long, data binary")
-    sorted_out = bytes_of.repartition("gram").sortWithinPartitions("gram", "did", "place").mapInArrow(shards, _RANGES)
-    at = F.shiftright("place", 15).bitwiseAND(F.lit(0xFFFFFFFF))
+    met = docs.select("did", "text", "tie").mapInArrow(publish, _ROW).repartition("p").sortWithinPartitions("kind", "p", "context", "second", "did", "tie", "place").mapInArrow(_meet, _ROW)
+    met = materialise(met.select("kind", F.when(F.col("kind") == 2, F.col("p")).alias("gram"), "did", "tie", "place"), "met")
+    asked = met.where("kind = 2")
+    often = asked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
+    asked = asked.join(often, "gram", "left").select("did", "tie", F.struct("gram", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("want"))
+    wants = asked.groupBy("did", "tie").agg(F.collect_list("want").alias("wants"))
+    bytes_of = docs.join(wants, ["did", "tie"]).select("did", "tie", "text", "wants").mapInArrow(fetch, "gram long, did long, tie long, place long, data binary")
+    sorted_out = bytes_of.repartition("gram").sortWithinPartitions("gram", "did", "tie", "place").mapInArrow(shards, _RANGES)
+    at = F.shiftright("place", 15)
     left, right = F.shiftright("place", 7).bitwiseAND(F.lit(0xFF)), F.col("place").bitwiseAND(F.lit(0x7F))
-    whole = met.where("kind = 1").select("did", F.shiftright("place", 47).alias("tie"), (at - left).alias("lo"), (at + right - SPAN).alias("hi"))
+    whole = met.where("kind = 1").select("did", "tie", (at - left).alias("lo"), (at + right - SPAN).alias("hi"))
     return whole.unionByName(sorted_out)
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    tie = F.crc32(F.col("text").cast("binary")) % _TIE
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.coalesce(tie, F.lit(0)).alias("tie"))
+    """doc_id, text, did and tie.  Only where an id stands in several rows, tie is the hash of the text; otherwise it is 0."""
+    repeated = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    tie = F.xxhash64("text") if repeated else F.lit(0).cast("long")
+    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), tie.alias("tie"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document.
 
     Null text counts as empty.  Texts shorter than 100 bytes stay whole.  Rows are ordered by doc_id,
-    nulls first; rows that share an id are ordered by a checksum of their text, and such rows with equal
+    nulls first; rows that share an id are ordered by a 64-bit hash of their text, and such rows with equal
     text are one document that is returned once each.
     """
     ship_package(docs.sparkSession)
-    ranges = materialise(repeated_ranges(docs), "ranges").groupBy("did", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
+    keyed = with_keys(docs)
+    ranges = materialise(repeated_ranges(keyed), "ranges").groupBy("did", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -501,7 +536,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = with_keys(docs).join(ranges, ["did", "tie"], "left").select("doc_id", "text", "cut")
+    joined = keyed.join(ranges, ["did", "tie"], "left").select("doc_id", "text", "cut")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -56,13 +56,13 @@ def test_op10(spark):
     assert rows(queries.op10_suffix_dedup(spark, DATA), "doc_id") == brute(docs)
 
 
-@pytest.mark.parametrize(("hold", "shard"), [(1_500_000, 1_000_000), (300, 2_000)])
-def test_small_blocks_and_cut_grams(spark, hold, shard):
+@pytest.mark.parametrize(("hold", "shard", "hot"), [(1_500_000, 1_000_000, 2048), (300, 2_000, 2048), (1_500_000, 1_000_000, 2), (300, 2_000, 5)])
+def test_small_blocks_cut_keys_and_hot_grams(spark, hold, shard, hot):
     docs = crowd()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     want = {r["doc_id"]: r["n_removed"] for r in brute(docs)}
     gone = {}
-    for r in S.repeated_ranges(df, hold, shard).collect():
+    for r in S.repeated_ranges(S.with_keys(df), hold, shard, hot).collect():
         gone.setdefault(r.did, []).append((r.lo, r.hi + S.SPAN))
     assert {d: sum(j - i for i, j in S.unite(gone.get(d, []))) for d in want} == want
 
@@ -77,6 +77,33 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id is not None, r.n_bytes, r.n_removed) for r in out) == [(False, 150, 149), (True, 0, 0), (True, 150, 150), (True, 150, 150)]
 
 
+def test_rows_that_share_an_id_are_different_documents(spark):
+    """Also where a short checksum of their texts is equal: crc32 mod 2**15 is, for the first two."""
+    import zlib
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(22))
+    by_sum, pair = {}, None
+    while pair is None:
+        t = f"{word()} {word()} {passage} {word()} {word()}"
+        other = by_sum.setdefault(zlib.crc32(t.encode()) % 2**15, t)
+        pair = (other, t) if other != t else None
+    docs = [(5, pair[0]), (5, pair[1]), (5, f"x {passage}"), (2, passage), (9, None), (9, passage + passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    order = [(r[0], r[1]) for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS h").orderBy("doc_id", "h").collect()]
+    key = lambda r: (r["doc_id"], r["n_bytes"], r["kept_sha256"])
+    assert sorted((r.asDict() for r in S.remove_repeats(df).drop("kept").collect()), key=key) == sorted(brute(order), key=key)
+
+
+def test_text_over_a_piece_long(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, 1_300_000).astype(np.uint8).tobytes().decode()
+    docs = [(1, long), (2, long[1_048_000:1_049_200] + "-"), (3, "+" + long[:150])]
+    out = {r.doc_id: r.n_removed for r in S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 1200, 3: 150}
+
+
 def test_pieces_of_long_texts_have_the_anchors_of_the_whole(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 20_000).astype(np.uint8).tobytes()
