@@ -6,7 +6,8 @@ total length.  Reading groups segments by origin, orders them by number, checks
 and that the total length is right, and then undoes the chunked transfer framing of the HTTP message.
 
 Files are written by Spark's text sink with CR LF CR LF as record end, which is the WARC record end, so
-the job's commit protocol and any Hadoop file system work, and gzip is the sink's own option.
+the job's commit protocol and any Hadoop file system work, and gzip is the sink's own option.  No record
+is larger than a segment with its head, so a file's records also bound its bytes.
 """
 
 from __future__ import annotations
@@ -67,13 +68,17 @@ def _record(kind: str, name: str, fields: list[tuple[str, str]], block: bytes) -
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def page_records(page_id: int | None, uid: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
+def record_name(page_id: int | None, uid: int | None) -> str:
+    """The record's identifier; ``uid`` tells rows that share a page_id apart."""
+    return f"<urn:page:{'' if page_id is None else page_id}{'' if uid is None else f'#{uid}'}>"
+
+
+def page_records(page_id: int | None, uid: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
     """The record of one page, or its segments; records end where the sink adds CR LF CR LF."""
-    page = "" if page_id is None else page_id
-    name = f"<urn:page:{page}#{uid}>"
+    name = record_name(page_id, uid)
     about = [("WARC-Target-URI", re.sub(r"\s", "", url or "")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
-        more = [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Payload-Length", str(len(payload)))]
+        more = [("WARC-Profile", _PROFILE), ("WARC-Refers-To", refers_to), ("X-Payload-Length", str(len(payload)))]
         yield _record("revisit", name, about + more, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -87,7 +92,8 @@ def page_records(page_id: int | None, uid: int, url: str | None, payload: bytes,
             yield _record("response", name, [*about, ("WARC-Segment-Number", "1")], part)
         else:
             total = [("WARC-Segment-Total-Length", str(len(block)))] if i == last else []
-            yield _record("continuation", f"<urn:page:{page}#{uid}.{i + 1}>", [("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i + 1)), *total], part)
+            own = f"{name[:-1]}{'#' if uid is None else ''}.{i + 1}>"
+            yield _record("continuation", own, [("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i + 1)), *total], part)
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes: int = 16_384) -> None:
@@ -95,24 +101,29 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segme
 
     Of rows with equal payloads of ``min_revisit_bytes`` or more, that of the least page_id is the
     response and the others revisit it.  Only digests with copies take part in the look-up, so that a
-    digest shared by a large part of the rows is split by adaptive skew joins.
+    digest shared by a large part of the rows is split by adaptive skew joins.  Records are named by
+    page_id, with a number where page_ids are null or repeat; such a table is written once with its numbers.
     """
     ship_package(pages.sparkSession)
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    named = p.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 or page_id is null").isEmpty()
+    p = p.withColumn("uid", F.lit(None).cast("long")) if named else materialise(p.withColumn("uid", F.monotonically_increasing_id()), "pages")
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    copies = p.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = p.join(materialise(copies, "copies"), ["digest", "size"], "left").withColumn("uid", F.monotonically_increasing_id())
+    first = F.min_by("uid", F.struct(F.col("page_id").isNull(), "page_id", "uid")).alias("first_uid")
+    copies = p.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), first, F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = p.join(materialise(copies, "copies"), ["digest", "size"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
-            for page, uid, url, html, digest, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "uid", "url", "html", "digest", "first_id")), strict=True):
+            for page, uid, url, html, digest, first, first_uid in zip(*(b.column(c).to_pylist() for c in ("page_id", "uid", "url", "html", "digest", "first_id", "first_uid")), strict=True):
                 payload = html.encode()
                 mark = base64.b32encode(bytes.fromhex(digest)).decode()
-                out += page_records(page, uid, url, payload, mark, None if first is None or first == page else first, segment_bytes)
+                refers_to = None if first is None or first == page else record_name(first, first_uid)
+                out += page_records(page, uid, url, payload, mark, refers_to, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    records = rows.select("page_id", "uid", "url", "html", "digest", "first_id").mapInArrow(run, "value binary")
+    records = rows.select("page_id", "uid", "url", "html", "digest", "first_id", "first_uid").mapInArrow(run, "value binary")
     records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 4000).text(path)
 
 

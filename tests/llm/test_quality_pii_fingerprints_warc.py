@@ -299,6 +299,22 @@ def test_op7_odd_rows_small_segments(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_revisits_name_a_record_of_the_archive(spark, tmp_path, repeated):
+    pages = [(i, f"http://e.org/{i}", "same " * 9000 if i % 3 else f"own {i}") for i in range(12)]
+    pages += [(4, "http://e.org/again", "same " * 9000), (None, None, None), (None, "http://e.org/", "same " * 9000)] if repeated else []
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("uid", F.lit(1)).withColumn("digest", F.lit("x")).repartition(3)
+    warc.write_archive(df, str(tmp_path / "w"), segment_bytes=3000)
+    fields = [f for p in (tmp_path / "w").glob("part-*") for f, _ in warc.parse_records(warc.inflate(p.read_bytes()))]
+    names = [f["warc-record-id"] for f in fields]
+    assert len(names) == len(set(names))
+    responses = {f["warc-record-id"] for f in fields if f["warc-type"] == "response"}
+    revisits = [f for f in fields if f["warc-type"] == "revisit"]
+    assert len(revisits) == (9 if repeated else 7) and {f["warc-refers-to"] for f in revisits} <= responses
+    back = warc.read_archive(spark, str(tmp_path / "w")).collect()
+    assert len(back) == len(pages) and all(r.problem is None for r in back) and {r.refers_to for r in back if r.record_type == "revisit"} == {1}
+
+
 def test_segments_are_verified():
     good = [(2, b"bc", None), (1, b"a", None), (3, b"d", 4)]
     assert warc.reassemble(good) == b"abcd" and warc.reassemble(good + good[:1]) == b"abcd"
