@@ -252,7 +252,7 @@ def frequent_tokens(surveyed: DataFrame, s: JoinSettings) -> np.ndarray:
     return np.sort(rows.astype(np.int64).view(np.uint64))
 
 
-def candidates(docs: DataFrame, frequent: np.ndarray, s: JoinSettings, hold: int = 4_000_000) -> DataFrame:
+def candidates(docs: DataFrame, frequent: np.ndarray, s: JoinSettings, hold: int = 2_000_000) -> DataFrame:
     """Rows (kind 1: an edge (a, b) to verify; kind 2: ``a`` is a member of bucket ``b``), with sizes.
 
     Each task first meets its own classes: per bucket it sends one row on, so that a bucket that fills a
