@@ -12,7 +12,7 @@ from .. import streaming
 from ..operators import findings as fnd
 from ..operators import scan, secrets, similarity
 from ..sources import text
-from . import catalog, more
+from . import catalog, more, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,10 @@ for _name, _text in (catalog.SQL | more.SQL).items():
     ORACLE[_name] = catalog.duck(_text)
 
 
+QUERIES |= trees.QUERIES
+ORACLE |= trees.ORACLE
+
+
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f

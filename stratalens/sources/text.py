@@ -84,11 +84,11 @@ def lcov_records(files: DataFrame, content: str = "content") -> DataFrame:
     rows = files.withColumn("_f", F.monotonically_increasing_id()).select("_f", F.posexplode(F.split(content, "\r?\n")).alias("pos", "l"))
     w = Window.partitionBy("_f").orderBy("pos")
     rows = rows.withColumn("rec", F.sum(F.col("l").startswith("SF:").cast("int")).over(w)).where("rec > 0")
-    hits = F.split(F.substring("l", 4, 10_000), ",")
+    hits = F.split(F.substr("l", F.lit(4)), ",")
     da, brda, fnda = F.col("l").startswith("DA:"), F.col("l").startswith("BRDA:"), F.col("l").startswith("FNDA:")
     hit = F.element_at(hits, 2).try_cast("long") > 0
     out = rows.groupBy("_f", "rec").agg(
-        F.max(F.when(F.col("l").startswith("SF:"), F.substring("l", 4, 10_000))).alias("file"),
+        F.max(F.when(F.col("l").startswith("SF:"), F.substr("l", F.lit(4)))).alias("file"),
         F.count_if(da).alias("lines"),
         F.count_if(da & hit).alias("covered"),
         F.count_if(fnda & (F.regexp_extract("l", r"^FNDA:(\d+)", 1).try_cast("long") > 0)).alias("functions_hit"),
@@ -98,6 +98,60 @@ def lcov_records(files: DataFrame, content: str = "content") -> DataFrame:
     return out.drop("_f", "rec").withColumn("percentage", F.when(F.col("lines") > 0, F.round(100.0 * F.col("covered") / F.col("lines"), 2)).otherwise(F.lit(0.0)))
 
 
+def lcov_totals(files: DataFrame, content: str = "content", file: str = "file") -> DataFrame:
+    """file, lines_found, lines_hit, branches_found, branches_hit and line_pct of LCOV texts, from their LF, LH, BRF and BRH records."""
+    rows = files.select(file, F.explode(F.split(content, "\r?\n")).alias("l"))
+    total = lambda k, name: F.coalesce(F.sum(F.regexp_extract("l", rf"^{k}:(\d+)$", 1).try_cast("long")), F.lit(0)).alias(name)
+    out = rows.groupBy(file).agg(total("LF", "lines_found"), total("LH", "lines_hit"), total("BRF", "branches_found"), total("BRH", "branches_hit"))
+    return out.withColumn("line_pct", F.when(F.col("lines_found") > 0, F.round(100.0 * F.col("lines_hit") / F.col("lines_found"), 2)).otherwise(F.lit(0.0)))
+
+
+def cobertura(files: DataFrame, content: str = "content") -> DataFrame:
+    """file, lines, covered, percentage (100 without lines) and uncovered of the classes of Cobertura texts."""
+    classes = files.select(F.explode(F.regexp_extract_all(content, F.lit(r"(?s)<class [^>]*filename=\"[^\"]+\"[^>]*>.*?</class>"), F.lit(0))).alias("c"))
+    hits = F.regexp_extract_all("c", F.lit(r"<line\s+number=\"\d+\"[^>]*hits=\"(\d+)\"[^>]*/>"), F.lit(1))
+    numbers = F.regexp_extract_all("c", F.lit(r"<line\s+number=\"(\d+)\"[^>]*hits=\"\d+\"[^>]*/>"), F.lit(1))
+    both = F.arrays_zip(numbers.alias("number"), hits.alias("hits"))
+    missed = F.transform(F.filter(both, lambda x: x["hits"].cast("long") == 0), lambda x: x["number"])
+    out = classes.select(F.regexp_extract("c", r"filename=\"([^\"]+)\"", 1).alias("file"), F.size(hits).cast("long").alias("lines"), F.size(F.filter(hits, lambda h: h.cast("long") > 0)).cast("long").alias("covered"), F.array_join(missed, ",").alias("uncovered"))
+    return out.withColumn("percentage", F.when(F.col("lines") > 0, F.floor(100.0 * F.col("covered") / F.col("lines") + 0.5)).otherwise(F.lit(100)).cast("long"))
+
+
+def maven_dependencies(files: DataFrame, content: str = "content") -> DataFrame:
+    """name (group:artifact), version (latest, where none is given) of pom.xml texts."""
+    pattern = r"<dependency>\s*<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>\s*(?:<version>([^<]+)</version>)?"
+    d = files.select(F.explode(F.regexp_extract_all(content, F.lit(pattern), F.lit(0))).alias("d"))
+    version = F.regexp_extract("d", pattern, 3)
+    return d.select(F.concat_ws(":", F.regexp_extract("d", pattern, 1), F.regexp_extract("d", pattern, 2)).alias("name"), F.when(version == "", "latest").otherwise(version).alias("version"))
+
+
+def gem_dependencies(files: DataFrame, content: str = "content") -> DataFrame:
+    """name, version of the gems of Gemfile.lock texts (four blanks deep; what they depend on stands deeper)."""
+    pattern = r"(?m)^\s{4}([a-zA-Z0-9_-]+) +\(([^)]+)\)"
+    rows = files.select(F.explode(F.split(content, "\r?\n")).alias("l")).where(F.col("l").rlike(r"^ {4}[a-zA-Z0-9_-]+ +\([^)]+\)"))
+    return rows.select(F.regexp_extract("l", pattern, 1).alias("name"), F.regexp_extract("l", pattern, 2).alias("version"))
+
+
+def go_dependencies(files: DataFrame, content: str = "content", file: str = "file") -> DataFrame:
+    """name, version of go.mod texts: single require lines and those of require blocks."""
+    rows = files.select(file, F.posexplode(F.split(content, "\r?\n")).alias("pos", "l")).withColumn("l", F.trim(F.regexp_replace("l", r"^\s+", "")))
+    w = Window.partitionBy(file).orderBy("pos")
+    opens, closes = F.col("l").startswith("require ("), F.col("l") == ")"
+    inside = F.coalesce(F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(w), F.lit(False))
+    rows = rows.withColumn("inside", inside).where(~opens & ~closes & (F.col("inside") | F.col("l").startswith("require ")))
+    rows = rows.withColumn("l", F.regexp_replace("l", r"^require\s+", "")).where(F.col("l").rlike(r"^\S+\s+\S+") & ~F.col("l").startswith("//"))
+    return rows.select(F.regexp_extract("l", r"^(\S+)\s+v?(\S+)", 1).alias("name"), F.regexp_extract("l", r"^(\S+)\s+v?(\S+)", 2).alias("version"))
+
+
+def build_errors(files: DataFrame, content: str = "content", file: str = "file") -> DataFrame:
+    """file, type, detail, at_file, at_line of the errors in build logs: modules that are missing, and syntax errors with their place."""
+    module = lambda p: files.select(file, F.explode(F.regexp_extract_all(content, F.lit(p), F.lit(1))).alias("detail")).select(file, F.lit("MISSING_MODULE").alias("type"), "detail", F.lit("").alias("at_file"), F.lit(None).cast("long").alias("at_line"))
+    pattern = r"(SyntaxError:[^\n]*)\n\s+at\s+([^\n]+):(\d+):(\d+)"
+    s = files.select(file, F.explode(F.regexp_extract_all(content, F.lit(pattern), F.lit(0))).alias("m"))
+    syntax = s.select(file, F.lit("SYNTAX_ERROR").alias("type"), F.regexp_extract("m", pattern, 1).alias("detail"), F.regexp_extract("m", pattern, 2).alias("at_file"), F.regexp_extract("m", pattern, 3).cast("long").alias("at_line"))
+    return module(r"Module not found:.*Can't resolve '([^']+)'").unionByName(module(r"Error: Cannot find module '([^']+)'")).unionByName(syntax)
+
+
 def dockerfile_instructions(files: DataFrame, content: str = "content", file: str = "file") -> DataFrame:
     """file, line, instruction, arguments; lines that end in a backslash go on in the next one."""
     rows = files.select(file, F.posexplode(F.split(content, "\r?\n")).alias("pos", "l")).where("trim(l) <> '' and not trim(l) like '#%'")
