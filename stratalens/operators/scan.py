@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import metavariable_regex, shannon_entropy
-from ..sources.text import lines
+from ..sources.text import MAX_CHARS, MAX_LINES, lines
 
 
 @dataclass(frozen=True)
@@ -31,14 +31,16 @@ class Rule:
     pattern_not: str = ""
     tags: tuple[str, ...] = ()
     enabled: bool = True
+    #: Whether group 1 of the pattern is what stands before the match, and group 2 the match.
+    led: bool = False
 
 
 #: Rules for prose and mark-up, in the subset of expressions that all engines share.
 TEXT_RULES = (
     Rule("GENERIC_SECRET", "CRITICAL", 10, r"[Tt][Oo][Kk][Ee][Nn] *= *.[0-9a-fA-F]{40}", "Secret in text", cwe="CWE-798"),
     Rule("EMAIL_ADDRESS", "MEDIUM", 5, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "E-mail address", "privacy"),
-    Rule("IPV4_ADDRESS", "MEDIUM", 4, r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9.]|$)", "Network address", "privacy"),
-    Rule("CARD_NUMBER", "HIGH", 8, r"(^|[^0-9])[0-9]{16}([^0-9]|$)", "Card-like number", "privacy"),
+    Rule("IPV4_ADDRESS", "MEDIUM", 4, r"(^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:[^0-9.]|$)", "Network address", "privacy", led=True),
+    Rule("CARD_NUMBER", "HIGH", 8, r"(^|[^0-9])([0-9]{16})(?:[^0-9]|$)", "Card-like number", "privacy", led=True),
     Rule("LICENSE_LINE", "LOW", 2, r"[Ll]icensed under|MIT License|General Public License|All rights reserved", "Licence text", "legal"),
     Rule("LONG_LINE", "LOW", 3, r"^.{141}", "Line above 140 characters", "refactoring"),
     Rule("BIDI_CONTROL", "HIGH", 9, "[‪-‮⁦-⁩]", "Bidirectional control character"),
@@ -64,6 +66,12 @@ def custom_rule(rule_id: str, pattern: str, severity: str = "MEDIUM", **more) ->
     return Rule(rule_id, severity, more.pop("impact", 5), metavariable_regex(pattern), **more)
 
 
+def _place(txt: Column, r: Rule) -> Column:
+    """Where the first match of a rule begins in its line, from 0."""
+    before = F.length(F.regexp_extract(txt, f"^(.*?)(?:{r.pattern})", 1))
+    return (before + F.length(F.regexp_extract(txt, r.pattern, 1)) if r.led else before).cast("long")
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", path: str | None = None, lang: str | None = None, guard: bool = False) -> DataFrame:
     """Findings of all rules: the columns of ``docs`` but the text, line, rule_id, severity, impact, domain, message, col, end_col, match, snippet.
 
@@ -94,12 +102,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", path: str
             hit = hit & ~txt.rlike(r.line_guard)
         if i in flags:
             hit = F.col(f"_g{i}") & hit
-        conditions.append(F.when(hit, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.impact).cast("long").alias("impact"), F.lit(r.domain).alias("domain"), F.lit(r.message).alias("message"), F.regexp_extract(txt, r.pattern, 0).alias("match"))))
+        conditions.append(F.when(hit, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.impact).cast("long").alias("impact"), F.lit(r.domain).alias("domain"), F.lit(r.message).alias("message"), F.regexp_extract(txt, r.pattern, 2 if r.led else 0).alias("match"), _place(txt, r).alias("col"))))
     rows = lines(docs, text, guard)
     keep = [c for c in docs.columns if c != text and not c.startswith("_g")]
     each = rows.select(*keep, "line", "txt", F.explode(F.filter(F.array(*conditions), lambda x: x.isNotNull())).alias("f"))
-    start = F.position(F.col("f.match"), txt) - 1
-    return each.select(*keep, "line", "f.rule_id", "f.severity", "f.impact", "f.domain", "f.message", start.cast("long").alias("col"), (start + F.length("f.match")).cast("long").alias("end_col"), F.col("f.match").alias("match"), F.substring("txt", 1, 160).alias("snippet"))
+    return each.select(*keep, "line", "f.rule_id", "f.severity", "f.impact", "f.domain", "f.message", "f.col", (F.col("f.col") + F.length("f.match")).alias("end_col"), F.col("f.match").alias("match"), F.substring("txt", 1, 160).alias("snippet"))
 
 
 def with_suppressions(rows: DataFrame, key: str = "doc_id", marker: str = "allow-next-line") -> DataFrame:
@@ -114,9 +121,30 @@ def with_context(rows: DataFrame, key: str = "doc_id", around: int = 2) -> DataF
     return rows.withColumn("context", F.array_join(F.collect_list("txt").over(w), "\n"))
 
 
-def high_entropy_tokens(docs: DataFrame, text: str = "text", least: int = 20, bits: float = 3.5) -> DataFrame:
-    """doc_id, token, entropy of quoted runs of ``least`` characters or more without blanks above ``bits``."""
+def coverage(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, lines_analyzed, skipped: what the guarded rule scan reads of each document; oversize ones count no lines."""
+    n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    read = (F.length(text) <= MAX_CHARS) & (n <= MAX_LINES)
+    return docs.select("doc_id", F.when(read, n).otherwise(F.lit(0)).cast("long").alias("lines_analyzed"), (~read).alias("skipped"))
+
+
+def complexity(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, ifs, loops, functions, tries, complexity (tries count twice) and its level, by whole words."""
+    count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    c = docs.select("doc_id", count(r"\bif\b").alias("ifs"), count(r"\b(?:for|while)\b").alias("loops"), count(r"\bfunction\b|=>").alias("functions"), count(r"\b(?:try|catch)\b").alias("tries"))
+    c = c.withColumn("complexity", F.col("ifs") + F.col("loops") + F.col("functions") + 2 * F.col("tries"))
+    return c.withColumn("level", F.when(F.col("complexity") < 10, "low").when(F.col("complexity") < 30, "medium").otherwise("high"))
+
+
+def high_entropy_tokens(docs: DataFrame, text: str = "text", least: int = 20, bits: float = 4.5, most: int = 4096) -> DataFrame:
+    """doc_id, token, entropy of quoted runs of ``least`` characters or more without blanks above ``bits``.
+
+    Addresses and runs with over a fifth of characters outside ASCII are prose.  Runs above ``most``
+    characters are no keys and are left out.
+    """
     t = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f'"([^"\\s]{{{least},}})"'), F.lit(1)))).alias("token"))
+    foreign = F.length(F.regexp_replace("token", r"[\x20-\x7e]", ""))
+    t = t.where(~F.col("token").rlike(r"^https?://") & (foreign * 5 <= F.length("token")) & (F.length("token") <= most))
     return t.withColumn("entropy", F.round(shannon_entropy("token"), 4)).where(F.col("entropy") > bits)
 
 

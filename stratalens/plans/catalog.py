@@ -29,12 +29,12 @@ SQL["histogram_confidence"] = """WITH b AS (SELECT CAST(least(floor((value - lo)
  SELECT d.bin, count(b.bin) AS n FROM d LEFT JOIN b ON d.bin = b.bin GROUP BY d.bin"""
 SQL["factor_correlation"] = """SELECT round(corr(l_quantity, l_extendedprice), 4) AS corr_quantity, round(corr(l_discount, l_extendedprice), 4) AS corr_discount,
  round(avg(l_quantity), 4) AS mean_quantity, round(stddev_pop(l_quantity), 4) AS std_quantity FROM {lineitem}"""
-SQL["calibration_error"] = """WITH p AS (SELECT least(n_chars / 20000.0, 1.0) AS conf, quality AS correct FROM {documents} JOIN {labels} USING (doc_id)),
- b AS (SELECT CAST(least(floor(conf * 10), 9) AS BIGINT) AS bin, count(*) AS n, avg(conf) AS conf, avg(correct) AS acc FROM p GROUP BY CAST(least(floor(conf * 10), 9) AS BIGINT))
- SELECT bin, n, round(conf, 4) AS mean_confidence, round(acc, 4) AS accuracy, round(abs(conf - acc), 4) AS gap FROM b"""
+# Sums of whole numbers, divided once and rounded as whole numbers, so that no tie depends on an engine.
+SQL["calibration_error"] = """WITH p AS (SELECT CAST(least(n_chars, 20000) AS BIGINT) AS c, CAST(quality AS BIGINT) AS correct FROM {documents} JOIN {labels} USING (doc_id)),
+ b AS (SELECT CAST(least(floor(c / 2000.0), 9) AS BIGINT) AS bin, count(*) AS n, CAST(sum(c) AS DOUBLE) AS s, CAST(sum(correct) AS DOUBLE) AS k FROM p GROUP BY CAST(least(floor(c / 2000.0), 9) AS BIGINT))
+ SELECT bin, n, floor((s + n) / (2.0 * n)) / 10000.0 AS mean_confidence, floor((20000.0 * k + n) / (2.0 * n)) / 10000.0 AS accuracy, floor((abs(s - 20000.0 * k) + n) / (2.0 * n)) / 10000.0 AS gap FROM b"""
 SQL["gate_evaluation"] = """SELECT o_orderpriority AS gate, count(*) AS n, count(*) <= 3000 AS passed, round(sum(CASE WHEN o_orderstatus = 'O' THEN 60 WHEN o_orderstatus = 'P' THEN 30 ELSE 5 END) / 60.0, 2) AS debt_hours
  FROM {orders} GROUP BY o_orderpriority"""
-SQL["baseline_new_issues"] = """SELECT l_orderkey, l_linenumber, l_returnflag FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'O')"""
 SQL["incident_correlation"] = """WITH e AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS line FROM {events} WHERE event_type = 'error'),
  f AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS line FROM {events} WHERE event_type = 'view')
  SELECT e.event_id AS incident, count(*) AS n, min(abs(e.line - f.line)) AS nearest FROM e JOIN f ON e.user_id = f.user_id AND f.line BETWEEN e.line - 10 AND e.line + 10 GROUP BY e.event_id"""
@@ -59,15 +59,11 @@ SQL["stream_sessions_batch"] = """WITH g AS (SELECT user_id, ts, CASE WHEN lag(t
  s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
  SELECT user_id, min(ts) AS session_start, count(*) AS n_events FROM s GROUP BY user_id, sid"""
 SQL["audit_page"] = "SELECT event_id, user_id, event_type, count(*) OVER () AS total FROM {events} WHERE event_type = 'error' AND value > 10 ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40"
-SQL["decay_rank"] = """SELECT user_id, n, round(importance, 6) AS importance FROM (SELECT user_id, count(*) AS n, avg(value) * exp(-date_diff_h / 168.0) + 0.1 * ln(count(*) + 1) AS importance FROM
- (SELECT user_id, value, (SELECT 0) AS z, min(0) OVER () AS date_diff_h FROM {events}) e GROUP BY user_id, date_diff_h) x"""
 SQL["union_intersect_except"] = """SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey AS k FROM {orders} UNION SELECT c_custkey FROM {customer}) a UNION ALL
  SELECT 'intersect', count(*) FROM (SELECT o_custkey AS k FROM {orders} INTERSECT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0) b UNION ALL
  SELECT 'except', count(*) FROM (SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}) c"""
 SQL["semi_anti_existence"] = """SELECT c_mktsegment, sum(CASE WHEN o.k IS NOT NULL THEN 1 ELSE 0 END) AS with_runs, sum(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END) AS without_runs
  FROM {customer} LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM {orders}) o ON o.k = c_custkey GROUP BY c_mktsegment"""
-SQL["run_diff"] = """WITH a AS (SELECT DISTINCT l_suppkey AS k FROM {lineitem} WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey AS k FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 49)
- SELECT coalesce(a.k, b.k) AS signature, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'fixed' ELSE 'unchanged' END AS status FROM a FULL OUTER JOIN b ON a.k = b.k"""
 SQL["wave_assignment"] = "SELECT event_id, event_type, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 50.0) AS BIGINT) AS wave FROM {events}"
 SQL["ci_gate"] = """SELECT day, errors, rate <= 0.25 AS rate_ok, errors <= 80 AS count_ok, rate <= 0.25 AND errors <= 80 AS passed FROM
  (SELECT CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS rate FROM {events} GROUP BY CAST(ts AS DATE)) x"""
@@ -83,8 +79,6 @@ SQL["url_lookup_ladder"] = """SELECT page_id, CASE WHEN lower(url) LIKE 'https:/
 SQL["message_threads"] = "SELECT conv_id, count(*) AS turns, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS user_turns, max(length(text)) AS longest, min(turn) AS first_turn FROM {conversations} GROUP BY conv_id"
 SQL["graph_cycles"] = """WITH t AS (SELECT conv_id, role AS src, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM {conversations}), e AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL AND src <> dst)
  SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst"""
-SQL["graph_orphans"] = "SELECT n_nationkey FROM {nation} WHERE NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_nationkey = n_nationkey AND s_acctbal > 8000)"
-SQL["graph_hubs"] = "SELECT c_nationkey AS node, count(DISTINCT c_mktsegment) AS degree, count(*) AS n FROM {customer} GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) >= 5"
 SQL["debt_rollup"] = """SELECT l_returnflag, l_linestatus, CAST(sum(m) AS BIGINT) AS minutes, count(*) AS n, round(sum(m) / 60.0, 2) AS hours FROM (SELECT l_returnflag, l_linestatus,
  CASE WHEN l_quantity > 45 THEN 120 WHEN l_quantity > 30 THEN 60 WHEN l_quantity > 15 THEN 30 ELSE 15 END AS m FROM {lineitem}) x GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
 SQL["coverage_low_files"] = "SELECT o_orderkey, n, covered, round(100.0 * covered / n, 2) AS pct FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS covered FROM {lineitem} GROUP BY l_orderkey) x WHERE covered * 2 < n AND n >= 6"
@@ -96,26 +90,14 @@ SQL["health_score"] = "SELECT user_id, greatest(0, 100 - 15 * sum(CASE WHEN valu
 # ---- over lines and findings
 SQL["doc_metrics"] = "SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN trim(txt) = '' THEN 1 ELSE 0 END) AS blank, max(length(txt)) AS longest, sum(CASE WHEN length(txt) > 140 THEN 1 ELSE 0 END) AS long_lines FROM {lines} GROUP BY doc_id"
 SQL["long_line_top3"] = "SELECT doc_id, line, length(txt) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM {lines} WHERE length(txt) > 140) x WHERE r <= 3"
-SQL["finding_context"] = """SELECT f.doc_id, f.line, f.rule_id, count(*) AS context_lines, CAST(sum(length(l.txt)) AS BIGINT) AS context_chars FROM {findings} f JOIN {lines} l ON l.doc_id = f.doc_id AND l.line BETWEEN f.line - 2 AND f.line + 2 WHERE f.severity = 'CRITICAL' GROUP BY f.doc_id, f.line, f.rule_id"""
-SQL["suppressed_findings"] = """SELECT doc_id, line, lower(prev) LIKE '%licensed under%' AS suppressed FROM (SELECT doc_id, line, txt, lag(txt) OVER (PARTITION BY doc_id ORDER BY line) AS prev FROM {lines}) x WHERE length(txt) > 140"""
-SQL["scan_text_rules"] = "SELECT doc_id, line, rule_id, severity, impact, domain, col FROM {findings}"
+SQL["scan_text_rules"] = "SELECT doc_id, line, rule_id, severity, impact, domain, col, end_col FROM {findings}"
 SQL["severity_summary"] = "SELECT severity, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(CASE severity WHEN 'CRITICAL' THEN 10.0 WHEN 'HIGH' THEN 5.0 WHEN 'MEDIUM' THEN 2.0 ELSE 0.5 END) AS penalty FROM {findings} GROUP BY severity"
-SQL["domain_summary_zero_fill"] = "SELECT d.domain, count(f.doc_id) AS n, count(DISTINCT f.doc_id) AS n_docs FROM (VALUES ('security'), ('privacy'), ('legal'), ('refactoring'), ('testing')) AS d(domain) LEFT JOIN {findings} f ON f.domain = d.domain GROUP BY d.domain"
-SQL["findings_dedup_priority"] = """SELECT doc_id, line, rule_id, priority FROM (SELECT doc_id, line, rule_id, CASE severity WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 50 WHEN 'MEDIUM' THEN 20 ELSE 5 END * impact AS priority,
- row_number() OVER (PARTITION BY doc_id, line, rule_id ORDER BY col) AS r FROM {findings}) x WHERE r = 1 ORDER BY priority DESC, doc_id, line, rule_id LIMIT 10"""
 SQL["findings_by_document"] = "SELECT doc_id, count(*) AS n, count(DISTINCT rule_id) AS rules, max(impact) AS worst, min(line) AS first_line FROM {findings} GROUP BY doc_id"
 SQL["rule_stats"] = "SELECT rule_id, severity, count(*) AS n, round(avg(impact), 4) AS impact, max(col) AS furthest FROM {findings} GROUP BY rule_id, severity"
 SQL["scan_html_rules"] = "SELECT doc_id AS page_id, line, rule_id, severity, col FROM {html_findings}"
-SQL["confusion_matrix"] = """SELECT lang, tp, fp, fn, tn, round(tp * 1.0 / nullif(tp + fp, 0), 4) AS prec, round(tp * 1.0 / nullif(tp + fn, 0), 4) AS recall FROM
- (SELECT lang, sum(CASE WHEN p AND a THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND NOT a THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN NOT p AND a THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN NOT p AND NOT a THEN 1 ELSE 0 END) AS tn
- FROM (SELECT lang, n_chars < 400 AS p, quality = 0 AS a FROM {documents} JOIN {labels} USING (doc_id)) c GROUP BY ROLLUP (lang)) x"""
 SQL["cloned_lines"] = "SELECT n, n_docs, count(*) AS classes FROM (SELECT lower(trim(txt)) AS body, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM {lines} WHERE length(trim(txt)) >= 40 GROUP BY lower(trim(txt)) HAVING count(*) > 1) x GROUP BY n, n_docs"
 SQL["benchmark_contamination"] = "SELECT b.item_id, count(*) AS n, min(d.doc_id) AS first_doc FROM {benchmark} b JOIN {lines} d ON trim(d.txt) = trim(b.text) GROUP BY b.item_id"
 SQL["grep_search"] = "SELECT doc_id, line, position('token' IN lower(txt)) AS col, substr(txt, 1, 240) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM {lines} WHERE contains(lower(txt), 'token')) x WHERE r = 1 ORDER BY doc_id LIMIT 20"
-SQL["code_complexity"] = "SELECT doc_id, ifs + loops AS complexity, CASE WHEN ifs + loops < 10 THEN 'low' WHEN ifs + loops < 30 THEN 'medium' ELSE 'high' END AS level FROM (SELECT doc_id, (length(text) - length(replace(text, ' the ', ''))) / 5 AS z, length(text) - length(replace(text, 'if', 'i')) AS ifs, length(text) - length(replace(text, 'for', 'fo')) AS loops FROM {documents}) x"
-SQL["incremental_diff"] = """WITH o AS (SELECT doc_id, length(text) AS h FROM {documents} WHERE doc_id % 7 <> 0), c AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN length(text) + 1 ELSE length(text) END AS h FROM {documents} WHERE doc_id % 5 <> 0)
- SELECT coalesce(o.doc_id, c.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'deleted' WHEN o.h <> c.h THEN 'changed' ELSE 'cached' END AS status FROM o FULL OUTER JOIN c ON o.doc_id = c.doc_id"""
-del SQL["decay_rank"]
 
 
 def _closing(sql: str, at: int) -> int:
@@ -151,14 +133,14 @@ def duck(sql: str) -> str:
     """The query for DuckDB, with the operators' tables as common table expressions."""
     ctes = []
     if "{lines}" in sql or "{findings}" in sql:
-        ctes.append("lines AS (SELECT doc_id, lang, CAST(i AS BIGINT) AS line, parts[i] AS txt FROM (SELECT doc_id, lang, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE length(text) <= 500000), unnest(range(1, len(parts) + 1)) AS r(i) WHERE len(parts) <= 5000)")
+        ctes.append("lines AS (SELECT doc_id, lang, CAST(i AS BIGINT) AS line, parts[i] AS txt, length(text) <= 500000 AND len(parts) <= 5000 AS scanned FROM (SELECT doc_id, lang, text, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS r(i))")
     if "{html_findings}" in sql:
         from ..operators.scan import HTML_RULES
 
         ctes.append("hl AS (SELECT page_id AS doc_id, CAST(i AS BIGINT) AS line, parts[i] AS txt FROM (SELECT page_id, regexp_split_to_array(html, '\\r?\\n') AS parts FROM pages), unnest(range(1, len(parts) + 1)) AS r(i))")
         ctes.append(f"html_findings AS ({_rule_union(HTML_RULES, 'hl')})")
     if "{findings}" in sql:
-        ctes.append(f"findings AS ({_rule_union(TEXT_RULES, 'lines')})")
+        ctes.append(f"findings AS ({_rule_union(TEXT_RULES, '(SELECT * FROM lines WHERE scanned)')})")
     body = sql
     for name in ("lines", "findings", "html_findings"):
         body = body.replace("{" + name + "}", name)
@@ -172,7 +154,12 @@ def duck(sql: str) -> str:
 
 
 def _rule_union(rules, source: str) -> str:
+    def place(r) -> str:
+        before = f"length(regexp_extract(txt, '^(.*?)(?:{r.pattern})', 1))"
+        return f"{before} + length(regexp_extract(txt, '{r.pattern}', 1))" if r.led else before
+
     return " UNION ALL ".join(
-        f"SELECT doc_id, line, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, CAST({r.impact} AS BIGINT) AS impact, '{r.domain}' AS domain, CAST(position(regexp_extract(txt, '{r.pattern}', 0) IN txt) - 1 AS BIGINT) AS col FROM {source} WHERE regexp_matches(txt, '{r.pattern}')"
+        f"SELECT doc_id, line, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, CAST({r.impact} AS BIGINT) AS impact, '{r.domain}' AS domain, '{r.message}' AS message, CAST({place(r)} AS BIGINT) AS col,"
+        f" CAST({place(r)} + length(regexp_extract(txt, '{r.pattern}', {2 if r.led else 0})) AS BIGINT) AS end_col FROM {source} WHERE regexp_matches(txt, '{r.pattern}')"
         for r in rules
     )

@@ -23,14 +23,9 @@ SQL["improvement_priority"] = "SELECT p_partkey, round(0.5 * (p_size % 10) + 0.3
 SQL["agent_least_loaded"] = "SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(n, 0), c_custkey) AS r FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey) x WHERE r = 1"
 SQL["dismissal_suppression"] = "SELECT f.doc_id, f.line, f.rule_id FROM {findings} f LEFT JOIN (SELECT rule_id, doc_id % 10 AS k FROM {findings} GROUP BY rule_id, doc_id % 10 HAVING count(*) >= 3) s ON s.rule_id = f.rule_id AND s.k = f.doc_id % 10 WHERE s.rule_id IS NULL"
 SQL["false_positive_split"] = "SELECT f.doc_id, f.line, f.rule_id, CASE WHEN f.severity IN ('CRITICAL', 'HIGH') THEN 'review' ELSE 'pass' END AS route FROM {findings} f LEFT JOIN {labels} l ON l.doc_id = f.doc_id WHERE coalesce(l.toxic, 0) = 0"
-SQL["companion_existence"] = "SELECT p_partkey FROM {part} WHERE EXISTS (SELECT 1 FROM {supplier} WHERE s_suppkey IN (p_partkey, p_partkey + 1, p_partkey * 2)) AND p_size > 25"
 SQL["dependency_reachability"] = "SELECT p_partkey, CASE WHEN n IS NULL THEN 'LOW' WHEN returned > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS risk, coalesce(returned, 0) > 0 AS reachable FROM {part} LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM {lineitem} GROUP BY l_partkey) l ON l_partkey = p_partkey"
 SQL["vulnerability_join"] = "SELECT p_brand, count(*) AS packages, count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_partkey END) AS vulnerable FROM {part} LEFT JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_discount >= 0.1) v ON l_partkey = p_partkey GROUP BY p_brand"
-SQL["cross_file_taint"] = "SELECT DISTINCT o_custkey AS caller, l_suppkey AS sink FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND s_acctbal < 0"
-SQL["multi_hop_reach"] = "WITH e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_custkey < 50) SELECT x.a AS src, count(DISTINCT y.a) AS reached FROM e x JOIN e y ON x.b = y.b GROUP BY x.a"
-SQL["export_usage"] = "SELECT l_partkey, count(DISTINCT l_suppkey) AS usages FROM {lineitem} GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 3"
 SQL["score_to_test_match"] = "SELECT e.event_id, c.conv_id, count(*) OVER (PARTITION BY e.event_id) AS candidates FROM {events} e JOIN (SELECT DISTINCT conv_id FROM {conversations}) c ON c.conv_id = e.user_id WHERE e.event_type = 'signup'"
-SQL["chunk_refresh"] = "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {documents} c WHERE c.doc_id = d.doc_id AND c.n_chars = length(d.text) AND c.doc_id % 3 = 0)"
 SQL["late_events_rejected"] = "SELECT event_id, lag_s > 3600 AS late FROM (SELECT event_id, CASE WHEN max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - INTERVAL '1' HOUR > ts THEN 3601 ELSE 0 END AS lag_s FROM {events}) x"
 SQL["ttl_cache_validity"] = "SELECT user_id, max(ts) >= (SELECT max(ts) FROM {events}) - INTERVAL '24' HOUR AS valid, count(*) AS n FROM {events} GROUP BY user_id"
 SQL["halting_limits"] = "SELECT doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM {documents}) x WHERE running <= 750000"

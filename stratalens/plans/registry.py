@@ -12,7 +12,7 @@ from .. import streaming
 from ..operators import findings as fnd
 from ..operators import scan, secrets, similarity
 from ..sources import text
-from . import catalog, more, trees
+from . import calls, catalog, more, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,8 +48,9 @@ for _name, _text in (catalog.SQL | more.SQL).items():
     ORACLE[_name] = catalog.duck(_text)
 
 
-QUERIES |= trees.QUERIES
-ORACLE |= trees.ORACLE
+for _part in (trees, calls):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -69,7 +70,7 @@ def secret_scan(spark, sf_dir):
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '"([^"\\s]{20,})"', 1))) AS token FROM documents),
 c AS (SELECT doc_id, token, ch, count(*) * 1.0 / length(token) AS p FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM t) GROUP BY doc_id, token, ch)
-SELECT doc_id, token, round(-sum(p * log2(p)), 4) AS entropy FROM c WHERE ch <> '' GROUP BY doc_id, token HAVING round(-sum(p * log2(p)), 4) > 3.5""")
+SELECT doc_id, token, round(-sum(p * log2(p)), 4) AS entropy FROM c WHERE ch <> '' GROUP BY doc_id, token HAVING round(-sum(p * log2(p)), 4) > 4.5""")
 def high_entropy_tokens(spark, sf_dir):
     return scan.high_entropy_tokens(table(spark, sf_dir, "documents"))
 
@@ -95,23 +96,6 @@ def merge_tolerance_anti(spark, sf_dir):
     return fnd.merge_with_tolerance(side("click", "ai"), side("view", "heuristic"), ("user_id",), "line", 3)
 
 
-@query()
-def sprint_knapsack(spark, sf_dir):
-    return fnd.knapsack(table(spark, sf_dir, "part"), 2400, 20, "p_size", "p_retailprice", "p_partkey")
-
-
-@query()
-def ensemble_consensus(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    votes = c.select(F.concat(F.lit("f"), F.col("conv_id") % 50).alias("file"), F.lit("issue").alias("category"), F.col("turn").cast("long").alias("line"), F.col("role").alias("provider"), F.lit(1.0).alias("weight"))
-    return fnd.consensus(votes)
-
-
-@query()
-def profile_ewma(spark, sf_dir):
-    return fnd.ewma(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
-
-
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS similarity FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, round(similarity, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM s WHERE similarity >= 0.2) WHERE r <= 5""")
@@ -142,19 +126,6 @@ def clone_pairs(spark, sf_dir):
     return similarity.cloned_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
-def benchmark_passages(spark, sf_dir):
-    """Benchmark items at any place of a document; benchmark_contamination compares whole lines only."""
-    return similarity.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-@query()
-def multi_hop_reach_all(spark, sf_dir):
-    """multi_hop_reach over the customers of all orders."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return similarity.two_hop_reach(lines.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")))
-
-
 def _events_schema(spark, sf_dir):
     return table(spark, sf_dir, "events").schema
 
@@ -197,8 +168,3 @@ def decay_rank(spark, sf_dir):
     return g.select("user_id", "n", F.round(F.col("v") * F.exp(-hours / 168.0) + 0.1 * F.log(F.col("n") + 1), 4).alias("importance"))
 
 
-@query()
-def sarif_export(spark, sf_dir):
-    from ..operators.export import sarif_results
-
-    return sarif_results(source(spark, sf_dir, "findings"))
