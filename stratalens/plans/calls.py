@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
 from ..operators import export, scan, similarity
+from ..operators.ordered import running
 from ..operators import findings as fnd
 from ..sources import samples, text
 from . import catalog
@@ -234,3 +235,42 @@ def sarif_artifacts(spark, sf_dir):
 @query("""SELECT doc_id, line, rule_id, '{"ruleId":"' || rule_id || '","level":"' || %s || '","message":{"text":"' || message || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"doc/' || doc_id || '"},"region":{"startLine":' || line || ',"startColumn":' || (col + 1) || ',"endColumn":' || (end_col + 1) || '}}}]}' AS result FROM {findings}""" % _LEVEL)
 def sarif_export(spark, sf_dir):
     return export.sarif_results(found(spark, sf_dir))
+
+
+@query("""SELECT event_id, event_type, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS total,
+ count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM {events}""")
+def provider_cost_running(spark, sf_dir):
+    r = running(table(spark, sf_dir, "events"), ["ts", "event_id"], F.to_date("ts"), ("event_type",), total=("sum", "value"), n=("count", "*"))
+    return r.select("event_id", "event_type", F.round("total", 2).alias("total"), "n")
+
+
+@query("SELECT event_id, event_type, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 50.0) AS BIGINT) AS wave FROM {events}")
+def wave_assignment(spark, sf_dir):
+    r = running(table(spark, sf_dir, "events"), ["event_id"], F.floor(F.col("event_id") / 4096), ("event_type",), n=("count", "*"))
+    return r.select("event_id", "event_type", F.floor((F.col("n") - 1) / 50).cast("long").alias("wave"))
+
+
+@query("SELECT batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 10.0) AS BIGINT) AS batch FROM {events}) x GROUP BY batch")
+def count_flush_batches(spark, sf_dir):
+    r = running(table(spark, sf_dir, "events"), ["event_id"], F.floor(F.col("event_id") / 4096), n=("count", "*"))
+    return r.groupBy(F.floor((F.col("n") - 1) / 10).cast("long").alias("batch")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT event_id, lag_s > 3600 AS late FROM (SELECT event_id, CASE WHEN max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - INTERVAL '1' HOUR > ts THEN 3601 ELSE 0 END AS lag_s FROM {events}) x")
+def late_events_rejected(spark, sf_dir):
+    r = running(table(spark, sf_dir, "events"), ["event_id"], F.floor(F.col("event_id") / 4096), latest=("max", "ts"))
+    return r.select("event_id", (F.col("latest") - F.expr("INTERVAL '1' HOUR") > F.col("ts")).alias("late"))
+
+
+@query("SELECT doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM {documents}) x WHERE running <= 750000")
+def halting_limits(spark, sf_dir):
+    r = running(table(spark, sf_dir, "documents"), ["doc_id"], F.floor(F.col("doc_id") / 1024), total=("sum", "n_chars"))
+    return r.where("total <= 750000").select("doc_id", F.col("total").cast("long").alias("running"))
+
+
+@query("SELECT s.role AS subscriber, count(*) AS delivered FROM {conversations} m JOIN (SELECT DISTINCT role FROM {conversations}) s ON s.role <> m.role GROUP BY s.role")
+def pub_sub_fan_out(spark, sf_dir):
+    """Each message goes to every subscriber but its own role: counted per role before subscribers are joined, a row each."""
+    sent = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"))
+    pairs = sent.select(F.col("role").alias("subscriber")).join(sent, F.col("subscriber") != F.col("role"))
+    return pairs.groupBy("subscriber").agg(F.sum("n").alias("delivered"))

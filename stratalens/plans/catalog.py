@@ -53,8 +53,6 @@ SQL["beta_posterior"] = """SELECT lang, a + 2 AS alpha, b + 2 AS beta, round((a
 SQL["incident_rule_candidates"] = """SELECT user_id, count(*) AS n, round(least(0.5 + 0.1 * (count(*) - 3), 0.95), 4) AS confidence FROM {events}
  WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM {events}) - INTERVAL '7' DAY GROUP BY user_id HAVING count(*) >= 3"""
 SQL["stream_error_rate_1h"] = """SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM {events} GROUP BY date_trunc('hour', ts)"""
-SQL["provider_cost_running"] = """SELECT event_id, event_type, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS total,
- count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM {events}"""
 SQL["stream_sessions_batch"] = """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS opens, event_id FROM {events}),
  s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
  SELECT user_id, min(ts) AS session_start, count(*) AS n_events FROM s GROUP BY user_id, sid"""
@@ -64,7 +62,6 @@ SQL["union_intersect_except"] = """SELECT 'union' AS op, count(*) AS n FROM (SEL
  SELECT 'except', count(*) FROM (SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}) c"""
 SQL["semi_anti_existence"] = """SELECT c_mktsegment, sum(CASE WHEN o.k IS NOT NULL THEN 1 ELSE 0 END) AS with_runs, sum(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END) AS without_runs
  FROM {customer} LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM {orders}) o ON o.k = c_custkey GROUP BY c_mktsegment"""
-SQL["wave_assignment"] = "SELECT event_id, event_type, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 50.0) AS BIGINT) AS wave FROM {events}"
 SQL["ci_gate"] = """SELECT day, errors, rate <= 0.25 AS rate_ok, errors <= 80 AS count_ok, rate <= 0.25 AND errors <= 80 AS passed FROM
  (SELECT CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS rate FROM {events} GROUP BY CAST(ts AS DATE)) x"""
 SQL["provider_selection"] = """SELECT s_nationkey, s_suppkey, round(score, 4) AS score FROM (SELECT s_nationkey, s_suppkey, s_acctbal / (s_suppkey + 0.01) AS score,

@@ -26,12 +26,8 @@ SQL["false_positive_split"] = "SELECT f.doc_id, f.line, f.rule_id, CASE WHEN f.s
 SQL["dependency_reachability"] = "SELECT p_partkey, CASE WHEN n IS NULL THEN 'LOW' WHEN returned > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS risk, coalesce(returned, 0) > 0 AS reachable FROM {part} LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM {lineitem} GROUP BY l_partkey) l ON l_partkey = p_partkey"
 SQL["vulnerability_join"] = "SELECT p_brand, count(*) AS packages, count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_partkey END) AS vulnerable FROM {part} LEFT JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_discount >= 0.1) v ON l_partkey = p_partkey GROUP BY p_brand"
 SQL["score_to_test_match"] = "SELECT e.event_id, c.conv_id, count(*) OVER (PARTITION BY e.event_id) AS candidates FROM {events} e JOIN (SELECT DISTINCT conv_id FROM {conversations}) c ON c.conv_id = e.user_id WHERE e.event_type = 'signup'"
-SQL["late_events_rejected"] = "SELECT event_id, lag_s > 3600 AS late FROM (SELECT event_id, CASE WHEN max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - INTERVAL '1' HOUR > ts THEN 3601 ELSE 0 END AS lag_s FROM {events}) x"
 SQL["ttl_cache_validity"] = "SELECT user_id, max(ts) >= (SELECT max(ts) FROM {events}) - INTERVAL '24' HOUR AS valid, count(*) AS n FROM {events} GROUP BY user_id"
-SQL["halting_limits"] = "SELECT doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM {documents}) x WHERE running <= 750000"
-SQL["pub_sub_fan_out"] = "SELECT s.role AS subscriber, count(*) AS delivered FROM {conversations} m JOIN (SELECT DISTINCT role FROM {conversations}) s ON s.role <> m.role GROUP BY s.role"
 SQL["unresolved_critical"] = "SELECT user_id, count(*) AS n FROM {events} e WHERE event_type = 'error' AND value > 80 AND NOT EXISTS (SELECT 1 FROM {events} r WHERE r.user_id = e.user_id AND r.event_type = 'purchase' AND r.ts > e.ts) GROUP BY user_id"
-SQL["count_flush_batches"] = "SELECT batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 10.0) AS BIGINT) AS batch FROM {events}) x GROUP BY batch"
 SQL["progress_eta"] = "SELECT event_type, done, total, round(100.0 * done / total, 2) AS pct FROM (SELECT event_type, sum(CASE WHEN value < 70 THEN 1 ELSE 0 END) AS done, count(*) AS total FROM {events} GROUP BY event_type) x"
 SQL["path_functions"] = "SELECT page_id, split_part(url, '/', 3) AS host, CASE WHEN url LIKE '%.html' THEN '.html' ELSE '' END AS ext, lower(split_part(url, ':', 1)) AS scheme FROM {pages}"
 SQL["fix_risk_lattice"] = "SELECT doc_id, CASE WHEN contains(lower(text), 'token') THEN 'HIGH' WHEN n_chars > 5000 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {documents}"

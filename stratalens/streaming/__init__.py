@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,27 @@ def flush_batches(stream: DataFrame, path: str, trigger: str = "30 seconds"):
 
 
 def drained(spark: SparkSession, folder: str, schema: str, build, mode: str = "complete", **options) -> DataFrame:
-    """The result of ``build(stream)`` after all files of ``folder`` have passed, as a table in memory."""
-    name = f"t{abs(hash((folder, id(build)))):x}"
-    q = build(spark.readStream.schema(schema).options(**options).parquet(folder)).writeStream.format("memory").queryName(name).outputMode(mode)
-    q.option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The result of ``build(stream)`` after all files of ``folder`` have passed, as a Parquet table.
+
+    Micro-batches are written from the executors, each under its number so that a repeated one replaces
+    itself; in complete mode the last one is the result.  Table and checkpoint lie in the folder that
+    ``spark.checkpoint.dir`` names; only on a local master without it, in a temporary one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='stratalens-')}"
+    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        done.append(number)
+
+    stream = build(spark.readStream.schema(schema).options(**options).parquet(folder))
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    parts = done[-1:] if mode == "complete" else done
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/rows/batch={n}" for n in dict.fromkeys(parts)])
