@@ -22,7 +22,7 @@ FILES: tuple[tuple[str, str], ...] = (
     ("notes/plain.yaml", "title: notes\nhostNetwork: true\n"),
     ("package.json", "{\n  \"name\": \"shop\",\n  \"scripts\": {\n    \"postinstall\": \"node setup.js\"\n  },\n  \"dependencies\": {\"left\": \"^1.2.0\"},\n  \"devDependencies\": {\"right\": \"~2.0.1\"}\n}\n"),
     ("src/load.js", "const fs = require('fs');\n// fs.readFileSync is named here\nexport function load(p) {\n  return JSON.parse(fs.readFileSync(p));\n}\nfor (const u of urls) { await get(u); }\nsetTimeout(async () => { await save(); }, 10);\nfor (let i = 0; i < n; i++) {\n  for (let j = 0; j < n; j++) { pair(i, j); }\n}\n"),
-    ("src/odd.js", "const name = parts + '.js';\nconst m = require(parts + '.js');\nconst all = Object.keys(process.env);\nconst open = Object.keys(process.env)\n  .filter((k) => k.startsWith('VITE_'));\nfetch('http://10.1.2.3/collect');\nfetch('https://a1b2.ngrok.io/x');\nfetch('https://webhook.site/abc');\neval(atob(code));\nrequire('child_process').exec(cmd);\ndns.lookup(process.env.HOST + '.x');\n# fetch('http://10.1.2.3/comment');\nlet t = 'a\u202eb';\n"),
+    ("src/odd.js", "const name = parts + '.js';\nconst m = require(parts + '.js');\nconst all = Object.keys(process.env);\nconst open = Object.keys(process.env)\n  .filter((k) => k.startsWith('VITE_'));\nfetch('http://10.1.2.3/collect');\nfetch('https://a1b2.ngrok.io/x');\nfetch('https://webhook.site/abc');\neval(atob(code));\nrequire('child_process').exec(cmd);\ndns.lookup(process.env.HOST + '.x');\n# fetch('http://10.1.2.3/comment');\nlet t = 'a\u202eb';\nconst every = Object.entries(process.env);\n"),
     ("src/risk.js", "try { go(); } catch (e) {}\nres.header({ origin: '*' });\nconsole.log('password', password);\n// TODO: fix auth bypass\nconst opts = { rejectUnauthorized: false };\nconst agent = { verify: false };\nconst iv = '0000000000000000';\nconst user = { username: 'admin', password: 'admin' };\n"),
     ("src/big.js", "export const total = (weight) => {\n" + _LONG + "\n};\n"),
     ("src/paid.js", "export function pay(order) {\n" + _LONG + "\n}\n"),

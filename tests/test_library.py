@@ -39,7 +39,9 @@ def test_scalar_functions(spark):
 
 def test_lines_and_chunks(spark):
     docs = spark.createDataFrame([(1, "a\r\nb\n"), (2, ""), (3, None), (4, "\n" * 5000)], "doc_id long, text string")
-    assert [(r.doc_id, r.line, r.txt) for r in text.lines(docs).orderBy("doc_id", "line").collect()] == [(1, 1, "a"), (1, 2, "b"), (1, 3, ""), (2, 1, "")]
+    few = [(1, 1, "a"), (1, 2, "b"), (1, 3, ""), (2, 1, "")]
+    assert [(r.doc_id, r.line, r.txt) for r in text.lines(docs, guard=True).orderBy("doc_id", "line").collect()] == few
+    assert [(r.doc_id, r.line, r.txt) for r in text.lines(docs).orderBy("doc_id", "line").collect()] == few + [(4, i, "") for i in range(1, 5002)]
     d = spark.createDataFrame([(1, "\n".join(map(str, range(97))))], "doc_id long, text string")
     assert [(r.start_line, r.end_line) for r in text.chunks(d).collect()] == [(1, 50), (46, 95), (91, 97)]
 
@@ -202,7 +204,7 @@ def test_queries_read_documents_of_any_size(spark, tmp_path):
     c = duckdb.connect()
     for name in ("documents", "pages"):
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("clone_pairs", "custom_rule_match", "scan_html_rules"):
+    for name in ("clone_pairs", "custom_rule_match", "scan_html_rules", "doc_metrics", "cloned_lines", "scan_coverage"):
         got = registry.QUERIES[name](spark, str(tmp_path))
         assert got.count() and same(got, c.sql(registry.ORACLE[name])) == "", name
     assert {r.doc_id: r.n_lines for r in registry.QUERIES["doc_metrics"](spark, str(tmp_path)).collect()} == {1: 5001, 2: 3}
@@ -259,7 +261,7 @@ def test_reach_over_all_orders_equals_brute_force(spark):
     want = {}
     for c, s in edges:
         want.setdefault(c, set()).update(of[s])
-    got = {r.src: r.reached for r in registry.QUERIES["multi_hop_reach_all"](spark, sf).collect()}
+    got = {r.src: r.reached for r in registry.QUERIES["multi_hop_reach"](spark, sf).collect()}
     assert got == {c: len(x) for c, x in want.items()} and max(got) >= 50
 
 
@@ -319,3 +321,61 @@ def test_clusters_cross_labels(spark, tmp_path):
     rows = [(i, [0.1 * i, 0.0], i) for i in range(3)] + [(9, [50.0, 0.0], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r.vec_id: r.cluster for r in registry.QUERIES["dbscan_clusters"](spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 0, 9: -1}
+
+
+def test_places_of_matches_are_those_of_the_match(spark):
+    docs = spark.createDataFrame([(1, "at 10.1.2.3, twice 10.1.2.3"), (2, "10.1.2.3"), (3, "n 4111111111111111."), (4, "aa a@b.org b a@b.org")], "doc_id long, text string")
+    got = {(r.doc_id, r.rule_id): (r.col, r.end_col, r.match) for r in scan.scan(docs, scan.TEXT_RULES).collect()}
+    assert got[1, "IPV4_ADDRESS"] == (3, 11, "10.1.2.3") and got[2, "IPV4_ADDRESS"] == (0, 8, "10.1.2.3")
+    assert got[3, "CARD_NUMBER"] == (2, 18, "4111111111111111") and got[4, "EMAIL_ADDRESS"] == (3, 10, "a@b.org")
+
+
+def test_packs_find_what_is_planted_and_nothing_in_good_files(spark):
+    from stratalens.operators import packs
+    from stratalens.sources import samples
+
+    files = samples.files(spark)
+    ids = lambda df, f: {r.rule_id for r in df.collect() if r.file == f}
+    boxes = packs.content_pack(files, "container")
+    assert ids(boxes, "images/Dockerfile.good") == set()
+    assert {"container/root-user", "container/no-tag", "container/copy-private-key", "container/multiple-cmd", "container/shell-form-cmd", "container/healthcheck-disabled"} <= ids(boxes, "images/Dockerfile.root")
+    at = {r.rule_id: r.line for r in boxes.collect() if r.file == "Dockerfile"}
+    assert at["container/latest-tag"] == 1 and at["container/chmod-777"] == 8 and at["container/expose-ssh"] == 9 and at["container/no-user"] == 1
+    assert ids(packs.content_pack(files, "terraform"), "infra/safe.tf") == set()
+    assert ids(packs.content_pack(files, "kubernetes"), "notes/plain.yaml") == set()  # no manifest
+    chain = [(r.line, r.rule_id) for r in packs.line_pack(files, "supply_chain").collect() if r.file == "src/odd.js"]
+    assert [x for x, name in chain if name == "ENV_HARVEST"] == [14]  # the filter stands up to two lines below the others
+    assert not [x for x, _ in chain if x == 12]  # a comment
+    assert (13, "TROJAN_SOURCE") in chain
+    tests = packs.line_pack(files, "testing").collect()
+    assert {(r.file, r.line, r.rule_id) for r in tests} == {("src/__tests__/paid.test.js", 1, "FOCUSED_TEST"), ("src/store.js", 1, "TODO_TESTS")}
+
+
+def test_modules_of_the_made_up_tree(spark):
+    from stratalens.operators import modules
+    from stratalens.sources import samples
+
+    files = samples.files(spark).where("file like '%.js'")
+    found = {(r.src, r.specifier): r.dst for r in modules.resolved_imports(files).collect()}
+    assert found == {("src/store.js", "./load"): "src/load.js", ("src/store.js", "./paid.js"): "src/paid.js", ("src/store.js", "left"): None, ("src/store.js", "./db/sql"): "src/db/sql.js", ("src/db/sql.js", "../store"): "src/store.js"}
+    assert [(r.file, r.line, r.function) for r in modules.cross_file_sinks(files).collect()] == [("src/store.js", 6, "query")]
+    assert [(r.file, r.symbol) for r in modules.missing_tests(files).collect()] == [("src/big.js", "total")]  # paid.js has one
+    assert sorted((r.line, r.variable) for r in modules.tainted_sinks(files.where("file = 'src/taint.js'")).collect()) == [(5, "text"), (13, "age")]
+    gaps = spark.createDataFrame([("a.js", "\n\nexport const a = 1;\n" + "x();\n" * 60), ("b.js", "// b\nexport const b = 1;\n")], "file string, content string")
+    assert sorted((r.file, r.category, r.line) for r in modules.documentation_gaps(gaps).collect()) == [("a.js", "MISSING_HEADER", 3), ("a.js", "POOR_DOCUMENTATION", 1)]
+
+
+def test_running_totals_equal_one_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from stratalens.operators.ordered import running
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, rng.choice("ab"), None if rng.random() < 0.1 else rng.randint(-5, 9)) for i in range(500)], "id long, k string, v long")
+    for by in ((), ("k",)):
+        got = running(rows, ["id"], F.floor(F.col("id") / 37), by, s=("sum", "v"), m=("max", "v"), n=("count", "v"))
+        w = Window.partitionBy(*by).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+        want = rows.select("*", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"), F.count("v").over(w).alias("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert running(rows.limit(0), ["id"], F.col("id"), s=("sum", "v")).count() == 0

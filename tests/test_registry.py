@@ -20,7 +20,8 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    df = registry.QUERIES[name](spark, SF)
+    assert df.columns and len(df.collect()) >= 0
 
 
 def test_entry(spark):
