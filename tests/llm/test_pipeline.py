@@ -3,7 +3,7 @@ import pytest
 import corpus_pipeline as P
 from stratalens.llm import queries
 
-from .helpers import DATA
+from .helpers import DATA, ODD, SCHEMA
 from .test_joins_and_counts import WORD, brute_components, brute_contamination
 from .test_tokens_packing_files import check_packing, reference_ids
 
@@ -38,7 +38,56 @@ def test_run_is_the_stages_in_order(spark):
     assert P.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("k", range(4))
+@pytest.mark.parametrize("k", range(5))
 def test_empty_input(spark, k):
     docs = queries.table(spark, DATA, "documents").limit(0)
     assert P.STAGES[k][1](spark, docs, DATA).count() == 0
+
+
+#: Names that the operators use for columns of their own.
+CLASHING = ["cid", "component", "component_id", "n", "a", "b", "bucket", "kind", "token", "sketch", "marks", "th", "w", "h", "rows", "x", "y", "score", "predicted", "pii_kinds", "_id", "piece", "length", "part", "tail", "task", "did", "tie", "wants", "cut", "number", "value"]
+
+
+def crowded(spark, rows):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+
+
+def test_stages_on_odd_rows_with_clashing_columns(spark):
+    """Nulls, empty texts, repeated ids and rows, and columns named like the stages' own: rows that stay keep all their columns."""
+    rows = [*ODD, ODD[7], (5, "another text with a known id", "en", "s", 3), (None, "no id here at all", None, None, 9), (None, None, None, None, None)]
+    docs = crowded(spark, rows).cache()
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        kept = [r.asDict() for r in out.collect()]
+        assert all(r[c] == f"own {c}" for r in kept for c in CLASHING)
+        key = lambda r: repr(tuple(r[c] for c in plain.columns))
+        assert sorted(map(key, kept)) == sorted(key(r.asDict()) for r in stage(spark, plain, DATA).collect())
+    private = P.pii(spark, docs.drop("n_chars"), DATA)
+    assert private.columns == docs.drop("n_chars").columns and private.count() == len(rows)
+    packed = [r.asDict() for r in P.packing(spark, docs, DATA).collect()]
+    assert len(packed) >= len(rows) and P.packing(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(9, base), (4, base + " end"), (7, "start " + base), (2, "quite another text of six words"), (None, "alone without any id"), (11, ""), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id for r in P.near_duplicate(spark, docs, DATA).collect()), key=str) == sorted([4, 2, None, 11, 12], key=str)
+
+
+@pytest.mark.parametrize("name", ["token counts", "fingerprints", "token files", "bytes", "join"])
+def test_operators_ignore_clashing_columns(spark, name):
+    from stratalens.llm import bottomk, dac, parity_join, suffix_dedup, viterbi
+
+    make = {
+        "token counts": lambda d: viterbi.count_tokens(d, viterbi.load_unigrams(queries.vocabulary("piece_bpe_32k.model"))), "fingerprints": bottomk.fingerprint_documents,
+        "token files": lambda d: dac.token_table(d, queries.vocabulary("word_bpe_49k.json")), "bytes": suffix_dedup.remove_repeats, "join": parity_join.near_duplicates,
+    }[name]
+    docs = crowded(spark, [*ODD, ODD[7], (None, "no id here", None, None, 9)]).cache()
+    key = lambda d: sorted(repr(r.asDict()) for r in d.collect())
+    assert key(make(docs)) == key(make(docs.select("doc_id", "text"))) != []
