@@ -14,7 +14,7 @@ from stratalens.llm.pairwise_quality import score_documents
 from stratalens.llm.parity_join import near_duplicates
 from stratalens.llm.pseudonyms import free_name, pseudonymise_documents
 from stratalens.llm.queries import DEMO_KEY, table, vocabulary
-from stratalens.llm.runtime import materialise
+from stratalens.llm.runtime import Scratch
 from stratalens.llm.winnow import decontaminate
 
 #: SQL expresses neither the classifier nor the tokenizer.
@@ -23,7 +23,8 @@ ORACLE_SQL = None
 
 def _only(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
     """The rows whose doc_id is (left_semi) or is not (left_anti) among ``wanted.id``; nulls are a value."""
-    return docs.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    own = free_name(docs, "wanted_id")
+    return docs.join(wanted.select(F.col("doc_id").alias(own)).distinct(), F.col("doc_id").eqNullSafe(F.col(own)), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    tables = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.split()[0])
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = tables.table(stage(spark, docs, sf_dir), name.split()[0])
+        if k:
+            tables.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
