@@ -541,10 +541,11 @@ def cross_pairs(members: DataFrame, forest: bool, s: JoinSettings) -> DataFrame:
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid").mapInArrow(run, "a long, b long").distinct()
 
 
-def class_links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, tables: Scratch, s: JoinSettings = JoinSettings()) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, tables: Scratch, s: JoinSettings = JoinSettings()) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) between classes that connect all similar classes (a spanning part of all links).
 
-    ``classes`` holds cid, n, sketch and the least doc_id of each class.
+    ``classes`` holds cid, n, sketch and the least doc_id of each class.  Beside the links come their
+    components, where the last round found no link after them.
     """
     found = tables.table(candidates(docs, frequent, s), "candidates")
     edges = sketch_filter(found.where("kind = 1").select("a", "b").distinct(), classes, s)
@@ -556,8 +557,8 @@ def class_links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, table
     links, tried = verify(edges, docs, classes, tables, s), edges
     for turn in range(s.forest_rounds + 1):
         forest = turn < s.forest_rounds
-        comps = connected_components(links, "a", "b").withColumnRenamed("node", "cid")
-        placed = tables.table(members.join(comps, "cid", "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component")), "members")
+        comps = connected_components(links, "a", "b")
+        placed = tables.table(members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component")), "members")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("bucket", "m")
         open_rows = placed.join(mixed, "bucket").join(classes.select("cid", "sketch"), "cid")
         found = tables.table(cross_pairs(open_rows, forest, s), "open-pairs")
@@ -580,7 +581,7 @@ def class_links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, table
             tried = more
         tables.drop(pairs)
     tables.drop(members, tried)
-    return links
+    return links, comps if n_new == 0 else None
 
 
 def near_duplicates(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:
@@ -602,9 +603,10 @@ def near_duplicates(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFr
     # A document of several sets (a repeated id) connects them.
     many = rows.where("cid <> 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b")
     same = rows.where("cid <> 0").join(many.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b")).where("a <> b")
-    links = class_links(docs, classes, frequent, tables, s)
-    comps = connected_components(links.unionByName(same), "a", "b").withColumnRenamed("node", "cid")
-    named = tables.table(classes.join(comps, "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component")), "named")
+    links, comps = class_links(docs, classes, frequent, tables, s)
+    if comps is None or not many.isEmpty():
+        comps = connected_components(links.unionByName(same), "a", "b")
+    named = tables.table(classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     lookup = materialise(named.join(least, "component").select("cid", "component_id"), "lookup")
     tables.drop(named, links, classes)
