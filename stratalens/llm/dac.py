@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .ordering import in_key_order
 from .runtime import materialise, new_path, ship_package
-from .tokens import encode_in_blocks
+from .tokens import encode_in_blocks, settle
 
 _HEAD = struct.Struct("<4s4x7Q")
 _MAGIC = b"DACS"
@@ -190,6 +190,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                     yield shard()
         if docs_in:
             yield shard()
+        settle()
 
     blobs = in_key_order(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "value binary")
     blobs.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(path)

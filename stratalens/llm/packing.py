@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialise, ship_package
-from .tokens import encode_in_blocks
+from .tokens import encode_in_blocks, settle
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
@@ -145,6 +145,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens:
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        settle()
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import Scratch, materialise, ship_package
+from .runtime import Scratch, materialise, ship_package, trim
 from .textscan import mix, shingle_hashes, word_hashes
 
 _C1, _C2, _C3 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
@@ -240,6 +240,7 @@ def survey(docs: DataFrame, hold: int = 3_000_000, s: JoinSettings = JoinSetting
             yield batch(0, b.num_rows, doc_id=b.column(0), n_shingles=pa.array(sizes, pa.int64()), cid=pa.array(classes, pa.int64()), sketch=pa.array(sketches, pa.binary()))
         if parts:
             yield flush()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SURVEY)
 
@@ -329,6 +330,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, s: JoinSettings, hold: int
                     yield from flush()
         if held:
             yield from flush()
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partitions hold whole buckets, sorted by (kind, p, a).  A bucket that continues in the next batch is carried by its first row."""

@@ -8,6 +8,7 @@ used instead; on a cluster without the setting, nothing is written and an error
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -15,6 +16,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
@@ -82,6 +84,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give what a Python worker has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package also where PYTHONPATH does not name it."""
     root = str(Path(__file__).resolve().parents[2])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, ship_package
+from .runtime import materialise, ship_package, trim
 from .textscan import mix, powers, prefix_sums, sliding_min
 
 SPAN, GRAM = 100, 32
@@ -138,6 +138,7 @@ def _publish(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.Record
                 yield from flush()
     if held:
         yield from flush()
+    trim()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

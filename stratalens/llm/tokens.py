@@ -16,6 +16,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .runtime import trim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Code points with the White_Space property, as the tokenizers' own patterns see them.
@@ -165,6 +167,13 @@ def encoder(path: str) -> ChunkEncoder:
     return _open[path]
 
 
+def settle() -> None:
+    """At the end of a task: of the worker's caches only the current generation stays."""
+    for enc in _open.values():
+        enc.older = {}
+    trim()
+
+
 def encode_in_blocks(texts: Iterable[str | None], path: str, block_chars: int = 2_000_000) -> Iterator[bytes]:
     """Yield the id bytes of each text (null: empty), a bounded number of characters at a time."""
     enc, block, size = encoder(path), [], 0

@@ -27,7 +27,8 @@ from .runtime import ship_package
 
 MARK = "▁"
 _PENALTY = 10.0
-_MAX_CHUNKS = 500_000
+#: Bytes (estimated) of counted chunks that a worker keeps; longer chunks than the second are not kept.
+_MAX_BYTES, _LONGEST_KEY = 100_000_000, 256
 _CHUNKS = re.compile(" *[^ ]+| +")
 
 
@@ -69,6 +70,7 @@ class Counter:
         self.by_chunk = vocabulary.by_chunk
         self.counts: dict[str, int] = {}
         self.scores: dict[str, float] = {}
+        self.held = 0
 
     def segment(self, text: str) -> tuple[int, float]:
         """Piece count and best score of a text whose blanks are marks already."""
@@ -123,13 +125,22 @@ class Counter:
         try:
             return sum(map(self.counts.__getitem__, chunks)), sum(map(self.scores.__getitem__, chunks))
         except KeyError:
-            if len(self.counts) > _MAX_CHUNKS:
+            if self.held > _MAX_BYTES:
                 self.counts.clear()
                 self.scores.clear()
+                self.held = 0
+            long = []
             for c in set(chunks):
                 if c not in self.counts:
                     self.counts[c], self.scores[c] = self.segment(c[1:].replace(" ", MARK) if c[:1] == "\0" else MARK + c)
-            return sum(map(self.counts.__getitem__, chunks)), sum(map(self.scores.__getitem__, chunks))
+                    if len(c) > _LONGEST_KEY:
+                        long.append(c)
+                    else:
+                        self.held += len(c) + 200
+            found = sum(map(self.counts.__getitem__, chunks)), sum(map(self.scores.__getitem__, chunks))
+            for c in long:
+                del self.counts[c], self.scores[c]
+            return found
 
 
 _held: dict[Unigrams, Counter] = {}
