@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, ship_package, trim
+from .runtime import Scratch, materialise, ship_package, trim
 from .textscan import mix, powers, prefix_sums, sliding_min
 
 SPAN, GRAM = 100, 32
@@ -46,7 +46,7 @@ def _anchors_in(a: np.ndarray) -> tuple[np.ndarray, ...]:
     """Positions, gram hashes and the two context hashes of the anchors of one byte array."""
     n = len(a)
     if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     c, (p, q) = prefix_sums(a), powers(n + 1)
     g = c[GRAM:] - c[: n - GRAM + 1]
     g *= q[: n - GRAM + 1]
@@ -64,7 +64,7 @@ def _anchors_in(a: np.ndarray) -> tuple[np.ndarray, ...]:
     np.cumsum(_BYTES[a] * p[:n], out=sums[1:])
     second = sums[hi] - sums[lo]
     second *= q[lo]
-    return at, g[at], mix(context), mix(second)
+    return at, g[at], mix(context), (mix(second) >> np.uint64(32)).astype(np.uint32)
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, ...]:
@@ -97,12 +97,13 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: p is the gram for kinds 0 and 2; rows of kind 1 only pass through.
-_ROW = "p long, kind int, context long, second long, did long, tie long, place long"
+_ROW = "p long, kind int, context long, second int, did long, tie long, place long"
 _NAMES = ["p", "kind", "context", "second", "did", "tie", "place"]
 
 
 def _rows(kind: int, p: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(p.view(np.int64)), pa.array(np.full(len(p), kind, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in columns)]
+    context, second, *rest = columns
+    cols = [pa.array(p.view(np.int64)), pa.array(np.full(len(p), kind, dtype=np.int32)), pa.array(context.view(np.int64)), pa.array(second.view(np.int32)), *(pa.array(x.view(np.int64)) for x in rest)]
     return pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
 
@@ -122,9 +123,8 @@ def _publish(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.Record
             places = np.flatnonzero(mask)
             for k in range(0, len(places), 250_000):
                 i = places[k : k + 250_000]
-                p = g[i] if kind == 0 else mix(d[i].view(np.uint64).copy())
-                none = np.zeros(len(i), np.int64)
-                yield _rows(kind, p, *((c[i], s[i]) if kind == 0 else (none, none)), d[i], t[i], at[i])
+                about = (g[i], c[i], s[i]) if kind == 0 else (d[i], np.zeros(len(i), np.int64), np.zeros(len(i), np.int32))
+                yield _rows(kind, *about, d[i], t[i], at[i])
 
     for b in batches:
         for doc, text, tie in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -167,7 +167,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts = begins[np.append(begins[1:], len(new)) - begins > 1]
             ask[firsts] = True
             if cont[0] and pending is not None:
-                yield _rows(2, *(np.array([v], dtype=np.int64) for v in pending))
+                yield _rows(2, *(np.array([v], dtype=np.int32 if k == 2 else np.int64) for k, v in enumerate(pending)))
             if cont[0] or len(begins):
                 pending = None
             i = new[ask]
@@ -468,7 +468,7 @@ def _contexts(data: bytes, wants: list[dict]) -> Iterator[tuple[int, int, bytes]
 
 
 def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 8_000_000, hot: int = HOT) -> DataFrame:
-    """(did, tie, lo, hi): windows that start at bytes lo to hi of a document also start earlier.  ``docs`` is of ``with_keys``."""
+    """A table (did, tie, lo, hi): windows that start at bytes lo to hi of a document also start earlier.  ``docs`` is of ``with_keys``."""
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _publish(batches, hold)
@@ -490,7 +490,8 @@ def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 8
         yield from _sort_shards(batches, shard_bytes)
 
     met = docs.select("did", "text", "tie").mapInArrow(publish, _ROW).repartition("p").sortWithinPartitions("kind", "p", "context", "second", "did", "tie", "place").mapInArrow(_meet, _ROW)
-    met = materialise(met.select("kind", F.when(F.col("kind") == 2, F.col("p")).alias("gram"), "did", "tie", "place"), "met")
+    tables = Scratch(docs.sparkSession)
+    met = tables.table(met.select("kind", F.when(F.col("kind") == 2, F.col("p")).alias("gram"), "did", "tie", "place"), "met")
     asked = met.where("kind = 2")
     often = asked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
     asked = asked.join(often, "gram", "left").select("did", "tie", F.struct("gram", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("want"))
@@ -500,7 +501,9 @@ def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 8
     at = F.shiftright("place", 15)
     left, right = F.shiftright("place", 7).bitwiseAND(F.lit(0xFF)), F.col("place").bitwiseAND(F.lit(0x7F))
     whole = met.where("kind = 1").select("did", "tie", (at - left).alias("lo"), (at + right - SPAN).alias("hi"))
-    return whole.unionByName(sorted_out)
+    out = materialise(whole.unionByName(sorted_out), "ranges")
+    tables.drop(met)
+    return out
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -519,7 +522,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     keyed = with_keys(docs)
-    ranges = materialise(repeated_ranges(keyed), "ranges").groupBy("did", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
+    ranges = repeated_ranges(keyed).groupBy("did", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
