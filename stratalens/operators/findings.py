@@ -124,9 +124,10 @@ def confidence(static: Column, ai: Column, history: Column, context: Column, sev
 
 
 def ewma(events: DataFrame, key: str, order: str, value: str, keep: float = 0.7) -> DataFrame:
-    """key, n, risk: an order-dependent running mean, rounded to 3 digits at each step."""
+    """key, n, risk: an order-dependent running mean, rounded half up to 3 digits at each step."""
+    third = lambda x: F.floor(x * 1000 + 0.5) / 1000
     seq = F.array_sort(F.collect_list(F.struct(order, value)))
-    fold = F.aggregate(F.slice(seq, 2, 2_000_000_000), F.round(F.element_at(seq, 1)[value], 3), lambda acc, x: F.round(acc * keep + x[value] * (1 - keep), 3))
+    fold = F.aggregate(F.slice(seq, 2, 2_000_000_000), third(F.element_at(seq, 1)[value]), lambda acc, x: third(acc * keep + x[value] * (1 - keep)))
     return events.groupBy(key).agg(F.count("*").alias("n"), fold.alias("risk"))
 
 

@@ -92,9 +92,9 @@ def fix_confidence(match: Column, matches: Column, complexity: Column, context:
 
 
 def format_bytes(size: Column) -> Column:
-    """``1536`` as ``1.50 KB``, up to GB."""
+    """``1536`` as ``1.50 KB``, up to GB; halves are rounded up."""
     unit = F.when(size < 1024, 0).when(size < 1024**2, 1).when(size < 1024**3, 2).otherwise(3)
-    return F.concat(F.format_string("%.2f", size / F.pow(F.lit(1024.0), unit)), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), unit + 1))
+    return F.concat(F.format_string("%.2f", F.floor(size / F.pow(F.lit(1024.0), unit) * 100 + 0.5) / 100), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), unit + 1))
 
 
 def memory_tokens(text: Column) -> Column:

@@ -190,7 +190,7 @@ def sprint_knapsack(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM {events}),
- f AS (SELECT user_id, i, n, round(value, 3) AS risk FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.n, round(f.risk * 0.7 + e.value * (1 - 0.7), 3) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+ f AS (SELECT user_id, i, n, floor(value * 1000 + 0.5) / 1000.0 AS risk FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.n, floor((f.risk * 0.7 + e.value * (1 - 0.7)) * 1000 + 0.5) / 1000.0 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
  SELECT user_id, n, risk FROM f WHERE i = n""")
 def profile_ewma(spark, sf_dir):
     return fnd.ewma(table(spark, sf_dir, "events"), "user_id", "event_id", "value")

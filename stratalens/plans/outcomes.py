@@ -93,7 +93,7 @@ def fix_confidence(spark, sf_dir):
     return calls.table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), level.alias("level"))
 
 
-@query("SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.2f B', b * 1.0) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576.0) ELSE printf('%.2f GB', b / 1073741824.0) END AS size, CAST(len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) > 2)) AS BIGINT) AS words FROM (SELECT doc_id, text, octet_length(encode(text)) AS b FROM {documents}) x")
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.2f B', floor(b * 1.0 * 100 + 0.5) / 100.0) WHEN b < 1048576 THEN printf('%.2f KB', floor(b / 1024.0 * 100 + 0.5) / 100.0) WHEN b < 1073741824 THEN printf('%.2f MB', floor(b / 1048576.0 * 100 + 0.5) / 100.0) ELSE printf('%.2f GB', floor(b / 1073741824.0 * 100 + 0.5) / 100.0) END AS size, CAST(len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) > 2)) AS BIGINT) AS words FROM (SELECT doc_id, text, octet_length(encode(text)) AS b FROM {documents}) x")
 def document_sizes(spark, sf_dir):
     d = calls.table(spark, sf_dir, "documents")
     return d.select("doc_id", learning.format_bytes(F.octet_length("text")).alias("size"), F.size(learning.memory_tokens(F.col("text"))).cast("long").alias("words"))
