@@ -13,6 +13,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -79,9 +80,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now; it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished plans now; it does so when the driver's garbage is collected.
+
+    Twice, because proxies that Python lets go of are dropped from the JVM's side a moment later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.05)
 
 
 def trim() -> None:

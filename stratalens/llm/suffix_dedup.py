@@ -489,9 +489,12 @@ def repeated_ranges(docs: DataFrame, hold: int = 1_500_000, shard_bytes: int = 8
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sort_shards(batches, shard_bytes)
 
-    met = docs.select("did", "text", "tie").mapInArrow(publish, _ROW).repartition("p").sortWithinPartitions("kind", "p", "context", "second", "did", "tie", "place").mapInArrow(_meet, _ROW)
+    def meeting() -> DataFrame:
+        found = docs.select("did", "text", "tie").mapInArrow(publish, _ROW).repartition("p").sortWithinPartitions("kind", "p", "context", "second", "did", "tie", "place").mapInArrow(_meet, _ROW)
+        return found.select("kind", F.when(F.col("kind") == 2, F.col("p")).alias("gram"), "did", "tie", "place")
+
     tables = Scratch(docs.sparkSession)
-    met = tables.table(met.select("kind", F.when(F.col("kind") == 2, F.col("p")).alias("gram"), "did", "tie", "place"), "met")
+    met = tables.table(meeting(), "met")  # no name holds its plan, so that its shuffle files can go
     asked = met.where("kind = 2")
     often = asked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
     asked = asked.join(often, "gram", "left").select("did", "tie", F.struct("gram", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("want"))
