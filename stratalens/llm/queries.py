@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .divergence import ORACLE as _divergence_sql
 from .winnow import ORACLE as _winnow_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +91,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merge_automaton import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
@@ -101,6 +120,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_ngram_join": op9_ngram_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_bpe_automaton": op12_bpe_automaton,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE: dict[str, str] = {"op6_decontamination": _winnow_sql}
+ORACLE: dict[str, str] = {"op6_decontamination": _winnow_sql, "op13_source_divergence": _divergence_sql}
