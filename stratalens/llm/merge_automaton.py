@@ -49,8 +49,9 @@ class MergeAutomaton:
         self.arcs, self.size = arcs, {t: len(b) for t, b in arcs.items()}
         self.came: dict[int, tuple[int, int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        for step, (u, v, w) in enumerate(merges):
-            self._gadget(step, u, v, w)
+        self.idle: set[int] = set()
+        for u, v, w in merges:
+            self._gadget(u, v, w)
         self.child: dict[int, int] = {}
         self.token, self.leaf = [-1], [True]
         made = set(self.came)
@@ -59,6 +60,8 @@ class MergeAutomaton:
                 self._spell(t, label)
         self.below: list[list[int] | None] = [[] for _ in self.token]
         for t, label in arcs.items():
+            if t not in made and len(label) > 1:
+                continue
             node = 0
             for b in label[:-1]:
                 node = self.child[node << 8 | b]
@@ -68,9 +71,14 @@ class MergeAutomaton:
                         self.below[node] = None
         self._empty()
 
-    def _gadget(self, step: int, u: int, v: int, w: int) -> None:
-        if w in self.came or (u, v) in self.cut:
+    def _gadget(self, u: int, v: int, w: int) -> None:
+        """A rule whose pair earlier rules never leave standing makes no arc, and its token is never met."""
+        if w in self.came or w in self.idle or (u, v) in self.cut:
             raise ValueError("a token or a pair stands in two merges")
+        if u in self.idle or v in self.idle or not self.follows(u, v):
+            self.idle.add(w)
+            return
+        step = len(self.cut)
         self.cut[u, v] = step
         self.came[w] = (step, u, v)
 
@@ -87,7 +95,7 @@ class MergeAutomaton:
         self.token[node] = token
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether b may be read after a once all merges are worked in."""
+        """Whether b may be read after a, with the merges that are worked in so far."""
         before = len(self.cut)
         while True:
             cut = self.cut.get((a, b))
