@@ -1,161 +1,278 @@
 """Rule packs over source files: containers, infrastructure, supply chain, performance, tests, generated code.
 
-Two engines: ``content_scan`` finds every match of a rule in a whole file, or judges the file; ``line_scan``
-judges each line under guards on the file, the line and the lines after it.  All expressions are in the
-subset that Java and RE2 share.
+Files are read into facts first, a row per line: the instruction of a Dockerfile and what it is given, attribute,
+value and block of a Terraform line, key and value of a manifest, the address, quoted text and call of a line of
+code.  A rule is a condition on facts, written in the SQL that Spark and DuckDB share, so that the same text
+runs in both engines and no rule searches whole files.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.text import lines
 
 
 @dataclass(frozen=True)
-class ContentRule:
-    """Finds ``pattern``; or, without one, judges a file: it ``has`` and ``lacks`` expressions, and ``many`` more than ``over`` times."""
+class Rule:
+    """``when`` holds for a line, or, with ``whole``, for the totals of a file (reported at line 1)."""
 
     rule_id: str
     severity: str
-    category: str
-    message: str
-    pattern: str = ""
-    has: str = ""
-    lacks: str = ""
-    many: str = ""
-    over: int = 0
+    group: str
+    when: str
+    whole: bool = False
+    first: bool = False
+    comments: bool = False
 
 
 @dataclass(frozen=True)
-class LineRule:
-    """Finds ``pattern`` in a line.  ``unless`` is searched in the line and the ``ahead`` lines behind it."""
+class Pack:
+    """``path``: expression of the file names read; ``layers``: columns computed one layer after the other; ``totals``: sums over a file."""
 
-    rule_id: str
-    severity: str
-    impact: int
-    message: str
-    pattern: str
-    also: str = ""
-    unless: str = ""
-    ahead: int = 0
-    file_has: str = ""
-    only: str = ""
-    never: str = ""
-    first: bool = False
-    comments: bool = False
+    path: str
+    layers: tuple[tuple[tuple[str, str], ...], ...]
+    rules: tuple[Rule, ...]
+    totals: tuple[tuple[str, str], ...] = ()
+    only_if: str = ""
+
+
+def _any(*conditions: str) -> str:
+    return "(" + " OR ".join(conditions) + ")"
+
+
+def _has(column: str, *texts: str) -> str:
+    """One of the texts stands in the column."""
+    return _any(*[f"instr({column}, '{t.replace(chr(39), chr(39) * 2)}') > 0" for t in texts])
+
+
+def _ends(column: str, *texts: str) -> str:
+    return _any(*[f"{column} LIKE '%{t}'" for t in texts])
+
+
+_SECRET_WORDS = ("password", "secret", "key", "token")
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
+_OPS = ("from", "run", "cmd", "label", "expose", "env", "add", "copy", "entrypoint", "volume", "user", "workdir", "arg", "onbuild", "stopsignal", "healthcheck", "shell", "maintainer")
+_OVER = "OVER (PARTITION BY file ORDER BY line)"
 
+# ---- containers: the instruction in force on each line, and what it is given
 
-#: Identifiers, severities and groups of the container rules.
+_DOCKER = (
+    (("low", "lower(trim(txt))"),),
+    (("word", "split_part(low, ' ', 1)"),),
+    (("op_here", f"CASE WHEN word IN {_OPS} THEN word END"),),
+    (("step", f"sum(CASE WHEN op_here IS NOT NULL THEN 1 ELSE 0 END) {_OVER}"),),
+    (("op", "coalesce(max(op_here) OVER (PARTITION BY file, step), '')"), ("arg", "CASE WHEN op_here IS NULL THEN low ELSE trim(substr(low, length(word) + 1)) END")),
+    (("image", "split_part(arg, ' ', 1)"), ("given", "split_part(replace(arg, ' ', '='), '=', 1)"), ("spaced", "' ' || arg || ' '")),
+    (("last_part", "split_part(image, '/', -1)"), ("host", "CASE WHEN instr(image, '/') > 0 THEN split_part(image, '/', 1) ELSE '' END"), ("port", "coalesce(TRY_CAST(split_part(image, '/', 1) AS INT), 0)")),
+)
+_COPIES, _RUNS = "op IN ('copy', 'add')", "op = 'run'"
+_PACKED = (".tar", ".tar.gz", ".tgz", ".tar.bz2")
+#: Fixed values of the packs below: identifiers, severities and groups.
 CONTAINER = (
-    ContentRule("container/root-user", "HIGH", "user_privileges", "Runs as root", r"(?im)^USER\s+(root|0)\s*$"),
-    ContentRule("container/no-user", "MEDIUM", "user_privileges", "No USER instruction", lacks=r"(?im)^USER\s+"),
-    ContentRule("container/latest-tag", "HIGH", "base_image", "Base image with the latest tag", r"(?im)^FROM\s+\S+:latest\s*$"),
-    ContentRule("container/no-tag", "HIGH", "base_image", "Base image without a tag", r"(?im)^FROM\s+[a-z0-9/_-]+\s*$"),
-    ContentRule("container/privileged-base", "HIGH", "base_image", "Base image named after privileged access", r"(?im)^FROM.*/(root|admin|privileged)"),
-    ContentRule("container/env-password", "CRITICAL", "secrets", "Secret in an ENV instruction", r"(?im)^ENV\s+\w*(PASSWORD|SECRET|KEY|TOKEN)\w*[ =]\s*\S+"),
-    ContentRule("container/arg-secret", "HIGH", "secrets", "Secret as a build argument", r"(?im)^ARG\s+\w*(PASSWORD|SECRET|KEY|TOKEN)\w*\s*="),
-    ContentRule("container/copy-private-key", "CRITICAL", "secrets", "Private key in the image", r"(?im)^(COPY|ADD)\s+.*\.(pem|key|p12|pfx|jks)"),
-    ContentRule("container/copy-env-file", "HIGH", "secrets", "Environment file in the image", r"(?im)^(COPY|ADD)\s+\.env"),
-    ContentRule("container/curl-with-auth", "HIGH", "secrets", "Credentials on a command line", r"(?i)curl.*(-u|--user)\s+\S+:\S+"),
-    ContentRule("container/expose-ssh", "MEDIUM", "network", "SSH port exposed", r"(?im)^EXPOSE\s+22\b"),
-    ContentRule("container/expose-many-ports", "LOW", "network", "Many exposed ports", many=r"(?im)^EXPOSE\s+", over=5),
-    ContentRule("container/pip-no-version", "LOW", "packages", "Package without a version", r"(?im)pip\s+install [^=\n]*$"),
-    ContentRule("container/apt-no-version", "LOW", "packages", "Package without a version", r"(?im)apt-get\s+install[^=\n]*$"),
-    ContentRule("container/no-cache-cleanup", "LOW", "packages", "Package lists stay in the image", has=r"(?i)apt-get\s+install", lacks=r"(?i)rm\s+-rf\s+/var/lib/apt"),
-    ContentRule("container/add-remote", "HIGH", "instructions", "ADD of a remote address", r"(?im)^ADD\s+https?://"),
-    ContentRule("container/add-tar", "MEDIUM", "instructions", "ADD unpacks archives", r"(?im)^ADD\s+\S+\.(tar|tar\.gz|tgz|tar\.bz2)\s"),
-    ContentRule("container/copy-all", "MEDIUM", "instructions", "COPY of everything", r"(?im)^COPY\s+\.\s+"),
-    ContentRule("container/chmod-777", "HIGH", "instructions", "Everyone may write", r"(?i)chmod\s+777"),
-    ContentRule("container/workdir-relative", "LOW", "instructions", "Relative WORKDIR", r"(?im)^WORKDIR[ \t]+[^/\s]"),
-    ContentRule("container/multiple-cmd", "LOW", "instructions", "Only the last CMD counts", many=r"(?im)^CMD\s+", over=1),
-    ContentRule("container/multiple-entrypoint", "LOW", "instructions", "Only the last ENTRYPOINT counts", many=r"(?im)^ENTRYPOINT\s+", over=1),
-    ContentRule("container/shell-form-cmd", "LOW", "instructions", "Shell form", r"(?im)^(CMD|ENTRYPOINT)[ \t]+[^\[\s]"),
-    ContentRule("container/no-healthcheck", "LOW", "instructions", "No HEALTHCHECK", lacks=r"(?im)^HEALTHCHECK\s+"),
-    ContentRule("container/healthcheck-disabled", "MEDIUM", "instructions", "HEALTHCHECK switched off", r"(?im)^HEALTHCHECK\s+NONE"),
-    ContentRule("container/curl-bash", "HIGH", "runtime", "A download is run", r"(?i)(curl|wget).*\|\s*(ba)?sh"),
-    ContentRule("container/apk-no-cache", "LOW", "runtime", "apk without --no-cache", has=r"(?i)apk\s+add", lacks=r"(?i)--no-cache"),
+    Rule("container/root-user", "HIGH", "user_privileges", "op = 'user' AND arg IN ('root', '0')"),
+    Rule("container/no-user", "MEDIUM", "user_privileges", "n_user = 0", whole=True),
+    Rule("container/sudo-installed", "MEDIUM", "user_privileges", f"{_RUNS} AND {_has('arg', 'install')} AND {_has('spaced', ' sudo ')}"),
+    Rule("container/latest-tag", "HIGH", "base_image", "op = 'from' AND image LIKE '%:latest'"),
+    Rule("container/no-tag", "HIGH", "base_image", "op = 'from' AND image NOT IN ('', 'scratch') AND instr(last_part, ':') = 0 AND instr(image, '@') = 0 AND instr(image, '$') = 0"),
+    Rule("container/untrusted-base", "MEDIUM", "base_image", "op = 'from' AND instr(host, '.') > 0 AND host NOT IN ('docker.io', 'gcr.io', 'ghcr.io', 'quay.io', 'mcr.microsoft.com', 'public.ecr.aws', 'registry.k8s.io')"),
+    Rule("container/privileged-base", "HIGH", "base_image", "op = 'from' AND host <> '' AND (last_part LIKE 'root%' OR last_part LIKE 'admin%' OR last_part LIKE 'privileged%')"),
+    Rule("container/env-password", "CRITICAL", "secrets", f"op = 'env' AND {_has('given', *_SECRET_WORDS)} AND length(arg) > length(given) + 1"),
+    Rule("container/arg-secret", "HIGH", "secrets", f"op = 'arg' AND instr(arg, '=') > 0 AND {_has('given', *_SECRET_WORDS)}"),
+    Rule("container/copy-private-key", "CRITICAL", "secrets", f"{_COPIES} AND {_has('spaced', '.pem ', '.key ', '.p12 ', '.pfx ', '.jks ')}"),
+    Rule("container/copy-env-file", "HIGH", "secrets", f"{_COPIES} AND {_has('spaced', ' .env')}"),
+    Rule("container/curl-with-auth", "HIGH", "secrets", f"{_has('spaced', ' curl ')} AND (spaced LIKE '% -u %:%' OR spaced LIKE '% --user %:%')"),
+    Rule("container/expose-ssh", "MEDIUM", "network", f"op = 'expose' AND {_has('spaced', ' 22 ', ' 22/tcp ')}"),
+    Rule("container/expose-many-ports", "LOW", "network", "n_expose > 5", whole=True),
+    Rule("container/privileged-port", "LOW", "network", "op = 'expose' AND port BETWEEN 1 AND 1023 AND port NOT IN (22, 80, 443)"),
+    Rule("container/apt-no-version", "LOW", "packages", f"{_has('arg', 'apt-get install', 'apt-get -y install')} AND instr(arg, '=') = 0"),
+    Rule("container/no-cache-cleanup", "LOW", "packages", "n_apt > 0 AND n_clean = 0", whole=True),
+    Rule("container/pip-no-version", "LOW", "packages", f"{_has('arg', 'pip install ', 'pip3 install ')} AND instr(arg, '==') = 0 AND instr(spaced, ' -r ') = 0"),
+    Rule("container/npm-dev-deps", "LOW", "packages", f"{_has('spaced', ' npm install ', ' npm ci ')} AND NOT {_has('arg', '--production', '--omit=dev', '--only=prod')}"),
+    Rule("container/add-remote", "HIGH", "instructions", "op = 'add' AND (arg LIKE 'http://%' OR arg LIKE 'https://%')"),
+    Rule("container/add-tar", "MEDIUM", "instructions", f"op = 'add' AND {_ends('image', *_PACKED)}"),
+    Rule("container/copy-all", "MEDIUM", "instructions", "op = 'copy' AND image = '.'"),
+    Rule("container/chmod-777", "HIGH", "instructions", f"{_has('spaced', ' chmod 777 ', ' chmod -r 777 ', ' chmod 0777 ')}"),
+    Rule("container/workdir-relative", "LOW", "instructions", "op = 'workdir' AND arg <> '' AND arg NOT LIKE '/%' AND arg NOT LIKE '$%'"),
+    Rule("container/multiple-cmd", "LOW", "instructions", "n_cmd > 1", whole=True),
+    Rule("container/multiple-entrypoint", "LOW", "instructions", "n_entrypoint > 1", whole=True),
+    Rule("container/shell-form-cmd", "LOW", "instructions", "op_here IN ('cmd', 'entrypoint') AND arg NOT LIKE '[%'"),
+    Rule("container/no-healthcheck", "LOW", "instructions", "n_healthcheck = 0", whole=True),
+    Rule("container/healthcheck-disabled", "MEDIUM", "instructions", "op = 'healthcheck' AND arg = 'none'"),
+    Rule("container/setuid-binary", "HIGH", "runtime", f"{_has('spaced', ' chmod u+s ', ' chmod +s ', ' chmod 4755 ')}"),
+    Rule("container/curl-bash", "HIGH", "runtime", f"{_has('spaced', ' curl ', ' wget ')} AND {_has('replace(spaced, ' + chr(39) + '| ' + chr(39) + ', ' + chr(39) + '|' + chr(39) + ')', '|sh ', '|bash ')}"),
+    Rule("container/apk-no-cache", "LOW", "runtime", "n_apk > 0 AND n_apk_clean = 0", whole=True),
+)
+
+
+def _count(name: str, condition: str) -> tuple[str, str]:
+    return name, f"CAST(sum(CASE WHEN {condition} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+_DOCKER_TOTALS = (
+    *[_count(f"n_{op}", f"op_here = '{op}'") for op in ("user", "expose", "cmd", "entrypoint", "healthcheck")],
+    _count("n_apt", _has("arg", "apt-get install")), _count("n_clean", _has("arg", "/var/lib/apt")), _count("n_apk", _has("arg", "apk add")), _count("n_apk_clean", _has("arg", "--no-cache")),
+)
+
+# ---- Terraform: attribute, value, the resource and the innermost block of each line
+
+_TF = (
+    (("low", "trim(txt)"),),
+    (
+        ("attr", "lower(regexp_extract(low, '^\"?([A-Za-z_]+)\"?[ ]*[=:]', 1))"), ("value", "trim(regexp_extract(low, '^\"?[A-Za-z_]+\"?[ ]*[=:][ ]*([^#]*)', 1))"),
+        ("opened", "regexp_extract(low, '^resource[ ]+\"([a-z0-9_]+)\"', 1)"), ("edge", "CASE WHEN instr(low, '{') > 0 OR instr(low, '}') > 0 THEN 1 ELSE 0 END"),
+    ),
+    (("area", f"sum(edge) {_OVER}"), ("res_no", f"sum(CASE WHEN opened <> '' THEN 1 ELSE 0 END) {_OVER}"), ("bare", "replace(replace(replace(value, '[', ''), ']', ''), ' ', '')")),
+    (
+        ("res", "max(opened) OVER (PARTITION BY file, res_no)"), ("open_area", "max(CASE WHEN attr = 'cidr_blocks' AND instr(value, '\"0.0.0.0/0\"') > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file, area)"),
+    ),
 )
-#: The same for Terraform and Kubernetes.
 TERRAFORM = (
-    ContentRule("iac/ebs-no-encryption", "MEDIUM", "encryption", "Volume without encryption", r"(?s)resource\s+\"aws_ebs_volume\"[^}]*encrypted\s*=\s*false"),
-    ContentRule("iac/s3-public-acl", "CRITICAL", "access_control", "Public bucket", r"acl\s*=\s*\"public-read(-write)?\""),
-    ContentRule("iac/security-group-wide-open", "CRITICAL", "access_control", "Open to every address", r"cidr_blocks\s*=\s*\[\s*\"0\.0\.0\.0/0\"\s*\]"),
-    ContentRule("iac/iam-star-action", "HIGH", "access_control", "All actions allowed", r"\"Action\"\s*:\s*\"\*\"|actions\s*=\s*\[\s*\"\*\"\s*\]"),
-    ContentRule("iac/iam-star-resource", "HIGH", "access_control", "All resources allowed", r"\"Resource\"\s*:\s*\"\*\"|resources\s*=\s*\[\s*\"\*\"\s*\]"),
-    ContentRule("iac/cloudtrail-no-encryption", "MEDIUM", "logging", "Trail without a key", r"(?s)resource\s+\"aws_cloudtrail\"[^}]*kms_key_id\s*=\s*\"\""),
-    ContentRule("iac/hardcoded-secret", "CRITICAL", "secrets", "Secret in the file", r"(?i)(password|secret|api_key|access_key)\s*=\s*\"[^$][^\"]+\""),
-    ContentRule("iac/aws-access-key-hardcoded", "CRITICAL", "secrets", "Access key in the file", r"access_key\s*=\s*\"AKIA[A-Z0-9]{16}\""),
-    ContentRule("iac/ssh-open-to-internet", "HIGH", "network", "SSH open to every address", r"(?s)from_port\s*=\s*22[^}]*cidr_blocks\s*=\s*\[\s*\"0\.0\.0\.0/0\""),
-    ContentRule("iac/rdp-open-to-internet", "HIGH", "network", "Remote desktop open to every address", r"(?s)from_port\s*=\s*3389[^}]*cidr_blocks\s*=\s*\[\s*\"0\.0\.0\.0/0\""),
-    ContentRule("iac/database-public", "CRITICAL", "network", "Public database", r"publicly_accessible\s*=\s*true"),
+    Rule("iac/s3-no-encryption", "HIGH", "encryption", "n_bucket > 0 AND n_bucket_crypt = 0", whole=True),
+    Rule("iac/rds-no-encryption", "HIGH", "encryption", "n_db > 0 AND n_db_crypt = 0", whole=True),
+    Rule("iac/ebs-no-encryption", "MEDIUM", "encryption", "res = 'aws_ebs_volume' AND attr = 'encrypted' AND value = 'false'"),
+    Rule("iac/s3-public-acl", "CRITICAL", "access_control", "attr = 'acl' AND bare IN ('\"public-read\"', '\"public-read-write\"')"),
+    Rule("iac/security-group-wide-open", "CRITICAL", "access_control", "attr = 'cidr_blocks' AND instr(bare, '\"0.0.0.0/0\"') > 0"),
+    Rule("iac/iam-star-action", "HIGH", "access_control", "attr IN ('action', 'actions') AND replace(bare, ',', '') = '\"*\"'"),
+    Rule("iac/iam-star-resource", "HIGH", "access_control", "attr IN ('resource', 'resources') AND replace(bare, ',', '') = '\"*\"'"),
+    Rule("iac/s3-no-logging", "MEDIUM", "logging", "n_bucket > 0 AND n_logging = 0", whole=True),
+    Rule("iac/cloudtrail-no-encryption", "MEDIUM", "logging", "res = 'aws_cloudtrail' AND attr = 'kms_key_id' AND value = '\"\"'"),
+    Rule("iac/vpc-no-flow-logs", "MEDIUM", "logging", "n_vpc > 0 AND n_flow = 0", whole=True),
+    Rule("iac/hardcoded-secret", "CRITICAL", "secrets", f"{_has('attr', 'password', 'secret', 'api_key', 'access_key')} AND value LIKE '\"%\"' AND length(value) > 3 AND value NOT LIKE '\"$%'"),
+    Rule("iac/aws-access-key-hardcoded", "CRITICAL", "secrets", "attr = 'access_key' AND value LIKE '\"AKIA%' AND length(value) = 22"),
+    Rule("iac/ssh-open-to-internet", "HIGH", "network", "attr = 'from_port' AND value = '22' AND open_area = 1"),
+    Rule("iac/rdp-open-to-internet", "HIGH", "network", "attr = 'from_port' AND value = '3389' AND open_area = 1"),
+    Rule("iac/database-public", "CRITICAL", "network", "attr = 'publicly_accessible' AND value = 'true'"),
+)
+_TF_TOTALS = (
+    _count("n_bucket", "opened = 'aws_s3_bucket'"), _count("n_bucket_crypt", "instr(low, 'server_side_encryption') > 0"), _count("n_db", "opened = 'aws_db_instance'"),
+    _count("n_db_crypt", "attr = 'storage_encrypted' AND value = 'true'"), _count("n_logging", "low LIKE 'logging%' OR opened = 'aws_s3_bucket_logging'"), _count("n_vpc", "opened = 'aws_vpc'"), _count("n_flow", "opened = 'aws_flow_log'"),
+)
+
+# ---- manifests: key and value, and the key of the next line
+
+_K8S = (
+    (("low", "trim(txt)"),),
+    (("field", "CASE WHEN low LIKE '- %' THEN trim(substr(low, 3)) ELSE low END"),),
+    (("name", "regexp_extract(field, '^([A-Za-z]+):', 1)"), ("value", "replace(replace(trim(regexp_extract(field, '^[A-Za-z]+:(.*)$', 1)), '\"', ''), '''', '')")),
+    (("next_name", f"coalesce(lead(name) {_OVER}, '')"), ("bare", "replace(replace(replace(value, '[', ''), ']', ''), ' ', '')")),
 )
+
+
+def _switched(rule_id: str, severity: str, group: str, name: str, value: str) -> Rule:
+    return Rule(rule_id, severity, group, f"name = '{name}' AND value = '{value}'")
+
+
+def _absent(rule_id: str, severity: str, group: str, total: str) -> Rule:
+    return Rule(rule_id, severity, group, f"n_containers > 0 AND {total} = 0", whole=True)
+
+
 KUBERNETES = (
-    ContentRule("k8s/privileged-container", "CRITICAL", "security_context", "Privileged container", r"privileged:\s*true"),
-    ContentRule("k8s/run-as-root", "HIGH", "security_context", "Runs as root", r"runAsUser:\s*0"),
-    ContentRule("k8s/allow-privilege-escalation", "HIGH", "security_context", "May gain privileges", r"allowPrivilegeEscalation:\s*true"),
-    ContentRule("k8s/host-pid", "HIGH", "security_context", "Host process names", r"hostPID:\s*true"),
-    ContentRule("k8s/host-network", "HIGH", "security_context", "Host network", r"hostNetwork:\s*true"),
-    ContentRule("k8s/host-ipc", "HIGH", "security_context", "Host communication", r"hostIPC:\s*true"),
-    ContentRule("k8s/no-resource-limits", "MEDIUM", "resources", "No limits", has=r"containers:", lacks=r"limits:"),
-    ContentRule("k8s/no-resource-requests", "LOW", "resources", "No requests", has=r"containers:", lacks=r"requests:"),
-    ContentRule("k8s/image-latest-tag", "HIGH", "images", "Image with the latest tag or none", r"(?m)image:\s*[^\s:]+:latest\b|image:\s*[^\s:]+\s*$"),
-    ContentRule("k8s/secret-in-env", "MEDIUM", "secrets", "Secret as plain text", r"(?i)name:\s*\w*(PASSWORD|SECRET|KEY|TOKEN)\w*\s*\n\s*value:"),
-    ContentRule("k8s/hardcoded-secret", "CRITICAL", "secrets", "Secret in the file", r"value:\s*[\"']?[A-Za-z0-9+/=]{20,}[\"']?"),
-    ContentRule("k8s/rbac-wildcard-verb", "HIGH", "rbac", "All verbs", r"verbs:\s*\[\s*\"\*\"\s*\]"),
-    ContentRule("k8s/rbac-wildcard-resource", "HIGH", "rbac", "All resources", r"resources:\s*\[\s*\"\*\"\s*\]"),
+    _switched("k8s/privileged-container", "CRITICAL", "security_context", "privileged", "true"),
+    _switched("k8s/run-as-root", "HIGH", "security_context", "runAsUser", "0"),
+    _switched("k8s/allow-privilege-escalation", "HIGH", "security_context", "allowPrivilegeEscalation", "true"),
+    _switched("k8s/host-pid", "HIGH", "security_context", "hostPID", "true"),
+    _switched("k8s/host-network", "HIGH", "security_context", "hostNetwork", "true"),
+    _switched("k8s/host-ipc", "HIGH", "security_context", "hostIPC", "true"),
+    _switched("k8s/writable-root-fs", "MEDIUM", "security_context", "readOnlyRootFilesystem", "false"),
+    _absent("k8s/no-resource-limits", "MEDIUM", "resources", "n_limits"),
+    _absent("k8s/no-resource-requests", "LOW", "resources", "n_requests"),
+    _absent("k8s/no-cpu-limit", "MEDIUM", "resources", "n_cpu"),
+    _absent("k8s/no-memory-limit", "MEDIUM", "resources", "n_memory"),
+    Rule("k8s/image-latest-tag", "HIGH", "images", "name = 'image' AND (value LIKE '%:latest' OR (value <> '' AND instr(split_part(value, '/', -1), ':') = 0 AND instr(value, '@') = 0))"),
+    _switched("k8s/image-pull-always", "LOW", "images", "imagePullPolicy", "Always"),
+    Rule("k8s/secret-in-env", "MEDIUM", "secrets", f"name = 'name' AND {_has('lower(value)', *_SECRET_WORDS)} AND next_name = 'value'"),
+    Rule("k8s/hardcoded-secret", "CRITICAL", "secrets", f"name = 'value' AND length(value) >= 20 AND translate(value, '{_BASE64}', '') = ''"),
+    Rule("k8s/cluster-admin-binding", "HIGH", "rbac", "name = 'name' AND value = 'cluster-admin'"),
+    Rule("k8s/rbac-wildcard-verb", "HIGH", "rbac", "name = 'verbs' AND bare = '*'"),
+    Rule("k8s/rbac-wildcard-resource", "HIGH", "rbac", "name = 'resources' AND bare = '*'"),
+    _switched("k8s/default-namespace", "LOW", "network", "namespace", "default"),
+    _absent("k8s/no-liveness-probe", "LOW", "probes", "n_live"),
+    _absent("k8s/no-readiness-probe", "LOW", "probes", "n_ready"),
+)
+_K8S_TOTALS = tuple(
+    _count(n, f"name = '{k}'")
+    for n, k in (("n_api", "apiVersion"), ("n_kind", "kind"), ("n_containers", "containers"), ("n_limits", "limits"), ("n_requests", "requests"), ("n_cpu", "cpu"), ("n_memory", "memory"), ("n_live", "livenessProbe"), ("n_ready", "readinessProbe"))
+)
+
+# ---- code: the line without blanks, its quoted text and the host of its address
+
+_TEST = "(^|/)(tests?|__tests__|__mocks__|fixtures?|e2e)/|[._-](test|spec)[.][^.]+$"
+_CODE = (
+    (("low", "lower(trim(txt))"), ("dense", "replace(replace(replace(replace(txt, ' ', ''), chr(9), ''), '\"', ''''), '`', '''')")),
+    (
+        ("comment", "low LIKE '//%' OR low LIKE '#%' OR low LIKE '*%' OR low LIKE '/*%'"), ("quoted", "regexp_extract(dense, '''([^'']{40,})''', 1)"), ("host", "split_part(regexp_extract(low, 'https?://([^/''\"` )]+)', 1), ':', 1)"),
+        ("key", "regexp_extract(low, '^[\"'']([a-z]+)[\"''][ ]*:', 1)"), ("program", "regexp_extract(low, ':[ ]*[\"'']([a-z]+)', 1)"), ("required", "regexp_extract(dense, 'require[(]([^)]*)', 1)"), ("imported", "regexp_extract(dense, 'import[(]([^)]*)', 1)"),
+        ("looked_up", "regexp_extract(low, 'dns[.](resolve|lookup)[a-z0-9]*[(]([^)]*)', 2)"), ("decoded", "max(CASE WHEN instr(txt, 'fromCharCode') > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file)"),
+        ("is_test", f"regexp_extract(file, '{_TEST}', 0) <> ''"), ("soon", f"dense || coalesce(lead(dense, 1) {_OVER}, '') || coalesce(lead(dense, 2) {_OVER}, '')"),
+    ),
+    (("caught", "regexp_extract(dense, 'catch([(][^)]*[)])?[{][}]', 0)"), ("named", "regexp_extract(dense, 'catch[(]_', 0)"), ("opens", f"sum((length(low) - length(replace(low, '/*', ''))) / 2 - (length(low) - length(replace(low, '*/', ''))) / 2) {_OVER}")),
+    (("in_block", f"coalesce(lag(opens) {_OVER}, 0) > 0"),),
 )
-#: Which files each pack reads: a path expression and one that the content must hold.
-TARGETS = {"container": (r"(^|/)Dockerfile[^/]*$", ""), "terraform": (r"\.(tf|tfvars)$", ""), "kubernetes": (r"\.ya?ml$", r"(?s)apiVersion:.*kind:|kind:.*apiVersion:")}
-CONTENT_PACKS = {"container": CONTAINER, "terraform": TERRAFORM, "kubernetes": KUBERNETES}
-
-_CODE = r"\.(js|jsx|ts|tsx|mjs|cjs|json)$"
-_TEST = r"(^|/)(tests?|__tests__|__mocks__|fixtures?|e2e)/|[._-](test|spec)\.[^.]+$"
-_WORK = r"(?:node|sh|bash|python|curl|wget)"
-_CALL = r"(?:fetch|axios|https?\.(?:get|post|request))"
-#: Names, severities and impacts of the line packs.
+#: Control characters that turn the direction of a text; hosts of tunnels and inspection services; public prefixes.
+_TURNS = "‪‫‬‭‮⁦⁧⁨⁩‏؜"
+_TUNNELS, _INSPECTORS = (".ngrok.io", ".ngrok.app", ".ngrokfree.app", ".ngrok-free.app"), ("requestbin", "hookbin", "beeceptor", "webhook.site")
+_OAST = tuple(f".oast.{t}" for t in ("fun", "me", "online", "site", "pro", "live"))
+_PUBLIC = tuple(f"startsWith('{p}" for p in ("NEXT_PUBLIC_", "PUBLIC_", "VITE_", "REACT_APP_", "NUXT_PUBLIC_"))
+_ALL_ENV = (*[f"Object.{m}(process.env)" for m in ("keys", "entries", "values")], "inprocess.env)", "ofprocess.env)", "inprocess.env{", "ofprocess.env{")
+
+
+def _computed(argument: str) -> str:
+    return f"({argument} LIKE '[%' OR ({argument} LIKE '%+%' AND {argument} NOT LIKE '''%'))"
+
+
+def _code(rule_id: str, severity: str, impact: int, when: str, **more: bool) -> Rule:
+    return Rule(rule_id, severity, str(impact), when, **more)
+
+
 SUPPLY_CHAIN = (
-    LineRule("TROJAN_SOURCE", "CRITICAL", 10, "Bidirectional control character", "[\u202a-\u202e\u2066-\u2069\u200f\u061c]", first=True, comments=True),
-    LineRule("OBFUSCATED_HEX", "HIGH", 8, "Dense hexadecimal literals", r"(?:0x[0-9a-fA-F]{4}[,\s]+){6,}", first=True, comments=True),
-    LineRule("CHARCODE_OBFUSCATION", "MEDIUM", 7, "Character codes decoded at run time", r"(?:[0-9]{2,3}[,\s]+){10,}", file_has=r"\bfromCharCode\s*\(", first=True, comments=True),
-    LineRule("RUNTIME_BASE64_DECODE", "HIGH", 8, "Long base64 text decoded at run time", r"Buffer\.from\s*\(\s*['\"`][A-Za-z0-9+/]{40,}={0,2}['\"`]\s*,\s*['\"`]base64", first=True, comments=True),
-    LineRule("POSTINSTALL_EXEC", "CRITICAL", 10, "An install script runs a program", rf"[\"'](?:postinstall|preinstall|install|prepare)[\"']\s*:\s*[\"']{_WORK}", first=True, comments=True),
-    LineRule("EVAL_DECODE_EXEC", "CRITICAL", 10, "Decoded text is run", r"eval\s*\(\s*(?:Buffer\.from|atob|decodeURIComponent)\s*\("),
-    LineRule("DYNAMIC_REQUIRE", "HIGH", 8, "Computed module name", r"require\s*\(\s*(?:[^'\"`)\s]+\s*\+|\[)"),
-    LineRule("DYNAMIC_IMPORT", "HIGH", 8, "Computed import path", r"import\s*\(\s*(?:[^'\"`)\s]+\s*\+|\[)"),
-    LineRule("ENV_HARVEST", "CRITICAL", 10, "All environment variables are read", r"Object\.(?:keys|entries|values)\s*\(\s*process\.env|for\s*\([^)]*\s(?:in|of)\s+process\.env", unless=r"\.startsWith\s*\(\s*['\"`](?:NEXT_PUBLIC_|PUBLIC_|VITE_PUBLIC_|VITE_|REACT_APP_|NUXT_PUBLIC_)", ahead=2),
-    LineRule("RAW_IP_REQUEST", "HIGH", 9, "Request to a bare address", rf"{_CALL}\s*\(\s*['\"`]https?://[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}"),
-    LineRule("NGROK_EXFIL", "CRITICAL", 10, "Request to a tunnel", r"\.ngrok(?:\.io|\.app|free\.app)\b"),
-    LineRule("BURP_COLLABORATOR", "CRITICAL", 10, "Out-of-band test domain", r"\.burpcollaborator\.net\b"),
-    LineRule("REQUESTBIN_EXFIL", "HIGH", 9, "Request to an inspection service", r"(?:requestbin|hookbin|beeceptor|webhook\.site)\b"),
-    LineRule("OAST_EXFIL", "CRITICAL", 10, "Out-of-band test domain", r"\.oast\.(?:fun|me|online|site|pro|live)\b"),
-    LineRule("DNS_EXFILTRATION", "HIGH", 9, "Name look-up with secret data", r"(?i)dns\.(?:resolve|lookup)\s*\([^)]*(?:env|process|secret|key|token|password)"),
-    LineRule("INSTALL_TIME_EXEC", "HIGH", 9, "A program is started at once", r"require\s*\(['\"`]child_process['\"`]\)\s*\.(?:exec|spawn)"),
-    LineRule("LARGE_BASE64_BLOB", "MEDIUM", 6, "Long base64 text", r"['\"`][A-Za-z0-9+/]{79,}={0,2}['\"`]"),
+    _code("TROJAN_SOURCE", "CRITICAL", 10, f"translate(txt, '{_TURNS}', '') <> txt", first=True, comments=True),
+    _code("OBFUSCATED_HEX", "HIGH", 8, "length(low) - length(replace(low, '0x', '')) >= 12 AND length(low) < 12 * (length(low) - length(replace(low, '0x', '')))", first=True, comments=True),
+    _code("CHARCODE_OBFUSCATION", "MEDIUM", 7, "decoded = 1 AND length(low) - length(replace(low, ',', '')) >= 9 AND 2 * length(translate(low, '0123456789, ', '')) < length(low)", first=True, comments=True),
+    _code("RUNTIME_BASE64_DECODE", "HIGH", 8, f"{_has('dense', 'Buffer.from(')} AND {_has('low', 'base64')} AND quoted <> '' AND translate(quoted, '{_BASE64}', '') = ''", first=True, comments=True),
+    _code("POSTINSTALL_EXEC", "CRITICAL", 10, "key IN ('postinstall', 'preinstall', 'install', 'prepare') AND program IN ('node', 'sh', 'bash', 'python', 'curl', 'wget')", first=True, comments=True),
+    _code("EVAL_DECODE_EXEC", "CRITICAL", 10, _has("dense", "eval(atob(", "eval(Buffer.from(", "eval(decodeURIComponent(")),
+    _code("DYNAMIC_REQUIRE", "HIGH", 8, _computed("required")),
+    _code("DYNAMIC_IMPORT", "HIGH", 8, _computed("imported")),
+    _code("ENV_HARVEST", "CRITICAL", 10, f"{_has('dense', *_ALL_ENV)} AND NOT {_has('soon', *_PUBLIC)}"),
+    _code("RAW_IP_REQUEST", "HIGH", 9, f"host <> '' AND translate(host, '0123456789', '') = '...' AND {_has('dense', 'fetch(', 'axios', 'http.get(', 'https.get(', '.request(', '.post(')}"),
+    _code("NGROK_EXFIL", "CRITICAL", 10, _has("low", *_TUNNELS)),
+    _code("BURP_COLLABORATOR", "CRITICAL", 10, _has("low", ".burpcollaborator.net")),
+    _code("REQUESTBIN_EXFIL", "HIGH", 9, _has("low", *_INSPECTORS)),
+    _code("OAST_EXFIL", "CRITICAL", 10, _has("low", *_OAST)),
+    _code("DNS_EXFILTRATION", "HIGH", 9, _has("looked_up", "env", "process", *_SECRET_WORDS)),
+    _code("INSTALL_TIME_EXEC", "HIGH", 9, _has("dense", "require('child_process').exec", "require('child_process').spawn")),
+    _code("LARGE_BASE64_BLOB", "MEDIUM", 6, f"length(quoted) >= 80 AND translate(quoted, '{_BASE64}', '') = ''"),
 )
 PERFORMANCE = (
-    LineRule("SYNC_IO", "MEDIUM", 4, "Synchronous file access", r"fs\.(?:readFileSync|writeFileSync|appendFileSync)", comments=True),
-    LineRule("SYNC_FILE_PARSE", "MEDIUM", 7, "Synchronous parse of a file", r"JSON\.parse\s*\(\s*fs\.readFileSync", comments=True),
-    LineRule("AWAIT_IN_LOOP", "MEDIUM", 5, "await inside a loop", r"await\s+.*for\s*\(|for\s*\(.*\)\s*\{[^}]*await", comments=True),
-    LineRule("ASYNC_TIMEOUT", "LOW", 2, "Rejections in a timer are lost", r"setTimeout\s*\(\s*async\s", also=r"await", comments=True),
+    _code("SYNC_IO", "MEDIUM", 4, _has("txt", "fs.readFileSync", "fs.writeFileSync", "fs.appendFileSync"), comments=True),
+    _code("SYNC_FILE_PARSE", "MEDIUM", 7, _has("dense", "JSON.parse(fs.readFileSync"), comments=True),
+    _code("AWAIT_IN_LOOP", "MEDIUM", 5, f"{_has('dense', 'for(')} AND {_has('txt', 'await ')} AND instr(dense, '{{') > 0", comments=True),
+    _code("ASYNC_TIMEOUT", "LOW", 2, f"{_has('dense', 'setTimeout(async')} AND {_has('txt', 'await ')}", comments=True),
 )
 TESTING = (
-    LineRule("FOCUSED_TEST", "HIGH", 7, "Other tests are skipped", r"\b(?:describe|it|test|context|suite|each)\s*\.\s*only\s*\(", only=_TEST),
-    LineRule("TODO_TESTS", "MEDIUM", 4, "Tests are missing", r"(?i)TODO:?[\s-]*add tests", never=_TEST, comments=True),
+    _code("FOCUSED_TEST", "HIGH", 7, f"is_test AND NOT in_block AND {_has('dense', *[f'{w}.only(' for w in ('describe', 'it', 'test', 'context', 'suite', 'each')])}"),
+    _code("TODO_TESTS", "MEDIUM", 4, "NOT is_test AND instr(low, 'todo') > 0 AND instr(low, 'add tests') > instr(low, 'todo')", comments=True),
 )
 AI_RISK = (
-    LineRule("EMPTY_CATCH", "LOW", 3, "Errors are swallowed", r"catch\s*(?:\(\s*(?:[^_)\s][^)]*)?\))?\s*\{\s*\}", never=_TEST),
-    LineRule("PERMISSIVE_CORS", "HIGH", 8, "Any origin is allowed", r"(?:origin|Access-Control-Allow-Origin)\s*[:=]\s*['\"`]\*['\"`]", never=_TEST),
-    LineRule("DEFAULT_CREDENTIALS", "CRITICAL", 10, "Usual user name and password", r"(?i)password['\"]?\s*[:=]\s*['\"](?:admin|password|root|123456|changeme)['\"]", never=_TEST),
-    LineRule("CONSOLE_SENSITIVE", "HIGH", 8, "Secret on the console", r"console\.(?:log|info|debug)\s*\(", also=r"(?i)password|secret|token|api_?key", never=_TEST),
-    LineRule("TODO_SECURITY", "MEDIUM", 7, "Open security work", r"(?i)(?:TODO|FIXME)[^\n]*(?:auth|security|sanitize|validate|encrypt)", never=_TEST, comments=True),
-    LineRule("HARDCODED_IV", "HIGH", 9, "Fixed initialisation vector", r"\b[iI][vV]\s*[:=]\s*['\"`][0-9a-fA-F]{16,}", never=_TEST),
-    LineRule("SKIP_SSL_VERIFY", "HIGH", 9, "Certificates are not checked", r"\bverify\s*[:=]\s*false\b|rejectUnauthorized\s*[:=]\s*false\b", never=_TEST),
+    _code("EMPTY_CATCH", "LOW", 3, "NOT is_test AND caught <> '' AND named = ''"),
+    _code("PERMISSIVE_CORS", "HIGH", 8, f"NOT is_test AND {_has('dense', *[n + s + chr(39) + '*' + chr(39) for n in ('origin', 'Access-Control-Allow-Origin', 'Access-Control-Allow-Origin' + chr(39)) for s in ':=,'])}"),
+    _code("DEFAULT_CREDENTIALS", "CRITICAL", 10, f"NOT is_test AND {_has('lower(dense)', *[w + s + chr(39) + v + chr(39) for w in ('password', 'password' + chr(39)) for s in ':=' for v in ('admin', 'password', 'root', '123456', 'changeme')])}"),
+    _code("CONSOLE_SENSITIVE", "HIGH", 8, f"NOT is_test AND {_has('dense', 'console.log(', 'console.info(', 'console.debug(')} AND {_has('low', 'password', 'secret', 'token', 'apikey', 'api_key')}"),
+    _code("TODO_SECURITY", "MEDIUM", 7, f"NOT is_test AND {_has('low', 'todo', 'fixme')} AND {_has('low', 'auth', 'security', 'sanitize', 'validate', 'encrypt')}", comments=True),
+    _code("HARDCODED_IV", "HIGH", 9, "NOT is_test AND regexp_extract(dense, '(^|[^A-Za-z0-9_])iv[:=]''([0-9A-Fa-f]{16,})', 2) <> ''"),
+    _code("SKIP_SSL_VERIFY", "HIGH", 9, f"NOT is_test AND {_has('dense', 'rejectUnauthorized:false', 'rejectUnauthorized=false', 'verify:false', 'verify=false')}"),
 )
-LINE_PACKS = {"supply_chain": SUPPLY_CHAIN, "performance": PERFORMANCE, "testing": TESTING, "ai_risk": AI_RISK}
+_SCRIPTS = "[.](js|jsx|ts|tsx|mjs|cjs|json)$"
+CONTENT_PACKS = {
+    "container": Pack("(^|/)Dockerfile[^/]*$", _DOCKER, CONTAINER, _DOCKER_TOTALS),
+    "terraform": Pack("[.](tf|tfvars)$", _TF, TERRAFORM, _TF_TOTALS),
+    "kubernetes": Pack("[.]ya?ml$", _K8S, KUBERNETES, _K8S_TOTALS, "n_api > 0 AND n_kind > 0"),
+}
+LINE_PACKS = {name: Pack(_SCRIPTS, _CODE, rules) for name, rules in (("supply_chain", SUPPLY_CHAIN), ("performance", PERFORMANCE), ("testing", TESTING), ("ai_risk", AI_RISK))}
 
 #: Path classes of files, tried on the whole path.
 FILE_CLASSES = {
@@ -171,93 +288,47 @@ FILE_CLASSES = {
 }
 
 
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+def facts(files: DataFrame, pack: Pack, path: str = "file", text: str = "content") -> DataFrame:
+    """file, line, txt and the columns of the pack's layers, a row per line.  Null contents give no rows."""
+    rows = lines(files.where(F.col(path).rlike(pack.path)).select(F.col(path).alias("file"), F.col(text).alias("content")), "content").select("file", "line", "txt")
+    for layer in pack.layers:
+        rows = rows.selectExpr("*", *[f"{e} AS {n}" for n, e in layer])
+    return rows
 
 
-def _placed(head: tuple[Column, ...], hits: Column, between: Column):
-    """A finding for each match, with the line in which it begins."""
+def _found(rows: DataFrame, rules: tuple[Rule, ...], line_packs: bool) -> DataFrame:
+    def of(r: Rule):
+        when = r.when if r.comments or not line_packs else f"({r.when}) AND NOT comment"
+        place = F.lit(1).cast("long") if r.whole else F.col("line")
+        shown = F.lit("file") if r.whole else F.substring(F.trim("txt"), 1, 100)
+        return F.when(F.expr(when), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.group).alias("grp"), place.alias("line"), shown.alias("match")))
 
-    def place(x: Column, i: Column) -> Column:
-        before = F.concat(F.array_join(F.slice(between, F.lit(1), i + 1), ""), F.array_join(F.slice(hits, F.lit(1), i), ""))
-        return F.struct(*head, (_newlines(before) + 1).cast("long").alias("line"), F.substring(x, 1, 100).alias("match"))
-
-    return place
-
-
-def content_scan(files: DataFrame, rules: tuple[ContentRule, ...], path: str = "file", text: str = "content") -> DataFrame:
-    """file, rule_id, severity, category, line, match: every match with its line; judgements of whole files at line 1.
-
-    A match gives at most its first 100 characters.  Null contents give nothing.
-    """
-    found = []
-    for r in rules:
-        head = (F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))
-        if r.pattern:
-            hits, between = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), F.split(text, r.pattern)
-
-            found.append(F.when(F.size(hits) > 0, F.transform(hits, _placed(head, hits, between))))
-        else:
-            ok = F.lit(True)
-            if r.has:
-                ok = ok & F.col(text).rlike(r.has)
-            if r.lacks:
-                ok = ok & ~F.col(text).rlike(r.lacks)
-            if r.many:
-                ok = ok & (F.regexp_count(text, F.lit(r.many)) > r.over)
-            found.append(F.when(ok, F.array(F.struct(*head, F.lit(1).cast("long").alias("line"), F.lit("file").alias("match")))))
-    each = F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return files.where(F.col(text).isNotNull()).select(path, F.explode(each).alias("f")).select(path, "f.*")
+    return rows.select("file", F.explode(F.array_compact(F.array(*[of(r) for r in rules]))).alias("f")).select("file", "f.*")
 
 
 def content_pack(files: DataFrame, name: str, path: str = "file", text: str = "content") -> DataFrame:
-    """The findings of a content pack in the files it reads."""
-    where, holds = TARGETS[name]
-    wanted = files.where(F.col(path).rlike(where))
-    return content_scan(wanted.where(F.col(text).rlike(holds)) if holds else wanted, CONTENT_PACKS[name], path, text)
+    """file, rule_id, severity, category, line, match: lines that a rule is true of (at most 100 characters shown), and judgements of whole files at line 1."""
+    pack = CONTENT_PACKS[name]
+    rows = facts(files, pack, path, text)
+    totals = rows.groupBy("file").agg(*[F.expr(e).alias(n) for n, e in pack.totals])
+    wanted = totals.where(pack.only_if) if pack.only_if else totals
+    each = rows.join(wanted.select("file"), "file", "left_semi") if pack.only_if else rows
+    out = _found(each, tuple(r for r in pack.rules if not r.whole), False).unionByName(_found(wanted, tuple(r for r in pack.rules if r.whole), False))
+    return out.withColumnRenamed("grp", "category")
 
 
-def line_scan(files: DataFrame, rules: tuple[LineRule, ...], path: str = "file", text: str = "content") -> DataFrame:
-    """file, line, rule_id, severity, impact, col, match.  ``first`` rules give one finding for a file, others one for a line.
+def line_pack(files: DataFrame, name: str, path: str = "file", text: str = "content") -> DataFrame:
+    """file, line, rule_id, severity, impact, col, match: the findings in script and package files.
 
-    Lines that begin like comments count only for rules with ``comments``.
+    Lines that begin like comments count only for rules with ``comments``; ``first`` rules give one finding for a file.
     """
-    ahead = max(r.ahead for r in rules)
-    flags = [F.col(text).rlike(r.file_has).alias(f"_f{i}") for i, r in enumerate(rules) if r.file_has]
-    rows = lines(files.select(path, text, *flags), text)
-    if ahead:
-        w = Window.partitionBy(path).orderBy("line")
-        rows = rows.withColumn("_ahead", F.concat_ws("\n", "txt", *[F.lead("txt", k).over(w) for k in range(1, ahead + 1)]))
-    txt = F.col("txt")
-    comment = txt.rlike(r"^\s*(//|#|\*|/\*)")
-    found = []
-    for i, r in enumerate(rules):
-        hit = txt.rlike(r.pattern)
-        if not r.comments:
-            hit = hit & ~comment
-        if r.also:
-            hit = hit & txt.rlike(r.also)
-        if r.unless:
-            hit = hit & ~F.col("_ahead" if r.ahead else "txt").rlike(r.unless)
-        if r.file_has:
-            hit = hit & F.col(f"_f{i}")
-        if r.only:
-            hit = hit & F.col(path).rlike(r.only)
-        if r.never:
-            hit = hit & ~F.col(path).rlike(r.never)
-        place = F.length(F.regexp_extract(txt, f"^(.*?)(?:{r.pattern})", 1)).cast("long")
-        found.append(F.when(hit, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.impact).cast("long").alias("impact"), place.alias("col"), F.regexp_extract(txt, r.pattern, 0).alias("match"))))
-    out = rows.select(path, "line", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select(path, "line", "f.*")
-    once = [r.rule_id for r in rules if r.first]
+    pack = LINE_PACKS[name]
+    out = _found(facts(files, pack, path, text).withColumn("line", F.col("line").cast("long")), pack.rules, True)
+    once = [r.rule_id for r in pack.rules if r.first]
     if once:
-        w = Window.partitionBy(path, "rule_id").orderBy("line")
+        w = Window.partitionBy("file", "rule_id").orderBy("line")
         out = out.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | ~F.col("rule_id").isin(*once)).drop("_n")
-    return out
-
-
-def line_pack(files: DataFrame, name: str, path: str = "file", text: str = "content") -> DataFrame:
-    """The findings of a line pack in script files and package files."""
-    return line_scan(files.where(F.col(path).rlike(_CODE)), LINE_PACKS[name], path, text)
+    return out.select("file", "line", "rule_id", "severity", F.col("grp").cast("long").alias("impact"), "match")
 
 
 def file_classes(files: DataFrame, path: str = "file") -> DataFrame:
@@ -272,33 +343,33 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _facts_sql(pack: Pack, files: str) -> str:
+    rows = f"SELECT file, CAST(i AS BIGINT) AS line, p[i] AS txt FROM (SELECT file, regexp_split_to_array(content, '\\r?\\n') AS p FROM ({files}) WHERE regexp_matches(file, {_q(pack.path)})), unnest(range(1, len(p) + 1)) AS t(i)"
+    for layer in pack.layers:
+        rows = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer)} FROM ({rows})"
+    return rows
+
+
 def content_pack_sql(name: str, files: str) -> str:
-    where, holds = TARGETS[name]
-    source = f"SELECT file, content FROM ({files}) WHERE regexp_matches(file, {_q(where)})" + (f" AND regexp_matches(content, {_q(holds)})" if holds else "")
+    pack = CONTENT_PACKS[name]
     parts = []
-    for r in CONTENT_PACKS[name]:
-        head = f"{_q(r.rule_id)} AS rule_id, {_q(r.severity)} AS severity, {_q(r.category)} AS category"
-        if r.pattern:
-            before = "coalesce(array_to_string(b[1:i], ''), '') || coalesce(array_to_string(m[1:i - 1], ''), '')"
-            parts.append(f"SELECT file, {head}, CAST(1 + length({before}) - length(replace({before}, chr(10), '')) AS BIGINT) AS line, m[i][1:100] AS match FROM (SELECT file, regexp_extract_all(content, {_q(r.pattern)}) AS m, regexp_split_to_array(content, {_q(r.pattern)}) AS b FROM src), unnest(range(1, len(m) + 1)) AS t(i)")
+    for r in pack.rules:
+        head = f"SELECT file, {_q(r.rule_id)} AS rule_id, {_q(r.severity)} AS severity, {_q(r.group)} AS category"
+        if r.whole:
+            parts.append(f"{head}, CAST(1 AS BIGINT) AS line, 'file' AS match FROM wanted WHERE {r.when}")
         else:
-            tests = [f"regexp_matches(content, {_q(r.has)})"] * bool(r.has) + [f"NOT regexp_matches(content, {_q(r.lacks)})"] * bool(r.lacks) + [f"len(regexp_extract_all(content, {_q(r.many)})) > {r.over}"] * bool(r.many)
-            parts.append(f"SELECT file, {head}, CAST(1 AS BIGINT) AS line, 'file' AS match FROM src WHERE {' AND '.join(tests)}")
-    return f"WITH src AS ({source}) " + " UNION ALL ".join(parts)
+            parts.append(f"{head}, line, trim(txt)[1:100] AS match FROM l WHERE ({r.when}) AND file IN (SELECT file FROM wanted)")
+    totals = f"SELECT file, {', '.join(f'{e} AS {n}' for n, e in pack.totals)} FROM l GROUP BY file" + (f" HAVING {pack.only_if}" if pack.only_if else "")
+    return f"WITH l AS MATERIALIZED ({_facts_sql(pack, files)}), wanted AS ({totals}) " + " UNION ALL ".join(parts)
 
 
 def line_pack_sql(name: str, files: str) -> str:
-    rules = LINE_PACKS[name]
-    rows = f"SELECT file, content, CAST(i AS BIGINT) AS line, p[i] AS txt, array_to_string(p[i:i + {max(r.ahead for r in rules)}], chr(10)) AS ahead FROM (SELECT file, content, regexp_split_to_array(content, '\\r?\\n') AS p FROM ({files}) WHERE regexp_matches(file, {_q(_CODE)})), unnest(range(1, len(p) + 1)) AS t(i)"
+    pack = LINE_PACKS[name]
     parts = []
-    for r in rules:
-        tests = [f"regexp_matches(txt, {_q(r.pattern)})"]
-        tests += ["NOT regexp_matches(txt, '^\\s*(//|#|\\*|/\\*)')"] * (not r.comments) + [f"regexp_matches(txt, {_q(r.also)})"] * bool(r.also)
-        tests += [f"NOT regexp_matches({'ahead' if r.ahead else 'txt'}, {_q(r.unless)})"] * bool(r.unless) + [f"regexp_matches(content, {_q(r.file_has)})"] * bool(r.file_has)
-        tests += [f"regexp_matches(file, {_q(r.only)})"] * bool(r.only) + [f"NOT regexp_matches(file, {_q(r.never)})"] * bool(r.never)
-        one = f"SELECT file, line, {_q(r.rule_id)} AS rule_id, {_q(r.severity)} AS severity, CAST({r.impact} AS BIGINT) AS impact, CAST(length(regexp_extract(txt, {_q('^(.*?)(?:' + r.pattern + ')')}, 1)) AS BIGINT) AS col, regexp_extract(txt, {_q(r.pattern)}) AS match FROM l WHERE {' AND '.join(tests)}"
+    for r in pack.rules:
+        one = f"SELECT file, line, {_q(r.rule_id)} AS rule_id, {_q(r.severity)} AS severity, CAST({r.group} AS BIGINT) AS impact, trim(txt)[1:100] AS match FROM l WHERE ({r.when})" + ("" if r.comments else " AND NOT comment")
         parts.append(f"(SELECT * FROM ({one}) QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) = 1)" if r.first else one)
-    return f"WITH l AS ({rows}) " + " UNION ALL ".join(parts)
+    return f"WITH l AS MATERIALIZED ({_facts_sql(pack, files)}) " + " UNION ALL ".join(parts)
 
 
 def file_classes_sql(files: str) -> str:
