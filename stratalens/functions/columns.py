@@ -44,11 +44,13 @@ def round_half_up(x: Column | str, digits: int = 0) -> Column:
 
 
 def shannon_entropy(text: Column | str) -> Column:
-    """Bits per character, in one expression; 0 for an empty text, null for null."""
+    """Bits per character, in one expression; 0 for an empty text, null for null.
+
+    Each distinct character is counted by what is left without it, so that long texts cost a pass per character.
+    """
     t = _col(text)
-    chars = F.filter(F.split(t, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
+    n = F.length(t).cast("double")
+    shares = F.transform(F.filter(F.array_distinct(F.split(t, "")), lambda c: c != ""), lambda c: (n - F.length(F.replace(t, c, F.lit("")))) / n)
     return F.when(t.isNull(), None).otherwise(F.coalesce(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)), F.lit(0.0)))
 
 

@@ -111,10 +111,23 @@ def full_text_search(rows: DataFrame, text: str, words: list[str]) -> DataFrame:
     return rows.where(ok)
 
 
+#: Words of error types and the categories that they stand for.
+ERROR_WORDS = (
+    ("DATABASE", ("sql", "database", "query")), ("SECURITY", ("auth", "permission", "forbidden", "unauthorized")),
+    ("RELIABILITY", ("null", "undefined", "reference", "type")), ("PERFORMANCE", ("timeout", "connection", "network", "memory", "heap", "stack")),
+)
+OTHER_ERRORS = "RELIABILITY"
+
+
 def inferred_category(error_type: Column) -> Column:
-    """The category of a rule that is proposed for an error type; the first that fits."""
-    t = F.lower(error_type)
-    return F.when(t.rlike("sql|database|query"), "DATABASE").when(t.rlike("auth|permission|forbidden|unauthorized"), "SECURITY").when(t.rlike("null|undefined|reference|type"), "RELIABILITY").when(t.rlike("timeout|connection|network|memory|heap|stack"), "PERFORMANCE").otherwise("RELIABILITY")
+    """The category of a rule that is proposed for an error type; the first that holds one of its words."""
+    t, out = F.lower(error_type), F.lit(OTHER_ERRORS)
+    for category, words in reversed(ERROR_WORDS):
+        holds = F.lit(False)
+        for w in words:
+            holds = holds | t.contains(w)
+        out = F.when(holds, category).otherwise(out)
+    return out
 
 
 def test_results(payloads: DataFrame) -> DataFrame:

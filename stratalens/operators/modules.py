@@ -1,13 +1,15 @@
 """Modules of a source tree: imports, exports, cycles, companions, documentation, and taint within and across files.
 
 Files are rows (file, content).  Everything is a join or an aggregate over lines and words; taint spreads by
-a bounded number of joins.
+the names of each file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +110,35 @@ def documentation_gaps(files: DataFrame) -> DataFrame:
     return poor.unionByName(headless)
 
 
-def tainted_sinks(files: DataFrame, rounds: int = 5, back: int = 5) -> DataFrame:
+def _reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """file, name: all names that taint reaches from the seeds, over any number of edges (name, used).
+
+    The names of a file meet in one row, which is no larger than the file, and are followed breadth first.
+    """
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                uses: dict[str, list[str]] = {}
+                for e in r["edges"] or []:
+                    uses.setdefault(e["used"], []).append(e["name"])
+                seen = set(r["seeds"])
+                todo = list(seen)
+                while todo:
+                    new = [n for n in uses.pop(todo.pop(), ()) if n not in seen]
+                    seen.update(new)
+                    todo += new
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(seen), pa.string()), pa.array(sorted(seen), pa.string())], names=["file", "name"])
+
+    of_file = edges.groupBy("file").agg(F.collect_set(F.struct("name", "used")).alias("edges"))
+    started = seeds.groupBy("file").agg(F.collect_set("name").alias("seeds"))
+    return started.join(of_file, "file", "left").select("file", "seeds", "edges").mapInArrow(follow, "file string, name string")
+
+
+def tainted_sinks(files: DataFrame, back: int = 5) -> DataFrame:
     """file, line, variable: sink calls that a tainted name reaches, the least name of a line.
 
-    A name that is assigned from a source is tainted; ``rounds`` joins carry taint over assignments, also of
+    A name that is assigned from a source is tainted; taint is carried over assignments until nothing changes, also of
     properties, templates and destructured names.  A cleaning call clears the value that it is in, and the
     sinks on its line and the ``back`` lines behind it.  Quoted words are not names.
     """
@@ -121,8 +148,7 @@ def tainted_sinks(files: DataFrame, rounds: int = 5, back: int = 5) -> DataFrame
     named = made.select("file", F.explode(F.regexp_extract_all("names", F.lit(_WORD), F.lit(0))).alias("name"), "value")
     tainted = named.where(F.col("value").rlike(SOURCE)).select("file", "name").distinct()
     edges = named.select("file", "name", F.explode(words("value")).alias("used")).where("name <> used").distinct()
-    for _ in range(rounds):
-        tainted = tainted.unionByName(edges.join(tainted.withColumnRenamed("name", "used"), ["file", "used"], "left_semi").select("file", "name")).distinct()
+    tainted = _reached(edges, tainted)
     w = Window.partitionBy("file").orderBy("line").rowsBetween(-back, 0)
     calls = rows.withColumn("cleared", F.max(F.col("txt").rlike(CLEAN)).over(w)).where(F.col("txt").rlike(SINK) & ~F.col("cleared"))
     args = calls.select("file", "line", F.explode(words(F.regexp_extract("txt", rf"(?:{SINK})(.*)$", 1))).alias("name"))
@@ -166,10 +192,10 @@ DOCS_SQL = (
     " UNION ALL SELECT file, 'MISSING_HEADER', line FROM (SELECT * FROM d WHERE filled AND NOT comment QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) = 1) WHERE line > 1 AND NOT after_comment"
 )
 TAINT_SQL = (
-    f"WITH RECURSIVE {_F.replace('.js$', 'taint.js$').replace(chr(92) + 'taint', 'taint')}, {_L}, made AS (SELECT file, regexp_extract(txt, {_q(_ASSIGN)}, 1) AS names, regexp_extract(txt, {_q(_ASSIGN)}, 2) AS value FROM l WHERE regexp_matches(txt, {_q(_ASSIGN)})),"
+    f"WITH RECURSIVE {_F}, {_L}, made AS (SELECT file, regexp_extract(txt, {_q(_ASSIGN)}, 1) AS names, regexp_extract(txt, {_q(_ASSIGN)}, 2) AS value FROM l WHERE regexp_matches(txt, {_q(_ASSIGN)})),"
     f" named AS (SELECT file, unnest(regexp_extract_all(names, {_q(_WORD)})) AS name, value FROM made WHERE NOT regexp_matches(value, {_q(CLEAN)})),"
     f" edges AS (SELECT DISTINCT file, name, unnest(regexp_extract_all(regexp_replace(value, {_q(_QUOTED)}, '', 'g'), {_q(_WORD)})) AS used FROM named),"
-    f" tainted AS (SELECT file, name, 0 AS depth FROM named WHERE regexp_matches(value, {_q(SOURCE)}) UNION SELECT e.file, e.name, depth + 1 FROM edges e JOIN tainted t ON t.file = e.file AND t.name = e.used WHERE depth < 5 AND e.name <> e.used),"
+    f" tainted AS (SELECT file, name FROM named WHERE regexp_matches(value, {_q(SOURCE)}) UNION SELECT e.file, e.name FROM edges e JOIN tainted t ON t.file = e.file AND t.name = e.used WHERE e.name <> e.used),"
     f" calls AS (SELECT file, line, txt, max(CAST(regexp_matches(txt, {_q(CLEAN)}) AS INT)) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS cleared FROM l),"
     f" args AS (SELECT file, line, unnest(regexp_extract_all(regexp_replace(regexp_extract(txt, {_q(rf'(?:{SINK})(.*)$')}, 1), {_q(_QUOTED)}, '', 'g'), {_q(_WORD)})) AS name FROM calls WHERE cleared = 0 AND regexp_matches(txt, {_q(SINK)}))"
     " SELECT file, line, min(name) AS variable FROM args WHERE (file, name) IN (SELECT file, name FROM tainted) GROUP BY file, line"

@@ -136,15 +136,14 @@ def complexity(docs: DataFrame, text: str = "text") -> DataFrame:
     return c.withColumn("level", F.when(F.col("complexity") < 10, "low").when(F.col("complexity") < 30, "medium").otherwise("high"))
 
 
-def high_entropy_tokens(docs: DataFrame, text: str = "text", least: int = 20, bits: float = 4.5, most: int = 4096) -> DataFrame:
+def high_entropy_tokens(docs: DataFrame, text: str = "text", least: int = 20, bits: float = 4.5) -> DataFrame:
     """doc_id, token, entropy of quoted runs of ``least`` characters or more without blanks above ``bits``.
 
-    Addresses and runs with over a fifth of characters outside ASCII are prose.  Runs above ``most``
-    characters are no keys and are left out.
+    Addresses and runs with over a fifth of characters outside ASCII are prose.  Runs of any length are judged.
     """
     t = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f'"([^"\\s]{{{least},}})"'), F.lit(1)))).alias("token"))
     foreign = F.length(F.regexp_replace("token", r"[\x20-\x7e]", ""))
-    t = t.where(~F.col("token").rlike(r"^https?://") & (foreign * 5 <= F.length("token")) & (F.length("token") <= most))
+    t = t.where(~F.col("token").rlike(r"^https?://") & (foreign * 5 <= F.length("token")))
     return t.withColumn("entropy", F.round(shannon_entropy("token"), 4)).where(F.col("entropy") > bits)
 
 

@@ -14,6 +14,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import shannon_entropy
+
 _UP, _LOW, _NUM, _HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 #: Alphabets by name; "any" is every character.
 ALPHABETS = {
@@ -232,13 +234,6 @@ def _judge(form: Token | Parted | Named | Holds | Address) -> Column:
     return ok
 
 
-def entropy(value: Column) -> Column:
-    """Bits for a character of a non-empty text, from the count of each distinct character."""
-    n = F.length(value).cast("double")
-    counts = F.transform(F.array_distinct(F.split(value, "")), lambda c: F.when(c != "", n - F.length(F.replace(value, c, F.lit("")))).otherwise(0.0))
-    return -F.aggregate(counts, F.lit(0.0), lambda a, k: a + F.when(k > 0, k / n * F.log2(k / n)).otherwise(0.0))
-
-
 def _stand_in(value: Column) -> Column:
     low, found = F.lower(value), F.lit(False)
     for w in STAND_INS:
@@ -261,7 +256,7 @@ def _local_address(value: Column) -> Column:
 def _no_secret(value: Column) -> Column:
     """The value is a stand-in, a name, too even, the source of an expression, or a local address."""
     expression = (F.instr(value, "]{") > 0) & (F.instr(value, "[") > 0)
-    return (F.length(value) >= JUDGED) & (_stand_in(value) | _bare_name(value) | (entropy(value) < ENTROPY_FLOOR) | expression | _local_address(value))
+    return (F.length(value) >= JUDGED) & (_stand_in(value) | _bare_name(value) | (shannon_entropy(value) < ENTROPY_FLOOR) | expression | _local_address(value))
 
 
 def _field_of(line: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions.columns import clamp
 from ..operators import export, scan, similarity
 from ..operators.ordered import running
 from ..operators import findings as fnd
-from ..sources import samples, text
+from ..sources import derived, text
 from . import catalog
 
 QUERIES: dict = {}
@@ -111,13 +111,12 @@ def incremental_diff(spark, sf_dir):
     return fnd.snapshot_diff(state(old), state(orders), "o_custkey", "state")
 
 
-@query(f"SELECT file, CAST(s + 1 AS BIGINT) AS start_line FROM (SELECT file, content, regexp_split_to_array(content, '\\r?\\n') AS p FROM ({samples.values_sql()})), unnest(range(0, len(p), 45)) AS r(s) WHERE least(s + 50, len(p)) - s >= 5 AND file IN ('src/big.js', 'src/paid.js', 'src/load.js')")
+@query(f"SELECT file, CAST(s + 1 AS BIGINT) AS start_line FROM (SELECT file, content, regexp_split_to_array(content, '\\r?\\n') AS p FROM ({derived.tree_sql()})), unnest(range(0, len(p), 8)) AS r(s) WHERE least(s + 10, len(p)) - s >= 5 AND file LIKE 'src/%3.js'")
 def chunk_refresh(spark, sf_dir):
-    """Chunks of the made-up files that a store from before an edit does not hold; three files were edited."""
-    now = samples.files(spark)
-    edited = F.col("file").isin("src/big.js", "src/paid.js", "src/load.js")
-    before = now.withColumn("content", F.when(edited, F.concat(F.lit("// old\n"), "content")).otherwise(F.col("content")))
-    chunks = lambda f: text.chunks(f, "content").select("file", "start_line", "content_hash")
+    """Chunks of the derived modules that a store from before an edit does not hold; the files of every tenth page were edited."""
+    now = derived.files(spark, sf_dir).where("file LIKE 'src/%.js'")
+    before = now.withColumn("content", F.when(F.col("file").endswith("3.js"), F.concat(F.lit("// old\n"), "content")).otherwise(F.col("content")))
+    chunks = lambda f: text.chunks(f, "content", size=10, overlap=2).select("file", "start_line", "content_hash")
     return fnd.new_since(chunks(now), chunks(before), ("file", "start_line", "content_hash")).select("file", "start_line")
 
 

@@ -93,8 +93,8 @@ SQL["findings_by_document"] = "SELECT doc_id, count(*) AS n, count(DISTINCT rule
 SQL["rule_stats"] = "SELECT rule_id, severity, count(*) AS n, round(avg(impact), 4) AS impact, max(col) AS furthest FROM {findings} GROUP BY rule_id, severity"
 SQL["scan_html_rules"] = "SELECT doc_id AS page_id, line, rule_id, severity, col FROM {html_findings}"
 SQL["cloned_lines"] = "SELECT n, n_docs, count(*) AS classes FROM (SELECT lower(trim(txt)) AS body, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM {lines} WHERE length(trim(txt)) >= 40 GROUP BY lower(trim(txt)) HAVING count(*) > 1) x GROUP BY n, n_docs"
-SQL["benchmark_contamination"] = "SELECT b.item_id, count(*) AS n, min(d.doc_id) AS first_doc FROM {benchmark} b JOIN {lines} d ON trim(d.txt) = trim(b.text) GROUP BY b.item_id"
-SQL["grep_search"] = "SELECT doc_id, line, position('token' IN lower(txt)) AS col, substr(txt, 1, 240) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM {lines} WHERE contains(lower(txt), 'token')) x WHERE r = 1 ORDER BY doc_id LIMIT 20"
+SQL["benchmark_contamination"] = "SELECT b.item_id, count(d.doc_id) AS n, min(d.doc_id) AS first_doc FROM {benchmark} b LEFT JOIN {lines} d ON trim(d.txt) = trim(b.text) GROUP BY b.item_id"
+SQL["grep_search"] = "SELECT doc_id, line, position('token' IN lower(txt)) AS col, substr(txt, 1, 240) AS preview FROM {lines} WHERE contains(lower(txt), 'token')"
 
 
 def _closing(sql: str, at: int) -> int:

@@ -25,7 +25,7 @@ SQL["dismissal_suppression"] = "SELECT f.doc_id, f.line, f.rule_id FROM {finding
 SQL["false_positive_split"] = "SELECT f.doc_id, f.line, f.rule_id, CASE WHEN f.severity IN ('CRITICAL', 'HIGH') THEN 'review' ELSE 'pass' END AS route FROM {findings} f LEFT JOIN {labels} l ON l.doc_id = f.doc_id WHERE coalesce(l.toxic, 0) = 0"
 SQL["dependency_reachability"] = "SELECT p_partkey, CASE WHEN n IS NULL THEN 'LOW' WHEN returned > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS risk, coalesce(returned, 0) > 0 AS reachable FROM {part} LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM {lineitem} GROUP BY l_partkey) l ON l_partkey = p_partkey"
 SQL["vulnerability_join"] = "SELECT p_brand, count(*) AS packages, count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_partkey END) AS vulnerable FROM {part} LEFT JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_discount >= 0.1) v ON l_partkey = p_partkey GROUP BY p_brand"
-SQL["score_to_test_match"] = "SELECT e.event_id, c.conv_id, count(*) OVER (PARTITION BY e.event_id) AS candidates FROM {events} e JOIN (SELECT DISTINCT conv_id FROM {conversations}) c ON c.conv_id = e.user_id WHERE e.event_type = 'signup'"
+SQL["score_to_test_match"] = "SELECT e.event_id, c.conv_id, count(*) OVER (PARTITION BY e.event_id) AS candidates FROM {events} e JOIN (SELECT DISTINCT conv_id FROM {conversations}) c ON c.conv_id = e.user_id"
 SQL["ttl_cache_validity"] = "SELECT user_id, max(ts) >= (SELECT max(ts) FROM {events}) - INTERVAL '24' HOUR AS valid, count(*) AS n FROM {events} GROUP BY user_id"
 SQL["unresolved_critical"] = "SELECT user_id, count(*) AS n FROM {events} e WHERE event_type = 'error' AND value > 80 AND NOT EXISTS (SELECT 1 FROM {events} r WHERE r.user_id = e.user_id AND r.event_type = 'purchase' AND r.ts > e.ts) GROUP BY user_id"
 SQL["progress_eta"] = "SELECT event_type, done, total, round(100.0 * done / total, 2) AS pct FROM (SELECT event_type, sum(CASE WHEN value < 70 THEN 1 ELSE 0 END) AS done, count(*) AS total FROM {events} GROUP BY event_type) x"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import learning
@@ -37,16 +38,16 @@ def trained_factors(spark, sf_dir):
     return learning.category_factors(_outcomes(spark, sf_dir), [F.desc("ts"), F.desc("event_id")])
 
 
-@query("SELECT category, CASE WHEN n IS NULL THEN f ELSE least(f * pow(1.15, n), 2.0) END AS factor FROM (SELECT c.category, CASE WHEN c.category = 'view' THEN 0.7 ELSE 1.0 END AS f, n FROM (SELECT DISTINCT event_type AS category FROM {events}) c LEFT JOIN (SELECT event_type AS category, count(*) AS n FROM {events} WHERE user_id % 97 = 0 GROUP BY event_type) i ON i.category = c.category) x WHERE n IS NOT NULL OR category = 'view'")
+@query("SELECT category, CASE WHEN n IS NULL THEN f ELSE least(f * pow(1.15, n), 2.0) END AS factor FROM (SELECT c.category, CASE WHEN c.category = 'view' THEN 0.7 ELSE 1.0 END AS f, n FROM (SELECT DISTINCT event_type AS category FROM {events}) c LEFT JOIN (SELECT event_type AS category, count(*) AS n FROM {events} GROUP BY event_type) i ON i.category = c.category) x WHERE n IS NOT NULL OR category = 'view'")
 def boosted_factors(spark, sf_dir):
     factors = spark.createDataFrame([("view", 0.7)], "category string, factor double")
-    return learning.boosted(factors, calls.table(spark, sf_dir, "events").where("user_id % 97 = 0").select(F.col("event_type").alias("category")))
+    return learning.boosted(factors, calls.table(spark, sf_dir, "events").select(F.col("event_type").alias("category")))
 
 
 @query("""SELECT cluster, CASE WHEN paths = 1 THEN 'localized' WHEN kinds = 1 THEN 'systemic' ELSE 'distributed' END AS cause, CASE WHEN paths = 1 THEN path WHEN kinds = 1 THEN kind ELSE '' END AS at, CASE WHEN paths = 1 THEN 0.8 WHEN kinds = 1 THEN 0.7 ELSE 0.3 END AS confidence FROM
- (SELECT l_partkey AS cluster, count(DISTINCT l_suppkey % 3) AS paths, count(DISTINCT l_returnflag) AS kinds, 'src/' || min(l_suppkey % 3) || '/*.js' AS path, min(l_returnflag) AS kind FROM {lineitem} WHERE l_discount > 0.09 GROUP BY l_partkey) x""")
+ (SELECT l_partkey AS cluster, count(DISTINCT l_suppkey % 3) AS paths, count(DISTINCT l_returnflag) AS kinds, 'src/' || min(l_suppkey % 3) || '/*.js' AS path, min(l_returnflag) AS kind FROM {lineitem} GROUP BY l_partkey) x""")
 def root_causes(spark, sf_dir):
-    rows = calls.table(spark, sf_dir, "lineitem").where("l_discount > 0.09")
+    rows = calls.table(spark, sf_dir, "lineitem")
     file = F.concat(F.lit("src/"), (F.col("l_suppkey") % 3).cast("string"), F.lit("/f"), F.col("l_linenumber").cast("string"), F.lit(".js"))
     return learning.root_causes(rows.select(F.col("l_partkey").alias("cluster"), F.col("l_returnflag").alias("category"), file.alias("file")))
 
@@ -104,20 +105,28 @@ def message_search(spark, sf_dir):
     return learning.full_text_search(calls.table(spark, sf_dir, "conversations"), "text", ["The", "and"]).select("conv_id", "turn")
 
 
-_REPORTS = (
-    ("jest", {"testResults": [{"name": "a.test.js", "assertionResults": [{"title": "adds", "ancestorTitles": ["sum", "small"], "status": "passed", "failureMessages": []}, {"title": "fails", "ancestorTitles": ["sum"], "status": "failed", "failureMessages": ["no", "way"]}]}]}),
-    ("mocha", {"tests": [{"title": "runs", "file": "b.js", "fullTitle": "b runs", "state": "passed", "err": {}}, {"title": "stops", "file": "b.js", "fullTitle": "b stops", "state": "failed", "err": {"message": "bad"}}]}),
-    ("pytest", {"tests": [{"nodeid": "t.py::x", "location": ["t.py", 3, "x"], "outcome": "passed", "longrepr": None}]}),
-    ("generic", [{"test": "one", "filePath": "c.rb", "describe": "c", "status": "passed"}, {"passed": False, "message": "oops"}]),
-)
+#: A report of one test for each event, in the form of one of four runners.
+_REPORT = {
+    "jest": "named_struct('testResults', array(named_struct('name', file, 'assertionResults', array(named_struct('title', title, 'ancestorTitles', array(suite, 'small'), 'status', state, 'failureMessages', array('no', error))))))",
+    "mocha": "named_struct('tests', array(named_struct('title', title, 'file', file, 'fullTitle', suite, 'state', state, 'err', named_struct('message', error))))",
+    "pytest": "named_struct('tests', array(named_struct('nodeid', title, 'location', array(file, '3', suite), 'outcome', state, 'longrepr', error)))",
+    "generic": "array(named_struct('test', title, 'filePath', file, 'describe', suite, 'status', state, 'message', error))",
+}
 
 
-@query("SELECT * FROM (VALUES ('adds', 'a.test.js', 'sum > small', true, ''), ('fails', 'a.test.js', 'sum', false, 'no\nway'), ('runs', 'b.js', 'b runs', true, NULL), ('stops', 'b.js', 'b stops', false, 'bad'), ('t.py::x', 't.py', 'x', true, NULL), ('one', 'c.rb', 'c', true, NULL), ('unknown', NULL, NULL, false, 'oops')) AS v(name, file, suite, passed, error)")
+@query("""SELECT name, file, CASE kind WHEN 0 THEN suite || ' > small' ELSE suite END AS suite, state = 'passed' AS passed, CASE kind WHEN 0 THEN 'no' || chr(10) || error ELSE error END AS error FROM
+ (SELECT event_id % 4 AS kind, 'test ' || event_id AS name, 'src/u' || user_id || '.test.js' AS file, event_type AS suite, CASE WHEN value > 50 THEN 'failed' ELSE 'passed' END AS state, 'at ' || user_id AS error FROM {events}) x""")
 def test_reports(spark, sf_dir):
-    return learning.test_results(spark.createDataFrame([(f, json.dumps(b)) for f, b in _REPORTS], "format string, body string"))
+    """A report per event, written as JSON by Spark and read again as results."""
+    e = calls.table(spark, sf_dir, "events").selectExpr("event_id % 4 AS kind", "'test ' || event_id AS title", "'src/u' || user_id || '.test.js' AS file", "event_type AS suite", "CASE WHEN value > 50 THEN 'failed' ELSE 'passed' END AS state", "'at ' || user_id AS error")
+    bodies = [e.where(F.col("kind") == k).select(F.lit(name).alias("format"), F.to_json(F.expr(body)).alias("body")) for k, (name, body) in enumerate(_REPORT.items())]
+    return learning.test_results(reduce(DataFrame.unionByName, bodies))
 
 
-@query("SELECT error_type, CASE WHEN error_type IN ('SqlError') THEN 'DATABASE' WHEN error_type = 'AuthError' THEN 'SECURITY' WHEN error_type IN ('TimeoutError', 'HeapError') THEN 'PERFORMANCE' ELSE 'RELIABILITY' END AS category FROM (VALUES ('SqlError'), ('AuthError'), ('NullError'), ('TimeoutError'), ('HeapError'), ('OddError')) AS v(error_type)")
+@query("""SELECT event_id, error_type, CASE error_type WHEN 'SqlError' THEN 'DATABASE' WHEN 'AuthError' THEN 'SECURITY' WHEN 'NullError' THEN 'RELIABILITY' WHEN 'TimeoutError' THEN 'PERFORMANCE' WHEN 'HeapError' THEN 'PERFORMANCE' ELSE 'RELIABILITY' END AS category FROM
+ (SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'SqlError' WHEN 1 THEN 'AuthError' WHEN 2 THEN 'NullError' WHEN 3 THEN 'TimeoutError' WHEN 4 THEN 'HeapError' ELSE 'OddError' END AS error_type FROM {events}) x""")
 def inferred_categories(spark, sf_dir):
-    e = spark.createDataFrame([(x,) for x in ("SqlError", "AuthError", "NullError", "TimeoutError", "HeapError", "OddError")], "error_type string")
-    return e.select("error_type", learning.inferred_category(F.col("error_type")).alias("category"))
+    """The error of each event goes by its user."""
+    kinds = F.array(*[F.lit(x) for x in ("SqlError", "AuthError", "NullError", "TimeoutError", "HeapError", "OddError")])
+    e = calls.table(spark, sf_dir, "events").select("event_id", F.element_at(kinds, (F.col("user_id") % 6).cast("int") + 1).alias("error_type"))
+    return e.select("event_id", "error_type", learning.inferred_category(F.col("error_type")).alias("category"))

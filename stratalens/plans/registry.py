@@ -69,10 +69,12 @@ def secret_scan(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '"([^"\\s]{20,})"', 1))) AS token FROM documents),
-c AS (SELECT doc_id, token, ch, count(*) * 1.0 / length(token) AS p FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM t) GROUP BY doc_id, token, ch)
-SELECT doc_id, token, round(-sum(p * log2(p)), 4) AS entropy FROM c WHERE ch <> '' GROUP BY doc_id, token HAVING round(-sum(p * log2(p)), 4) > 4.5""")
+k AS (SELECT * FROM t WHERE NOT regexp_matches(token, '^https?://') AND length(regexp_replace(token, '[\x20-\x7e]', '', 'g')) * 5 <= length(token)),
+c AS (SELECT doc_id, token, ch, count(*) * 1.0 / length(token) AS p FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM k) GROUP BY doc_id, token, ch)
+SELECT doc_id, token, round(-sum(p * log2(p)), 4) AS entropy FROM c WHERE ch <> '' GROUP BY doc_id, token HAVING round(-sum(p * log2(p)), 4) > 3.5""")
 def high_entropy_tokens(spark, sf_dir):
-    return scan.high_entropy_tokens(table(spark, sf_dir, "documents"))
+    """With 3.5 bits, as hexadecimal keys, the ones in the given tables, have 4 at most."""
+    return scan.high_entropy_tokens(table(spark, sf_dir, "documents"), bits=3.5)
 
 
 @query("SELECT doc_id, line, rule_id FROM (WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS line, parts[i] AS txt FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS r(i)) SELECT doc_id, line, 'CUSTOM_ASSIGN' AS rule_id FROM l WHERE regexp_matches(txt, 'token\\s*=\\s*\"([\\w.]+)\"') AND NOT regexp_matches(txt, 'example'))")

@@ -1,4 +1,4 @@
-"""Registered queries over source trees: rule packs, manifests, coverage, builds, imports and taint, on the made-up files."""
+"""Registered queries over source trees: rule packs, manifests, coverage, builds, imports and taint, on trees derived from the given tables."""
 
 from __future__ import annotations
 
@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import export, modules, packs
-from ..sources import samples, text
+from ..sources import derived, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_FILES = samples.values_sql()
+_FILES = derived.tree_sql()
 
 
 def query(name: str, sql: str) -> Callable:
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(samples.files(spark))
+        QUERIES[name] = lambda spark, sf_dir: f(derived.files(spark, sf_dir))
         ORACLE[name] = sql
         return f
 
@@ -74,7 +74,7 @@ def _lcov_totals(files):
     return text.lcov_totals(_named(files, "lcov.info$"))
 
 
-@query("coverage_records", f"SELECT max(CASE WHEN l LIKE 'SF:%' THEN l[4:] END) AS file, count(*) FILTER (l LIKE 'DA:%') AS lines, count(*) FILTER (regexp_matches(l, '^DA:[0-9]+,[1-9]')) AS covered, count(*) FILTER (l LIKE 'BRDA:%') AS branches FROM (SELECT *, sum(CASE WHEN l LIKE 'SF:%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line) AS rec FROM ({_LINES.format(_of('lcov.info$'))})) WHERE rec > 0 GROUP BY rec")
+@query("coverage_records", f"SELECT max(CASE WHEN l LIKE 'SF:%' THEN l[4:] END) AS file, count(*) FILTER (l LIKE 'DA:%') AS lines, count(*) FILTER (regexp_matches(l, '^DA:[0-9]+,[1-9]')) AS covered, count(*) FILTER (l LIKE 'BRDA:%') AS branches FROM (SELECT *, file AS owner, sum(CASE WHEN l LIKE 'SF:%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line) AS rec FROM ({_LINES.format(_of('lcov.info$'))})) WHERE rec > 0 GROUP BY owner, rec")
 def _lcov_records(files):
     return text.lcov_records(_named(files, "lcov.info$")).select("file", "lines", "covered", "branches")
 
@@ -126,7 +126,7 @@ def _docs(files):
 
 @query("taint_flows", modules.TAINT_SQL.format(files=_FILES))
 def _taint(files):
-    return modules.tainted_sinks(_named(files, r"taint\.js$"))
+    return modules.tainted_sinks(_named(files, r"\.js$"))
 
 
 _PARTS = "SELECT name, version, 'pkg:npm/' || name || '@' || version AS purl, CASE type WHEN 'runtime' THEN 'required' ELSE 'optional' END AS scope, row_number() OVER (ORDER BY name, version) - 1 AS n FROM (" + ORACLE["npm_dependencies"] + ")"
