@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import export, modules, packs
+from ..operators import clones, export, modules, packs
 from ..sources import derived, text
+from . import calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +147,44 @@ def _cyclonedx(files):
 @query("sbom_spdx", f"SELECT 'SPDXRef-RootPackage' AS element, 'SPDXRef-Package-' || n AS related, CASE scope WHEN 'required' THEN 'DEPENDS_ON' ELSE 'DEV_DEPENDENCY_OF' END AS relationship FROM ({_PARTS})")
 def _spdx(files):
     return export.spdx_relationships(_components(files))
+
+
+_MODULES = f"SELECT file, content FROM ({_FILES}) WHERE file LIKE 'src/%.js'"
+_PROSE = "SELECT lpad(CAST(doc_id AS VARCHAR), 18, '0') AS file, text AS content FROM documents"
+
+
+def _modules(files):
+    return files.where("file like 'src/%.js'")
+
+
+def _prose(spark, sf_dir):
+    return calls.table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 18, "0").alias("file"), F.col("text").alias("content"))
+
+
+@query("token_clones", f"WITH {clones.blocks_sql(_MODULES)} {clones.REGIONS}")
+def _token_clones(files):
+    return clones.regions(clones.blocks(_modules(files)))
+
+
+@query("token_clone_classes", f"WITH {clones.blocks_sql(_MODULES)} {clones.CLASSES}")
+def _token_clone_classes(files):
+    return clones.classes(clones.blocks(_modules(files)))
+
+
+@query("token_clone_summary", f"WITH {clones.blocks_sql(_MODULES)} {clones.SUMMARY}")
+def _token_clone_summary(files):
+    return clones.summary(clones.regions(clones.blocks(_modules(files))))
+
+
+@query("longest_clones", f"WITH {clones.blocks_sql(_MODULES)} {clones.LONGEST}")
+def _longest_clones(files):
+    return clones.longest(clones.regions(clones.blocks(_modules(files))))
+
+
+def prose_clones(spark, sf_dir):
+    """Runs of two lines that repeat in the documents, names kept."""
+    return clones.regions(clones.blocks(_prose(spark, sf_dir), 2, keep_names=True), 2)
+
+
+QUERIES["prose_clones"] = prose_clones
+ORACLE["prose_clones"] = f"WITH {clones.blocks_sql(_PROSE, 2, keep_names=True)} {clones.REGIONS}"
