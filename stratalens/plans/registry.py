@@ -12,7 +12,7 @@ from .. import streaming
 from ..operators import findings as fnd
 from ..operators import scan, secrets, similarity
 from ..sources import text
-from . import calls, catalog, more, outcomes, trees
+from . import calls, catalog, more, outcomes, states, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,7 @@ for _name, _text in (catalog.SQL | more.SQL).items():
     ORACLE[_name] = catalog.duck(_text)
 
 
-for _part in (trees, calls, outcomes):
+for _part in (trees, calls, outcomes, states):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
 
