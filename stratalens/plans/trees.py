@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clones, export, modules, packs
+from ..operators import blocks, clones, custom, export, modules, packs
 from ..sources import derived, text
 from . import calls
 
@@ -188,3 +188,47 @@ def prose_clones(spark, sf_dir):
 
 QUERIES["prose_clones"] = prose_clones
 ORACLE["prose_clones"] = f"WITH {clones.blocks_sql(_PROSE, 2, keep_names=True)} {clones.REGIONS}"
+
+
+_SOURCES = f"SELECT file, content FROM ({_FILES}) WHERE file LIKE '%.js'"
+
+
+def _sources(files):
+    return files.where("file like '%.js'")
+
+
+@query("comment_lines", f"WITH RECURSIVE {blocks.states_sql(_SOURCES)} SELECT file, line FROM st WHERE state = 1")
+def _comment_lines(files):
+    return blocks.line_states(_sources(files)).where(F.col("state") == blocks.COMMENT).select("file", "line")
+
+
+@query("long_functions", f"WITH RECURSIVE {blocks.pairs_sql(_SOURCES)} {blocks.long_functions_sql(20)}")
+def _long_functions(files):
+    """Over 20 lines; the derived modules have few functions of 80."""
+    return blocks.long_functions(blocks.bracket_pairs(blocks.line_states(_sources(files))), 20)
+
+
+@query("brace_blocks", f"WITH RECURSIVE {blocks.pairs_sql(_SOURCES)} SELECT DISTINCT file, level, start_line, end_line FROM pairs WHERE end_line - start_line + 1 >= 5")
+def _brace_blocks(files):
+    return blocks.brace_blocks(blocks.bracket_pairs(blocks.line_states(_sources(files))))
+
+
+def long_texts(spark, sf_dir):
+    """Documents of over 8 lines; none of the given ones has 400."""
+    return blocks.long_files(_prose(spark, sf_dir), 8)
+
+
+QUERIES["long_texts"] = long_texts
+ORACLE["long_texts"] = f"SELECT file, CAST(n AS BIGINT) AS lines FROM (SELECT file, len(regexp_split_to_array(content, '\\r?\\n')) AS n FROM ({_PROSE})) WHERE n > 8"
+
+
+#: Calls of a database in an exported function, but for those whose text is cleaned; and a rule of alternatives alone.
+_QUERIES_IN_EXPORTS = custom.CustomRule(
+    "CUSTOM_QUERY_IN_EXPORT", "HIGH", ("pool.execute('select ' + $X)", "show$X(req.body.id)"), inside=r"(?s)export function \w+\(a\) \{.*?return a;", excluded=("show$X(req.body.id) // ok",), message="{X} reaches a query", fix="bind({X})"
+)
+_RAW_TEXT = custom.CustomRule("CUSTOM_RAW_TEXT", "MEDIUM", ("db.query($X)", "fetch($X)"), excluded=("db.query(clean)",), message="{X} is sent as it is")
+
+
+@query("custom_rule_regions", custom.rule_sql(_SOURCES, _QUERIES_IN_EXPORTS) + " UNION ALL SELECT * FROM (" + custom.rule_sql(_SOURCES, _RAW_TEXT) + ")")
+def _custom_rule_regions(files):
+    return custom.run_rules(_sources(files), (_QUERIES_IN_EXPORTS, _RAW_TEXT))
