@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import learning, prediction
 from . import calls
 
 QUERIES: dict = {}
@@ -130,3 +130,45 @@ def inferred_categories(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("SqlError", "AuthError", "NullError", "TimeoutError", "HeapError", "OddError")])
     e = calls.table(spark, sf_dir, "events").select("event_id", F.element_at(kinds, (F.col("user_id") % 6).cast("int") + 1).alias("error_type"))
     return e.select("event_id", "error_type", learning.inferred_category(F.col("error_type")).alias("category"))
+
+
+_RUNS = "runs AS (SELECT DISTINCT o_custkey AS project, o_orderkey AS run, l_returnflag || l_linestatus AS category FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey)"
+_FORETOLD = f"""WITH {_RUNS}, now AS (SELECT project, run, category, dense_rank() OVER (PARTITION BY project ORDER BY run) AS i FROM runs),
+ steps AS (SELECT a.project, a.i, a.category AS was, b.category AS nxt FROM now a JOIN now b ON b.project = a.project AND b.i = a.i + 1 WHERE a.category <> b.category),
+ pairs AS (SELECT DISTINCT project, was, nxt FROM steps), final AS (SELECT project, max(i) AS last FROM now GROUP BY project),
+ seen AS (SELECT a.project, a.i, a.run, p.was, p.nxt, coalesce(sum(CASE WHEN s.nxt IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY a.project, p.was, p.nxt ORDER BY a.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n
+  FROM now a JOIN final f ON f.project = a.project AND a.i < f.last JOIN pairs p ON p.project = a.project AND p.was = a.category LEFT JOIN steps s ON s.project = a.project AND s.i = a.i AND s.was = p.was AND s.nxt = p.nxt),
+ shares AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY project, i, was) > 0 THEN n * 1.0 / sum(n) OVER (PARTITION BY project, i, was) ELSE 0.0 END AS p FROM seen),
+ told AS (SELECT project, i, run, nxt AS category, round(CAST(sum(p) AS DOUBLE), 6) AS score FROM shares GROUP BY project, i, run, nxt HAVING round(CAST(sum(p) AS DOUBLE), 6) >= 0.5),
+ foretold AS (SELECT t.project, t.run, t.category, t.score, n.project IS NOT NULL AS came FROM told t LEFT JOIN now n ON n.project = t.project AND n.i = t.i + 1 AND n.category = t.category)"""
+
+
+def _order_runs(spark, sf_dir):
+    lines = calls.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.concat("l_returnflag", "l_linestatus").alias("category"))
+    return calls.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("run")).join(lines, "run")
+
+
+@query(f"{_FORETOLD} SELECT project, run, category, score, came FROM foretold")
+def foretold_categories(spark, sf_dir):
+    """The orders of a customer as runs, their kinds of lines as categories."""
+    return prediction.predictions(_order_runs(spark, sf_dir))
+
+
+@query(f"{_FORETOLD} SELECT (SELECT count(*) FROM foretold) AS predicted, (SELECT count(*) FROM foretold WHERE came) AS \"right\", (SELECT count(*) FROM now WHERE i > 1) AS came, (SELECT round(sum(CASE WHEN came THEN 1 ELSE 0 END) * 1.0 / count(*), 4) FROM foretold) AS precision, (SELECT round((SELECT count(*) FROM foretold WHERE came) * 1.0 / count(*), 4) FROM now WHERE i > 1) AS recall")
+def prediction_quality(spark, sf_dir):
+    runs = _order_runs(spark, sf_dir)
+    return prediction.quality(prediction.predictions(runs), runs)
+
+
+_TESTS = "tests AS (SELECT 'test u' || user_id || ' ' || event_type || ' ' || event_id AS test, CASE WHEN value > 50 THEN event_type END AS keyword FROM {events})"
+
+
+@query(f"""WITH {_TESTS}, parts AS (SELECT test, unnest(list_distinct(list_filter(regexp_split_to_array(lower(test), '[^a-z0-9]+'), lambda x: x <> ''))) AS base FROM tests),
+ by_part AS (SELECT base, min(test) AS t FROM parts GROUP BY base HAVING count(*) = 1), by_word AS (SELECT keyword, min(test) AS t FROM tests WHERE keyword IS NOT NULL GROUP BY keyword),
+ scores AS (SELECT o_orderkey AS score_id, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE '' END || o_orderkey AS base, CASE WHEN o_custkey % 2 = 0 THEN 'click' END AS keyword FROM {{orders}})
+ SELECT score_id, CASE WHEN p.t IS NOT NULL THEN 'unique' WHEN w.t IS NOT NULL THEN 'keyword' ELSE 'suite' END AS kind, coalesce(p.t, w.t) AS test FROM scores s LEFT JOIN by_part p ON p.base = lower(s.base) LEFT JOIN by_word w ON w.keyword = s.keyword""")
+def matched_tests(spark, sf_dir):
+    """Orders as scores and events as tests; a base is unique where one event alone has it in its name."""
+    tests = calls.table(spark, sf_dir, "events").selectExpr("'test u' || user_id || ' ' || event_type || ' ' || event_id AS test", "CASE WHEN value > 50 THEN event_type END AS keyword")
+    scores = calls.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS score_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE '' END || o_orderkey AS base", "CASE WHEN o_custkey % 2 = 0 THEN 'click' END AS keyword")
+    return prediction.matched_tests(scores, tests)
