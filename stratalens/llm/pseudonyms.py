@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ def secret(key: bytes) -> bytes:
 
 def _stream(message: bytes, key: bytes, width: int) -> bytes:
     """``width`` pseudorandom bytes of a message: keyed hashes in counter mode."""
+    if width > 64:  # many blocks come from one hash of the message, so that they cost as much as it is long
+        message = hashlib.blake2b(message, key=key, digest_size=64).digest()
     parts = (hashlib.blake2b(i.to_bytes(4, "big") + message, key=key, digest_size=64).digest() for i in range(-(-width // 64)))
     return b"".join(parts)[:width]
 
@@ -195,16 +198,34 @@ def _class(c: str) -> tuple[str, str]:
     return (f"<{ord(c) // 256}{category}>", _alphabet(ord(c) // 256, category)) if c.isalnum() else (c, c)
 
 
+#: Longer strings are permuted half by half, digit by digit, instead of as one number.
+_LONG_MIXED = 512
+
+
+def _halves(digits: list[int], bases: list[int], key: bytes, tweak: bytes) -> list[int]:
+    """A Feistel network on the two halves of a string: each round adds to one half, modulo its bases, what the other one makes."""
+    d, b = np.array(digits, dtype=np.int64), np.array(bases, dtype=np.int64)
+    cut = len(d) // 2
+    sides = (slice(0, cut), slice(cut, len(d)))
+    for r in range(_ROUNDS):
+        to, of = sides[r % 2], sides[1 - r % 2]
+        made = _stream(bytes([r]) + d[of].astype("<u4").tobytes() + tweak, key, 4 * (to.stop - to.start))
+        d[to] = (d[to] + np.frombuffer(made, dtype="<u4")) % b[to]
+    return d.tolist()
+
+
 def _mixed(chars: str, key: bytes, kind: str) -> str:
     """Permute the letters and digits of a string within their classes; other characters stay."""
-    value, size, shape, alphabets = 0, 1, [], []
-    for c in chars:
-        name, alphabet = _class(c)
-        shape.append(name)
-        alphabets.append(alphabet)
+    classes = [_class(c) for c in chars]
+    if len(chars) > _LONG_MIXED:
+        tweak = (kind + "".join(name for name, _ in classes)).encode()
+        digits = _halves([alphabet.index(c) for c, (_, alphabet) in zip(chars, classes, strict=True)], [len(alphabet) for _, alphabet in classes], key, hashlib.blake2b(tweak, key=key, digest_size=32).digest())
+        return "".join(alphabet[at] for at, (_, alphabet) in zip(digits, classes, strict=True))
+    value, size = 0, 1
+    for c, (_, alphabet) in zip(chars, classes, strict=True):
         value, size = value * len(alphabet) + alphabet.index(c), size * len(alphabet)
-    value, out = permute(value, size, key, kind + "".join(shape)), []
-    for alphabet in reversed(alphabets):
+    value, out = permute(value, size, key, kind + "".join(name for name, _ in classes)), []
+    for _, alphabet in reversed(classes):
         value, at = divmod(value, len(alphabet))
         out.append(alphabet[at])
     return "".join(reversed(out))
@@ -276,11 +297,19 @@ _LOOSE = ("iban", "card")
 _CARD_SHAPE = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{1,4}|[0-9]{4}\1[0-9]{1,3})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
 
 
-@lru_cache(maxsize=65536)
-def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
+def _made(kind: str, value: str, key: bytes) -> str | None:
     return _email(value, key) if kind == "email" else _MAKE[kind](value, key)
 
 
+_kept = lru_cache(maxsize=65536)(_made)
+#: Longer values are made anew each time, so that the cache holds 17 MB of them at most.
+_LONGEST_KEPT = 128
+
+
+def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
+    return _kept(kind, value, key) if len(value) <= _LONGEST_KEPT else _made(kind, value, key)
+
+
 def _ends(kind: str, text: str, m: re.Match, stop: int) -> list[int]:
     """Where a value of ``kind`` that starts with ``m`` can end, at ``stop`` at most; longest first, usual card shapes before others."""
     ends = [m.end()]

@@ -326,3 +326,18 @@ def test_segments_are_verified():
     assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_long_values_are_permuted_half_by_half(monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(pseudonyms, "_LONG_MIXED", 0)
+    for shape in ("01", "a0-1", "0", "--"):  # all strings of the shape are hit once
+        kinds = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.isalpha() else c for c in shape]
+        every = ["".join(s) for s in itertools.product(*kinds)]
+        assert sorted(pseudonyms._mixed(s, KEY, "t") for s in every) == sorted(every)
+    monkeypatch.undo()
+    long = "ab1." * 100_000
+    out = pseudonyms._pseudonym("email", long + "@x.org", KEY)
+    assert out != long + "@x.org" and len(out) == len(long) + 6 and out == pseudonyms._pseudonym("email", long + "@x.org", KEY)
+    assert [c.isdigit() for c in out] == [c.isdigit() for c in long + "@x.org"] and [c == "." for c in out[: len(long)]] == [c == "." for c in long]
