@@ -271,4 +271,6 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, min_words: i
     own, aim = ({r["bucket"]: r["n"] for r in bucket_counts(p, buckets).collect()} for p in (packed, wanted))  # at most ``buckets`` rows each
     scored = tables.table(weigh(packed, gains(own, aim, buckets), seed), "scored", False)
     tables.drop(packed)
-    return _ranked(scored, tables, min_words, percent)
+    out = _ranked(scored, tables, min_words, percent)
+    tables.drop(scored)
+    return out
