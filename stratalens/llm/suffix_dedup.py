@@ -5,7 +5,8 @@ A byte goes if a string of ``SPAN`` bytes that covers it also starts earlier in
 1. *Anchors.*  Winnowing marks, in every window of ``SPAN`` bytes, a ``GRAM``-byte gram of least hash, so
    equal windows have an equal gram at the same place in them.  A gram with its context (all windows that
    hold it) is one row; rows of equal gram and context repeat each other whole, and each task settles its
-   own before anything is shuffled.  Contexts count as equal if two independent 64-bit hashes are.
+   own before anything is shuffled.  Contexts count as equal if two hashes of them are, of 64 and 32 bits;
+   both are polynomial and share a multiplier, so they are not independent, and the bytes are not compared.
 2. *Meeting.*  Rows meet by gram.  Equal contexts are settled; grams with several contexts ask for their
    bytes, which are few: they stand where copies begin, end or differ.
 3. *Suffix arrays.*  The contexts of a gram come to one shard.  A shard is sorted by Larsson-Sadakane
