@@ -16,7 +16,7 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: f
     """query_id, vec_id, similarity: the ``k`` most similar corpus vectors per query at or above ``threshold``.
 
     The query set is stated and small: it is sent to the tasks as a matrix, the corpus passes by in
-    Arrow batches, each task keeps its k best per query, and one grouped top-k joins the tasks.
+    Arrow batches, each batch of a task keeps its k best per query, and one grouped top-k joins the tasks.
     """
     q = queries.select(vid, vec).toPandas()
     ids = q[vid].to_numpy()
