@@ -10,6 +10,8 @@ share ``1 + floor(SCALE * (count + 1) / (N + V))``; the divergence of shares p a
    tile of groups by terms, absent counts included; all pairs of groups of a tile are computed at once by
    broadcasting, a slice of terms at a time, and its pair matrix is added to that of the earlier tiles of the
    task.  Each group keeps its best terms in a bounded heap.
+   ``_RUN`` blocks that follow one another stay together, so that what the tasks hand on grows with the kept
+   terms and not with the number of tasks that they are dealt to.
 4. The pair matrices of the tasks are summed, and their heaps are merged by rank.
 
 A language with many sources is cut further, into blocks of sources that meet pair by pair, so that a tile
@@ -34,6 +36,8 @@ SCALE = 1_000_000_000
 _HELD, _AT_ONCE = 400_000, 1 << 18
 #: Rows of languages or groups up to which they are sent to every task; beyond, the join shuffles.
 _SENT = 20_000
+#: Blocks of a language that one task computes and sums.
+_RUN = 8
 
 #: ASCII letters lower-cased, other ASCII characters blank, the bytes of other characters as they are.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -262,7 +266,7 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, block: int = 512,
         .select("lang", "block", F.inline(_pairs_of(F.col("own"), F.col("parts"))), "source", "term", "n", "total", "v", F.lit(1).alias("kind"))
     )
     rows = group_rows.select(*_ROW).unionByName(count_rows.select(*_ROW))
-    dealt = rows.repartition("lang", "block", "i", "j").sortWithinPartitions("lang", "block", "i", "j", "kind")
+    dealt = rows.repartition("lang", F.floor(F.col("block") / _RUN), "i", "j").sortWithinPartitions("lang", "block", "i", "j", "kind")
     partial = dealt.mapInArrow(lambda batches: _tiles(batches, top), "lang string, source string, part string, item string, value long")
     found = tables.table(partial, "tiles", False)
     tables.drop(kept, groups, langs)

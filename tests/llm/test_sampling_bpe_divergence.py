@@ -231,3 +231,22 @@ def test_shares_of_huge_counts_are_exact():
     assert divergence.share(count, total).tolist() == [1 + 10**9 * (int(c) + 1) // total for c in count]
 
 
+
+
+def test_divergence_hands_on_no_more_rows_for_more_tasks(spark, monkeypatch):
+    words = ["".join(chr(97 + (k // 26**i) % 26) for i in range(3)) for k in range(120)]
+    rows = [(k, " ".join(words[k % 5 :: 2]), "en", "abc"[k % 3]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    handed, table = [], divergence.Scratch.table
+    monkeypatch.setattr(divergence.Scratch, "table", lambda self, df, name, *a: (out := table(self, df, name, *a), handed.append(out.count()) if name == "tiles" else None)[0])
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {tuple(r) for r in divergence.audit(docs, top=2, block=4).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {tuple(r) for r in divergence.audit(docs, top=2, block=4).collect()}
+    assert handed[0] <= 4 * (3 * 2 + 3 * 2)  # 30 blocks in 4 runs, each with 6 pairs and 2 terms of 3 groups at most
