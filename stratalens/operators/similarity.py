@@ -251,12 +251,31 @@ def two_hop_reach(edges: DataFrame) -> DataFrame:
     """src, reached: how many distinct ``src`` share a ``dst`` with each, itself among them.
 
     Each ``dst`` is a row of bitmaps of its sources, and a source unites those of its own, so that pairs
-    of sources are never rows.  ``src`` are whole numbers; edges with a null are left out.
+    of sources are never rows.  A bitmap goes once to each block of 4096 sources that needs it, and not to
+    each source.  ``src`` are whole numbers; edges with a null are left out.
     """
-    e = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    maps = e.groupBy("dst", F.bitmap_bucket_number("src").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("src")).alias("m"))
-    united = e.repartition("src").join(maps, "dst").groupBy("src", "k").agg(F.bitmap_count(F.bitmap_or_agg("m")).alias("c"))
-    return united.groupBy("src").agg(F.sum("c").alias("reached"))
+    e = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").repartition("dst").distinct()
+    e = e.select(F.col("src").cast("long").alias("src"), "dst", F.shiftright(F.col("src").cast("long"), 12).alias("i"), F.bitmap_bucket_number("src").alias("k"))
+    maps = e.groupBy("dst", "k").agg(F.bitmap_construct_agg(F.bitmap_bit_position("src")).alias("m"))
+    needed = e.select("dst", "i").distinct().join(maps.hint("shuffle_hash"), "dst").select(F.col("i").alias("block"), F.col("k").alias("bucket"), F.col("dst").alias("of"), "m")
+    asked = e.select("src", "dst", "i").join(e.groupBy("dst").agg(F.collect_set("k").alias("ks")).hint("shuffle_hash"), "dst").select("src", "dst", "i", F.explode("ks").alias("k"))
+
+    def unite(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        at = pd.Series(np.arange(len(right)), index=right["of"])
+        src, place = np.unique(left["src"].to_numpy(), return_inverse=True)
+        row = at.loc[left["dst"]].to_numpy()
+        order = np.lexsort((row, place))
+        row, place = row[order], place[order]
+        m, ends = right["m"].to_numpy(), np.searchsorted(place, np.arange(len(src)), side="right")
+        bits = np.frombuffer(b"".join(m), dtype=np.uint64).reshape(len(m), -1)
+        n, lo = np.zeros(len(src), dtype=np.int64), 0
+        for j, hi in enumerate(ends.tolist()):
+            n[j] = np.bitwise_count(np.bitwise_or.reduce(bits[row[lo:hi]], axis=0)).sum()
+            lo = hi
+        return pd.DataFrame({"src": src, "n": n})
+
+    counted = asked.groupBy("i", "k").cogroup(needed.groupBy("block", "bucket")).applyInPandas(unite, "src long, n long")
+    return counted.groupBy("src").agg(F.sum("n").alias("reached"))
 
 
 def hubs(edges: DataFrame, least: int = 5) -> DataFrame:

@@ -379,3 +379,18 @@ def test_running_totals_equal_one_window(spark):
         want = rows.select("*", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"), F.count("v").over(w).alias("n"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert running(rows.limit(0), ["id"], F.col("id"), s=("sum", "v")).count() == 0
+
+
+def test_two_hop_reach_ships_no_bitmap_to_each_source(spark):
+    import random
+
+    rng = random.Random(4)
+    e = [(rng.randrange(0, 90_000, 7), rng.randrange(40)) for _ in range(3000)] + [(k, 40) for k in range(0, 90_000, 300)]
+    of, want = {}, {}
+    for a, b in e:
+        of.setdefault(b, set()).add(a)
+    for a, b in e:
+        want.setdefault(a, set()).update(of[b])
+    reach = similarity.two_hop_reach(spark.createDataFrame(e, "src long, dst long"))
+    assert {r.src: r.reached for r in reach.collect()} == {a: len(x) for a, x in want.items()}
+    assert "bitmap_or_agg" not in reach._jdf.queryExecution().optimizedPlan().toString()
