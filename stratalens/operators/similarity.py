@@ -12,30 +12,50 @@ from pyspark.sql import functions as F
 from ..sources.text import lines
 
 
-def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.6, vid: str = "vec_id", vec: str = "embedding", block: int = 4096) -> DataFrame:
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.6, vid: str = "vec_id", vec: str = "embedding", block: int = 1 << 20) -> DataFrame:
     """query_id, vec_id, similarity: the ``k`` most similar corpus vectors per query at or above ``threshold``.
 
     The query set is stated and small: it is sent to the tasks as a matrix, the corpus passes by in
-    Arrow batches, each batch of a task keeps its k best per query, and one grouped top-k joins the tasks.
+    Arrow batches.  A task compares ``block`` pairs at once and keeps its k best per query, whatever number
+    of pairs reaches the threshold, and one grouped top-k joins the tasks.  Equal similarities go by id.
     """
     q = queries.select(vid, vec).toPandas()
     ids = q[vid].to_numpy()
     m = np.array(q[vec].tolist(), dtype=np.float64).reshape(len(ids), -1)
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(ids) else 1.0
 
+    def best_of(s: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of each row of ``s`` (-inf: none), columns in the order of their ids."""
+        n = min(k, s.shape[1])
+        least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+        r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        order = np.lexsort((c, -s[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, place = r[place < n], c[place < n], place[place < n]
+        value, name = np.full((len(s), k), -np.inf), np.zeros((len(s), k), dtype=own.dtype)
+        value[r, place], name[r, place] = s[r, c], own[c]
+        return value, name
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        value, name = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
         for b in batches:
             if not len(b) or not len(ids):
                 continue
+            b = b.sort_values(vid)
             x = np.array(b[vec].tolist(), dtype=np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             own = b[vid].to_numpy()
-            for i in range(0, len(ids), block):
-                s = m[i : i + block] @ x.T
-                s[ids[i : i + block, None] == own[None]] = -2
-                r, c = np.nonzero(s >= threshold)
-                out = pd.DataFrame({"query_id": ids[i + r], vid: own[c], "similarity": s[r, c]})
-                yield out.sort_values(["query_id", "similarity", vid], ascending=[True, False, True]).groupby("query_id").head(k)
+            name = name.astype(np.result_type(name, own), copy=False)
+            step = max(1, block // len(own))
+            for i in range(0, len(ids), step):
+                s = m[i : i + step] @ x.T
+                s[~(s >= threshold) | (ids[i : i + step, None] == own[None])] = -np.inf
+                v, w = (np.concatenate(z, axis=1) for z in zip((value[i : i + step], name[i : i + step]), best_of(s, own), strict=True))
+                order = np.lexsort((w, -v), axis=-1)[:, :k]
+                value[i : i + step], name[i : i + step] = np.take_along_axis(v, order, 1), np.take_along_axis(w, order, 1)
+        r, c = np.nonzero(value > -np.inf)
+        yield pd.DataFrame({"query_id": ids[r], vid: name[r, c], "similarity": value[r, c]})
 
     best = corpus.select(vid, vec).mapInPandas(run, f"query_id long, {vid} long, similarity double")
     ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col(vid).alias("v")))), 1, k)
@@ -70,9 +90,11 @@ def tfidf_search(docs: DataFrame, query_ids: list[int], k: int = 5, threshold: f
 
 def hashed_bags(docs: DataFrame, dim: int = 256, text: str = "text") -> DataFrame:
     """doc_id, vector: counts of hashed words in ``dim`` buckets, of length one."""
-    t = terms(docs, text).withColumn("b", F.pmod(F.hash("term"), F.lit(dim))).groupBy("doc_id", "b").agg(F.sum("tf").cast("double").alias("c"))
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
+    t = words.select("doc_id", F.pmod(F.hash("term"), F.lit(dim)).alias("b")).groupBy("doc_id", "b").agg(F.count("*").cast("double").alias("c"))
     m = t.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    return m.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("vector"))
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)) / F.col("norm"))
+    return m.select("doc_id", F.transform(F.array("m"), dense)[0].alias("vector"))  # the map is made once for all buckets
 
 
 def cloned_lines(docs: DataFrame, least_chars: int = 40, text: str = "text") -> DataFrame:

@@ -381,6 +381,30 @@ def test_running_totals_equal_one_window(spark):
     assert running(rows.limit(0), ["id"], F.col("id"), s=("sum", "v")).count() == 0
 
 
+def test_top_k_compares_a_bounded_number_of_pairs_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    caught = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, run, schema: (caught.append(run), spark.createDataFrame([], schema))[1])
+    rng = np.random.default_rng(3)
+    x = rng.random((4000, 8))  # all pairs reach the threshold
+    rows = lambda lo, hi: pd.DataFrame({"vec_id": np.arange(lo, hi), "embedding": list(x[lo:hi])})
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    similarity.vector_top_k(v, v, 3, 0.1)
+    tracemalloc.start()
+    got = pd.concat(list(caught[0](iter([rows(2000, 4000), rows(0, 2000)]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[:1500] @ unit.T
+    s[np.arange(1500), np.arange(1500)] = -1
+    assert len(got) == 1500 * 3 and peak < 60e6  # k rows for each query, whatever number of batches
+    assert set(zip(got.query_id, got.vec_id)) == {(i, j) for i in range(1500) for j in np.argsort(-s[i])[:3].tolist()}
+
+
 def test_two_hop_reach_ships_no_bitmap_to_each_source(spark):
     import random
 
