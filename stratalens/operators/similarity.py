@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.text import lines
@@ -76,16 +78,138 @@ def tfidf(docs: DataFrame, text: str = "text") -> DataFrame:
     return t.join(df, "term").join(n).select("doc_id", "term", (F.col("tf") * F.log(F.col("n_docs") / F.col("df"))).alias("weight"))
 
 
-def tfidf_search(docs: DataFrame, query_ids: list[int], k: int = 5, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """query_id, doc_id, similarity by cosine of TF-IDF vectors, for a stated set of queries."""
-    w = tfidf(docs, text).where("weight > 0")
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    q = w.where(F.col("doc_id").isin(query_ids)).select(F.col("doc_id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    dots = w.join(q, "term").where("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
-    qn = norm.select(F.col("doc_id").alias("query_id"), F.col("norm").alias("qnorm"))
-    s = dots.join(norm, "doc_id").join(qn, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("similarity", 6)).alias("s"), "doc_id"))), 1, k)
-    return s.groupBy("query_id").agg(best.alias("t")).select("query_id", F.explode("t").alias("t")).select("query_id", "t.doc_id", (-F.col("t.s")).alias("similarity"))
+def _block_terms(known: pa.Array, least: int) -> Callable[[pa.Table], tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]]:
+    """Of a block of texts in lower case that end in a blank: the ids in their order, then of each word document, letters and place in ``known`` (or -1)."""
+
+    def words(text: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        """Row and letters of each run of ``least`` ASCII letters or more."""
+        t = text.cast(pa.large_string()).combine_chunks()
+        ends = np.frombuffer(t.buffers()[1], dtype=np.int64)[t.offset : t.offset + len(t) + 1]
+        b = np.frombuffer(t.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+        letter = (b >= 97) & (b <= 122)
+        turns = np.flatnonzero(np.diff(letter, prepend=False))
+        first, size = turns[::2], turns[1::2] - turns[::2]
+        for i in range(least - 1):
+            letter[first[(size < least) & (size > i)] + i] = False
+        first, size = first[size >= least], size[size >= least]
+        to = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return np.searchsorted(ends - ends[0], first, side="right") - 1, pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(to), pa.py_buffer(b[letter]))
+
+    def read(t: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+        code = t["doc_id"].combine_chunks().dictionary_encode("encode")
+        order = pc.sort_indices(code.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        row, found = words(t["text"])
+        return code.dictionary.take(pa.array(order)), rank[code.indices.to_numpy()[row]], found, pc.index_in(found, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+
+    return read
+
+
+def tfidf_search(docs: DataFrame, query_ids: list[int], k: int = 5, threshold: float = 0.3, text: str = "text", block: int = 1 << 22, pairs: int = 1 << 18) -> DataFrame:
+    """query_id, doc_id, similarity by cosine of the vectors of ``tfidf``, for a stated set of queries.
+
+    The query set is stated and small: its terms, with the number of documents of each, and its weights
+    are sent to the tasks.  Documents are dealt to blocks of about ``block`` bytes; a task takes the products
+    of ``pairs`` pairs at once, so that pairs are rows only when they are among the k best of a query in
+    a block.  Terms that no query has add to the lengths of the vectors alone and are counted by a shuffle.
+    Every pair is computed; terms that are common on both sides go by a dense product, which changes no result.
+    """
+    least, kind = 3, docs.schema["doc_id"].dataType.simpleString()
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    q = terms(docs.where(F.col("doc_id").isin(query_ids)), text, least).toArrow()
+    vocabulary, ids = (pc.unique(q[c]).sort() for c in ("term", "doc_id"))
+    known = vocabulary.cast(pa.large_string())
+    b = F.pmod(F.xxhash64("doc_id"), F.lit(max(8, -(-(size or 0) // block)))).cast("int").alias("block")
+    d = docs.where(F.col(text).isNotNull()).select(b, "doc_id", F.concat(F.lower(F.col(text)), F.lit(" ")).alias("text"))
+
+    read = _block_terms(known, least)
+
+    def count(t: pa.Table) -> pa.Table:
+        _, doc, _, place = read(t)
+        key = np.unique(doc[place >= 0] * len(known) + place[place >= 0])
+        m = np.bincount(key % max(1, len(known)), minlength=len(known))
+        return pa.table({"place": np.flatnonzero(m), "n": m[m > 0]})
+
+    def others(t: pa.Table) -> pa.Table:
+        found, doc, words, place = read(t)
+        rows = pa.table({"doc": doc[place < 0], "term": words.filter(place < 0)}).group_by(["doc", "term"]).aggregate([([], "count_all")])
+        first = pa.repeat(t["block"][0], len(rows))
+        return pa.table({"block": first, "doc_id": found.take(rows["doc"].combine_chunks()), "term": rows["term"].cast(pa.string()), "tf": rows["count_all"]})
+
+    at = d.groupBy("block").applyInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    df = np.ones(len(vocabulary))
+    df[at["place"].to_numpy()] = at["n"].to_numpy()
+    idf = np.log(n / df)
+    who, what = (pc.index_in(q[c], value_set=v).to_numpy() for c, v in (("doc_id", ids), ("term", vocabulary)))
+    order = np.lexsort((who, what))
+    who, what = who[order].astype(np.int32), what[order]
+    much = q["tf"].to_numpy()[order] * idf[what]
+    length = np.sqrt(np.bincount(who, much * much, minlength=len(ids)))
+    much /= np.where(length > 0, length, 1.0)[who]
+    start = np.searchsorted(what, np.arange(len(vocabulary) + 1))
+    share = df * np.diff(start) / max(1, n * len(ids))
+    often = np.argsort(-share, kind="stable")[: min(1024, int((share > 1 / 256).sum()))]
+    made: list[np.ndarray] = []  # once per task
+
+    def dense() -> np.ndarray:
+        if not made:
+            m = np.zeros((len(often), len(ids)))
+            for i, v in enumerate(often):
+                m[i, who[start[v] : start[v + 1]]] = much[start[v] : start[v + 1]]
+            made.append(m)
+        return made[0]
+
+    column = np.full(len(vocabulary), -1)
+    column[often] = np.arange(len(often))
+    many = np.diff(start)
+
+    def products(doc: np.ndarray, place: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """Rows of documents by columns of queries."""
+        c = column[place]
+        x = np.zeros((rows, len(often)))
+        x[doc[c >= 0], c[c >= 0]] = weight[c >= 0]
+        doc, place, weight = doc[c < 0], place[c < 0], weight[c < 0]
+        m = many[place]
+        to = np.arange(m.sum()) + np.repeat(start[place] - (np.cumsum(m) - m), m)
+        s = np.bincount(np.repeat(doc * len(ids), m) + who[to], np.repeat(weight, m) * much[to], minlength=rows * len(ids))
+        return x @ dense() + s.reshape(rows, len(ids))
+
+    def first_k(query: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        o = np.lexsort((doc, -s, query))
+        query, doc, s = query[o], doc[o], s[o]
+        keep = np.arange(len(o)) - np.searchsorted(query, query) < k
+        return query[keep], doc[keep], s[keep]
+
+    def best(t: pa.Table, rest: pa.Table) -> pa.Table:
+        none = np.zeros(0, dtype=np.int64)
+        found, doc, _, place = read(t) if len(t) else (t["doc_id"].combine_chunks(), none, None, none)
+        key, tf = np.unique(doc[place >= 0] * len(known) + place[place >= 0], return_counts=True)
+        doc, place = np.divmod(key, max(1, len(known)))
+        weight = tf * idf[place]
+        square = np.bincount(doc, weight * weight, minlength=len(found)).astype(np.float64)  # counts, if there is nothing to add
+        square[pc.index_in(rest["doc_id"], value_set=found).to_numpy()] += rest["square"].to_numpy()
+        weight /= np.sqrt(np.where(square > 0, square, 1.0))[doc]
+        own = pc.index_in(found, value_set=ids).fill_null(-1).to_numpy()
+        top = (none, none, np.zeros(0))
+        step = max(1, pairs // max(1, len(ids)))
+        for lo in range(0, len(found) if len(ids) else 0, step):
+            hi = min(lo + step, len(found))
+            i, j = np.searchsorted(doc, (lo, hi))
+            s = products(doc[i:j] - lo, place[i:j], weight[i:j], hi - lo)
+            mine = np.flatnonzero(own[lo:hi] >= 0)
+            s[mine, own[lo:hi][mine]] = 0.0
+            r, c = np.nonzero((s >= threshold) & (s > 0))
+            if len(r):
+                top = first_k(*(np.concatenate(z) for z in zip(top, (c, r + lo, np.floor(s[r, c] * 1e6 + 0.5) / 1e6), strict=True)))
+        return pa.table({"query_id": ids.take(top[0]), "doc_id": found.take(top[1]), "similarity": top[2]}).filter(pc.field("doc_id").is_valid())
+
+    rows = d.groupBy("block").applyInArrow(others, f"block int, doc_id {kind}, term string, tf long")
+    w = F.col("tf") * F.log(F.lit(n) / F.count("*").over(Window.partitionBy("term")))
+    rest = rows.select("block", "doc_id", (w * w).alias("w")).groupBy("block", "doc_id").agg(F.sum("w").alias("square"))
+    near = d.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(best, f"query_id {kind}, doc_id {kind}, similarity double")
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "doc_id"))), 1, k)
+    return near.groupBy("query_id").agg(ordered.alias("t")).select("query_id", F.explode("t").alias("t")).select("query_id", "t.doc_id", (-F.col("t.s")).alias("similarity"))
 
 
 def hashed_bags(docs: DataFrame, dim: int = 256, text: str = "text") -> DataFrame:
