@@ -106,23 +106,38 @@ def _block_terms(known: pa.Array, least: int) -> Callable[[pa.Table], tuple[pa.A
     return read
 
 
-def tfidf_search(docs: DataFrame, query_ids: list[int], k: int = 5, threshold: float = 0.3, text: str = "text", block: int = 1 << 22, pairs: int = 1 << 18) -> DataFrame:
+def tfidf_search(docs: DataFrame, query_ids: list[int], k: int = 5, threshold: float = 0.3, text: str = "text", block: int = 1 << 22, pairs: int = 1 << 18, share: int = 1 << 25) -> DataFrame:
     """query_id, doc_id, similarity by cosine of the vectors of ``tfidf``, for a stated set of queries.
 
-    The query set is stated and small: its terms, with the number of documents of each, and its weights
-    are sent to the tasks.  Documents are dealt to blocks of about ``block`` bytes; a task takes the products
-    of ``pairs`` pairs at once, so that pairs are rows only when they are among the k best of a query in
-    a block.  Terms that no query has add to the lengths of the vectors alone and are counted by a shuffle.
-    Every pair is computed; terms that are common on both sides go by a dense product, which changes no result.
+    The terms of the queries, with the number of documents of each, and their weights are sent to the tasks.
+    If the texts of the queries have more than ``share`` bytes, the queries go by in rounds of about that size,
+    each over all documents and written before the next, so that the driver holds one of them.
+    Documents are dealt to blocks of about ``block`` bytes; a task takes the products of ``pairs`` pairs at once,
+    so that pairs are rows only when they are among the k best of a query in a block.  Terms that no query has
+    add to the lengths of the vectors alone and are counted by a shuffle.  Every pair is computed; terms
+    that are common on both sides go by a dense product, which changes no result.
     """
+    octets, query_ids = F.octet_length(text), list(dict.fromkeys(query_ids))
+    n, size, asked = docs.agg(F.count("*"), F.sum(octets), F.sum(F.when(F.col("doc_id").isin(query_ids), octets))).first()
+    rounds = max(1, -(-(asked or 0) // share))
+    parts = (_tfidf_round(docs, query_ids[i::rounds], k, threshold, text, n, max(8, -(-(size or 0) // block)), pairs) for i in range(rounds))
+    if rounds == 1:
+        return next(parts)
+    from ..streaming.store import shared_folder  # which reads other operators itself
+
+    path = shared_folder(docs.sparkSession, "tfidf")
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{path}/{i}")
+    return docs.sparkSession.read.schema(part.schema).parquet(*[f"{path}/{i}" for i in range(rounds)])
+
+
+def _tfidf_round(docs: DataFrame, query_ids: list[int], k: int, threshold: float, text: str, n: int, blocks: int, pairs: int) -> DataFrame:
     least, kind = 3, docs.schema["doc_id"].dataType.simpleString()
-    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
     q = terms(docs.where(F.col("doc_id").isin(query_ids)), text, least).toArrow()
     vocabulary, ids = (pc.unique(q[c]).sort() for c in ("term", "doc_id"))
     known = vocabulary.cast(pa.large_string())
-    b = F.pmod(F.xxhash64("doc_id"), F.lit(max(8, -(-(size or 0) // block)))).cast("int").alias("block")
+    b = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     d = docs.where(F.col(text).isNotNull()).select(b, "doc_id", F.concat(F.lower(F.col(text)), F.lit(" ")).alias("text"))
-
     read = _block_terms(known, least)
 
     def count(t: pa.Table) -> pa.Table:

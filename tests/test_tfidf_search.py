@@ -65,6 +65,7 @@ def test_search_equals_plain_loops(spark):
     assert len(want) > 40
     for block, pairs in ((1 << 22, 1 << 18), (300, 90), (3000, 1)):
         assert {tuple(x) for x in similarity.tfidf_search(docs, queries, block=block, pairs=pairs).collect()} == want
+    assert sorted(tuple(x) for x in similarity.tfidf_search(docs, queries + queries, share=500).collect()) == sorted(want)  # in rounds
     assert {tuple(x) for x in similarity.tfidf_search(docs, queries, k=2, threshold=0.0).collect()} == plain(rows, queries, 2, 0.0)
 
 
