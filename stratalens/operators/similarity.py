@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,10 +127,16 @@ def tfidf_search(docs: DataFrame, query_ids: list[int], k: int = 5, threshold: f
         return next(parts)
     from ..streaming.store import shared_folder  # which reads other operators itself
 
-    path = shared_folder(docs.sparkSession, "tfidf")
+    spark = docs.sparkSession
+    path = shared_folder(spark, "tfidf")
     for i, part in enumerate(parts):
         part.write.parquet(f"{path}/{i}")
-    return docs.sparkSession.read.schema(part.schema).parquet(*[f"{path}/{i}" for i in range(rounds)])
+        schema, part = part.schema, None
+        for _ in range(2):  # Spark deletes the shuffle files of a round when the driver has let go of its plan
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.05)
+    return spark.read.schema(schema).parquet(*[f"{path}/{i}" for i in range(rounds)])
 
 
 def _tfidf_round(docs: DataFrame, query_ids: list[int], k: int, threshold: float, text: str, n: int, blocks: int, pairs: int) -> DataFrame:
