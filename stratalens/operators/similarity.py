@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.text import lines
@@ -416,35 +416,145 @@ def orphans(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return nodes.select(node).distinct().join(edges.select(F.col("dst").alias(node)).distinct(), node, "left_anti")
 
 
-def two_hop_reach(edges: DataFrame) -> DataFrame:
+def _place_among(column: str, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are below ``column``, by halving."""
+
+    def part(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) <= bounds[mid], part(lo, mid)).otherwise(part(mid + 1, hi))
+
+    return part(0, len(bounds))
+
+
+def _opened(t: pa.Table) -> tuple[int, list[np.ndarray]]:
+    """The number of sources of a block, and the numbers of the sources of each ``dst`` in the order of ``dst``."""
+    t = t.take(pc.sort_indices(t["dst"].combine_chunks()))
+    width = t["width"][0].as_py()
+    kind = np.uint16 if width <= 1 << 16 else np.uint32
+    sets = zip(t["n"].to_pylist(), t["set"].to_pylist(), strict=True)
+    return width, [np.frombuffer(x, kind).astype(np.intp) if len(x) == n * kind().itemsize else np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=width)) for n, x in sets]
+
+
+def _united(width: int, own: list[np.ndarray], other_width: int, other: list[np.ndarray]) -> np.ndarray:
+    """For each source of a block, how many sources of another one are in the sets that it has a part in.
+
+    Sets of more than 1 source in 256 are united as bitmaps, the others by marking their numbers.
+    """
+    much = np.array([len(x) * 256 > other_width for x in other])
+    first = np.argsort(~much, kind="stable")
+    dense, lists = int(much.sum()), [other[i] for i in first]
+    bits = np.zeros((dense, -(-other_width // 64)), dtype=np.uint64)
+    mark = np.zeros(other_width, dtype=bool)
+    for i in range(dense):
+        mark[:] = False
+        mark[lists[i]] = True
+        packed = np.packbits(mark)
+        bits[i].view(np.uint8)[: len(packed)] = packed
+    sizes = [len(own[i]) for i in first]
+    key = np.concatenate([own[i] for i in first])
+    key *= len(first)
+    key += np.repeat(np.arange(len(first), dtype=np.int32), sizes)
+    key.sort()
+    ends = np.searchsorted(key, np.arange(width + 1) * len(first))
+    middle = np.searchsorted(key, np.arange(width) * len(first) + dense)
+    key %= len(first)
+    of = key.astype(np.int32)
+    del key
+    n, last, wide = np.zeros(width, dtype=np.uint32), np.zeros(other_width, dtype=np.int64), bits.shape[1] >= 256
+    one = np.zeros(bits.shape[1], dtype=np.uint64)
+    for r in np.flatnonzero(np.diff(ends)).tolist():
+        lo, mid, hi = ends[r], middle[r], ends[r + 1]
+        if mid > lo:
+            if wide:
+                one[:] = bits[of[lo]]
+                for j in of[lo + 1 : mid].tolist():
+                    np.bitwise_or(one, bits[j], out=one)
+            else:
+                one = np.bitwise_or.reduce(bits[of[lo:mid]], axis=0)
+            if mid == hi:
+                n[r] = np.bitwise_count(one).sum(dtype=np.int64)
+                continue
+        each = np.concatenate([lists[j] for j in of[mid:hi].tolist()])
+        if mid > lo:
+            mark = np.unpackbits(one.view(np.uint8), count=other_width).view(bool)
+        elif len(each) * 32 < other_width:  # of equal numbers the one that was written last counts
+            order = np.arange(len(each))
+            last[each] = order
+            n[r] = np.count_nonzero(last[each] == order)
+            continue
+        else:
+            mark[:] = False
+        mark[each] = True
+        n[r] = np.count_nonzero(mark)
+    return n
+
+
+def two_hop_reach(edges: DataFrame, share: int = 1 << 21) -> DataFrame:
     """src, reached: how many distinct ``src`` share a ``dst`` with each, itself among them.
 
-    Each ``dst`` is a row of bitmaps of its sources, and a source unites those of its own, so that pairs
-    of sources are never rows.  A bitmap goes once to each block of 4096 sources that needs it, and not to
-    each source.  ``src`` are whole numbers; edges with a null are left out.
+    The distinct edges are written once and cut into blocks of about ``share`` edges, by ranges of ``src``.
+    In a block the sources are numbered, and each ``dst`` has the set of its sources, as numbers or as a bitmap,
+    whichever is shorter.  Every two blocks that share a ``dst`` meet once, with the sets of the shared ones, and
+    each unites those of the other for its own sources, so that pairs of sources are never rows.  What a task
+    holds depends on ``share`` and not on how far apart the keys are, how many sources a ``dst`` has or how
+    many ``dst`` a source.  ``src`` are whole numbers; edges with a null are left out.
     """
-    e = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").repartition("dst").distinct()
-    e = e.select(F.col("src").cast("long").alias("src"), "dst", F.shiftright(F.col("src").cast("long"), 12).alias("i"), F.bitmap_bucket_number("src").alias("k"))
-    maps = e.groupBy("dst", "k").agg(F.bitmap_construct_agg(F.bitmap_bit_position("src")).alias("m"))
-    needed = e.select("dst", "i").distinct().join(maps.hint("shuffle_hash"), "dst").select(F.col("i").alias("block"), F.col("k").alias("bucket"), F.col("dst").alias("of"), "m")
-    asked = e.select("src", "dst", "i").join(e.groupBy("dst").agg(F.collect_set("k").alias("ks")).hint("shuffle_hash"), "dst").select("src", "dst", "i", F.explode("ks").alias("k"))
-
-    def unite(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        at = pd.Series(np.arange(len(right)), index=right["of"])
-        src, place = np.unique(left["src"].to_numpy(), return_inverse=True)
-        row = at.loc[left["dst"]].to_numpy()
-        order = np.lexsort((row, place))
-        row, place = row[order], place[order]
-        m, ends = right["m"].to_numpy(), np.searchsorted(place, np.arange(len(src)), side="right")
-        bits = np.frombuffer(b"".join(m), dtype=np.uint64).reshape(len(m), -1)
-        n, lo = np.zeros(len(src), dtype=np.int64), 0
-        for j, hi in enumerate(ends.tolist()):
-            n[j] = np.bitwise_count(np.bitwise_or.reduce(bits[row[lo:hi]], axis=0)).sum()
-            lo = hi
-        return pd.DataFrame({"src": src, "n": n})
-
-    counted = asked.groupBy("i", "k").cogroup(needed.groupBy("block", "bucket")).applyInPandas(unite, "src long, n long")
-    return counted.groupBy("src").agg(F.sum("n").alias("reached"))
+    from ..streaming.store import shared_folder  # which reads other operators itself
+
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    path = shared_folder(spark, "edges")
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").cast("long").alias("src"), "dst").distinct()
+    e.write.parquet(path)
+    e = spark.read.schema(e.schema).parquet(path)
+    blocks = max(1, -(-e.count() // share))
+    cuts = [i / blocks for i in range(1, blocks)]
+    bounds = sorted(set(e.agg(F.percentile_approx("src", cuts, max(1000, 20 * blocks))).first()[0])) if cuts else []
+    e = e.select(_place_among("src", bounds).alias("block"), "src", "dst")
+    dst = e.schema["dst"].dataType.simpleString()
+
+    def numbered(t: pa.Table) -> pa.Table:
+        names, src = np.unique(t["src"].to_numpy(), return_inverse=True)
+        of = t["dst"].combine_chunks().dictionary_encode()
+        src += of.indices.to_numpy() * np.int64(len(names))
+        src.sort()
+        start = np.searchsorted(src, np.arange(len(of.dictionary) + 1) * len(names))
+        src %= len(names)
+        short = np.uint16 if len(names) <= 1 << 16 else np.uint32
+        sets, src = [], src.astype(short)
+        for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            x = src[lo:hi]
+            if x.nbytes > -(-len(names) // 8):
+                mark = np.zeros(len(names), dtype=bool)
+                mark[x] = True
+                x = np.packbits(mark)
+            sets.append(x.tobytes())
+        same = lambda v: pa.repeat(pa.scalar(v, pa.int32()), len(sets))
+        return pa.table({"block": same(t["block"][0].as_py()), "dst": of.dictionary, "width": same(len(names)), "n": pa.array(np.diff(start), pa.int32()), "set": pa.array(sets, pa.binary())})
+
+    def meet(t: pa.Table) -> pa.Table:
+        a, *b = sorted(pc.unique(t["block"]).to_pylist())
+        x = _opened(t.filter(pc.equal(t["block"], a)))
+        if not b:
+            found = [(a, _united(*x, *x))]
+        else:
+            y = _opened(t.filter(pc.equal(t["block"], b[0])))
+            found = [(a, _united(*x, *y)), (b[0], _united(*y, *x))]
+        return pa.table({"block": pa.array([k for k, _ in found], pa.int32()), "n": pa.array([n.tobytes() for _, n in found], pa.binary())})
+
+    def total(t: pa.Table, names: pa.Table) -> pa.Table:
+        n = np.zeros(len(names), dtype=np.int64)
+        for x in t["n"]:
+            n += np.frombuffer(x.as_py(), np.uint32)
+        return pa.table({"src": np.sort(names["src"].to_numpy()), "reached": n})
+
+    sets = e.repartition(4 * blocks, "block").groupBy("block").applyInArrow(numbered, f"block int, dst {dst}, width int, n int, set binary")
+    met = sets.withColumn("others", F.collect_set("block").over(Window.partitionBy("dst")))
+    pairs = met.withColumn("other", F.explode("others")).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *sets.columns)
+    counts = pairs.repartition(min(blocks * (blocks + 1) // 2, 64 * blocks), "lo", "hi").groupBy("lo", "hi").applyInArrow(meet, "block int, n binary")
+    names = e.select("block", "src").distinct()
+    return counts.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(total, "src long, reached long").withColumn("src", F.col("src").cast(kind))
 
 
 def hubs(edges: DataFrame, least: int = 5) -> DataFrame:
